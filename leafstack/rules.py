@@ -8,7 +8,7 @@ become part of a plan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -227,7 +227,6 @@ class Redirect:
     target: str
     all_of: tuple[str, ...] = ()
     any_of: tuple[str, ...] = ()
-    any_of_too: tuple[str, ...] = ()
     none_of: tuple[str, ...] = ()
     none_pattern: str | None = None
     other_class: str | None = None
@@ -262,7 +261,6 @@ class Instruction:
     action_value: str | None = None
     priority: int = 100
     active: bool = True
-    tags: tuple[str, ...] = field(default=())
 
 
 CERTIFICATE_PHRASES = (
