@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafstack.functions import names as N
 from leafstack.functions.names import is_layout_field, slugify
+from leafstack.operators.common import running_number
 
 STRONG_FIELDS, WEAK_FIELDS = 0.85, 0.60
 STRONG_LABELS, WEAK_LABELS = 0.75, 0.50
@@ -95,12 +96,10 @@ def discover_variants(docs: DataFrame, variants: DataFrame) -> DataFrame:
     keyed = shaped.withColumn("sig", F.sha2(F.to_json(F.struct(*sig)), 256))
     distinct = keyed.groupBy("sig").agg(*[F.first(c).alias(c) for c in sig])
     cands = variant_candidates(distinct, variants)
-    best = cands.groupBy("sig").agg(F.max(F.struct(
-        F.greatest("field_j", "label_j").alias("score"),
-        F.struct("field_j", "label_j", "page_count_mode", "image_like").alias("f"))).alias("m"),
-        F.min_by("variant_id", F.struct(-F.greatest("field_j", "label_j"), F.col("variant_id"))).alias("variant_id"),
-        F.min_by(F.struct("field_j", "label_j", "page_count_mode", "image_like"),
-                 F.struct(-F.greatest("field_j", "label_j"), F.col("variant_id"))).alias("b")).drop("m")
+    rank = F.struct(-F.greatest("field_j", "label_j"), F.col("variant_id"))
+    best = cands.groupBy("sig").agg(
+        F.min_by("variant_id", rank).alias("variant_id"),
+        F.min_by(F.struct("field_j", "label_j", "page_count_mode", "image_like"), rank).alias("b"))
     f, lb = F.col("b.field_j"), F.col("b.label_j")
     trusted = (f >= STRONG_FIELDS) | (lb >= STRONG_LABELS) | ((f >= WEAK_FIELDS) & (lb >= WEAK_LABELS))
     pages_ok = F.col("b.page_count_mode").isNull() | (F.col("pages_total") == 0) | (
@@ -195,10 +194,10 @@ def signature_location(found: DataFrame, keep: int = 20_000) -> DataFrame:
     """
     at = F.struct("created_at", "document_id")
     spot = N.signature_anchor(F.col("page"), F.col("page_count"))
-    rows = found.select("variant_id", at.alias("o"), spot["anchor"].alias("anchor"),
-                        spot["offset"].alias("offset"), "bbox", "label")
-    w = Window.partitionBy("variant_id").orderBy("o")
-    head = rows.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= keep).groupBy("variant_id").agg(
+    rows = running_number(found, "variant_id", "created_at", "document_id", "i").select(
+        "variant_id", "i", at.alias("o"), spot["anchor"].alias("anchor"),
+        spot["offset"].alias("offset"), "bbox", "label")
+    head = rows.filter(F.col("i") <= keep).groupBy("variant_id").agg(
         F.array_sort(F.collect_list(F.struct("o", "anchor", "offset", "bbox"))).alias("seen"),
         F.max("o").alias("head_end"))
     start = F.from_json(F.lit('{"n":0}'), "n bigint, anchor string, offset bigint, bbox array<double>")
