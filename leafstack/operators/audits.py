@@ -122,7 +122,8 @@ def cost_report(docs: DataFrame, variants: DataFrame, profile: DataFrame) -> Dat
         F.count_if(F.col("skips") > 0).alias("stage_learned"), F.count_if(F.col("skips") == 0).alias("stage_learning"),
         F.count_if(F.col("skips").isNull()).alias("stage_no_profile"),
         F.coalesce(F.sum("candidates"), F.lit(0)).alias("skip_candidates"))
-    both = d.join(v)     # one row each
+    both = d.unionByName(v, allowMissingColumns=True)
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])     # two one-row tables side by side
     n = F.greatest("docs_with_pages", F.lit(1)).cast("decimal(18,0)")
     usd = lambda pages: F.round(pages * F.lit("0.0009").cast("decimal(6,4)"), 4)
     dec = lambda c: c.cast("decimal(18,0)")

@@ -1 +1,6 @@
+"""Registered queries over the given tables."""
 
+from leafstack.queries import fields_match  # noqa: F401
+from leafstack.queries.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
