@@ -78,48 +78,54 @@ def schema_quality_gate(stats: DataFrame, occurrence: str = "0.40", confidence:
 def propose_schema(stats: DataFrame) -> DataFrame:
     """Proposed schema row per target field: required (occurrence >= .70), rates, hint, 3 examples."""
     occ = F.round(_rate(F.col("found_count"), F.col("total_seen")), 2)
-    return stats.select(
+    kind = F.col("format_type")
+    unique = F.array_distinct(F.filter(F.transform("examples", lambda v: F.trim(v)), lambda v: v != ""))
+    hint = F.when((F.size("examples") > 0) & (kind != "text") & (F.col("format_confidence") >= 0.40), build_hint(kind, unique)).otherwise(F.lit(""))
+    return infer_formats(stats, "examples").select(
         "class_id", "field_name", F.initcap(F.translate("field_name", "_", " ")).alias("description"),
         (occ >= F.lit("0.70").cast("decimal(4,2)")).alias("required"), occ.cast("double").alias("occurrence_rate"),
         rounded(_avg(F.col("confidence_sum"), F.col("found_count")), 2).alias("avg_confidence"),
-        example_hint(F.col("examples")).alias("format_hint"), F.slice("examples", 1, 3).alias("examples"))
+        hint.alias("format_hint"), F.slice("examples", 1, 3).alias("examples"))
+
 
+def infer_formats(rows: DataFrame, values: str) -> DataFrame:
+    """Adds format_type and confidence for a bounded array of values.
 
-def infer_format(values: Column) -> Column:
-    """struct<type,confidence> of a bounded array of values.
+    The most frequent format (first seen on ties) must cover 60 %, else text (.40); text,
+    code or boolean values that repeat are an enumeration (.80); else the average
+    confidence of the values of that format times their share, 3 decimals.
 
-    The most frequent format (first seen on ties) must cover 60 %; text, code or boolean
-    values that repeat are an enumeration.
+    Steps are separate columns on purpose: a lambda evaluates everything it mentions once
+    per element.
     """
-    typed = F.transform(values, lambda v: classify_value(v))
-    kinds = F.transform(typed, lambda t: t["type"])
-    count = lambda k: F.size(F.filter(kinds, lambda x: x == k))
-    ranked = F.transform(F.array_distinct(kinds), lambda k, i: F.struct(
-        count(k).alias("n"), (-i).alias("i"), k.alias("type")))
-    top = F.array_max(ranked)
+    keep = rows.columns
+    k = F.col("_kinds")
+    staged = (
+        rows.withColumn("_typed", F.transform(values, classify_value))
+        .withColumn("_trimmed", F.transform(values, lambda v: F.trim(v)))
+        .withColumn("_kinds", F.transform("_typed", lambda t: t["type"]))
+        .withColumn("_unique", F.array_distinct("_trimmed"))
+        .withColumn("_top", F.array_max(F.transform(F.array_distinct("_kinds"), lambda t, i: F.struct(
+            F.size(F.filter(k, lambda x: x == t)).alias("n"), (-i).alias("i"), t.alias("type")))))
+        .withColumn("_type", F.col("_top.type"))
+        .withColumn("_n", F.col("_top.n"))
+        .withColumn("_sum", F.aggregate(
+            F.filter("_typed", lambda t: t["type"] == F.col("_type")), F.lit(0).cast("decimal(18,6)"),
+            lambda a, t: (a + t["conf"].cast("decimal(18,6)")).cast("decimal(18,6)")))
+        .withColumn("_repeated", F.size(F.filter("_unique", lambda u: F.size(F.filter("_trimmed", lambda t: t == u)) >= 2)))
+    )
     n = F.size(values)
-    own = F.filter(typed, lambda t: t["type"] == top["type"])
-    avg = F.aggregate(own, F.lit(0).cast("decimal(18,6)"), lambda a, t: (a + t["conf"].cast("decimal(18,6)")).cast("decimal(18,6)")) / top["n"]
-    trimmed = F.transform(values, lambda v: F.trim(v))
-    unique = F.array_distinct(trimmed)
-    repeated = F.size(F.filter(unique, lambda u: F.size(F.filter(trimmed, lambda t: t == u)) >= 2))
-    share = top["n"].cast("decimal(18,0)") / n.cast("decimal(18,0)")
-    is_enum = (top["type"].isin("text", "code", "boolean") & (F.size(unique) <= 7) & (n >= 4) & (repeated >= 2)
-               & F.forall(unique, lambda u: F.length(u) <= 30))
-    out = lambda t, c: F.struct(t.alias("type"), c.cast("double").alias("confidence"))
-    return (
+    is_enum = (F.col("_type").isin("text", "code", "boolean") & (F.size("_unique") <= 7) & (n >= 4) & (F.col("_repeated") >= 2)
+               & F.forall("_unique", lambda u: F.length(u) <= 30))
+    out = lambda t, c: F.struct(t.alias("t"), c.cast("double").alias("c"))
+    # average of its values times its share = their sum over all values
+    f = (
         F.when(n == 0, out(F.lit("text"), F.lit(0.0)))
-        .when(top["n"] * 10 < n * 6, out(F.lit("text"), F.lit(0.40)))
+        .when(F.col("_n") * 10 < n * 6, out(F.lit("text"), F.lit(0.40)))
         .when(is_enum, out(F.lit("enum"), F.lit(0.80)))
-        .otherwise(out(top["type"], F.round(avg * share, 3)))
+        .otherwise(out(F.col("_type"), F.round(F.col("_sum") / n.cast("decimal(18,0)"), 3)))
     )
-
-
-def example_hint(examples: Column) -> Column:
-    """Hint from examples; none for text or when the format is unsure."""
-    f = infer_format(examples)
-    unique = F.array_distinct(F.filter(F.transform(examples, lambda v: F.trim(v)), lambda v: v != ""))
-    return F.when((f["type"] != "text") & (f["confidence"] >= 0.40), build_hint(f["type"], unique)).otherwise(F.lit(""))
+    return staged.withColumn("_f", f).select(*keep, F.col("_f.t").alias("format_type"), F.col("_f.c").alias("format_confidence"))
 
 
 def majority_format(docs: DataFrame, fields: DataFrame, n: int = 30) -> DataFrame:
@@ -130,12 +136,11 @@ def majority_format(docs: DataFrame, fields: DataFrame, n: int = 30) -> DataFram
     rows = fields.filter((F.col("field_type") == "scalar") & (F.coalesce("field_value", F.lit("")) != "")).join(
         docs.filter(F.col("variant_id").isNotNull()).select("document_id", "variant_id"), "document_id")
     values = first_distinct(rows, ["variant_id", "field_name"], "field_value", -F.col("field_id"), n, "vals")
-    f = infer_format(F.col("vals"))
-    staged = values.select("variant_id", "field_name", "vals", f.alias("f"))
-    return staged.select(
-        "variant_id", "field_name", F.size("vals").alias("value_count"), F.col("f.type").alias("format_type"),
-        F.col("f.confidence").alias("confidence"), build_hint(F.col("f.type"), F.col("vals")).alias("format_hint"),
-        pick_examples(F.col("f.type"), F.col("vals")).alias("examples"))
+    kind = F.col("format_type")
+    return infer_formats(values, "vals").select(
+        "variant_id", "field_name", F.size("vals").alias("value_count"), "format_type",
+        F.col("format_confidence").alias("confidence"), build_hint(kind, F.col("vals")).alias("format_hint"),
+        pick_examples(kind, F.col("vals")).alias("examples"))
 
 
 def value_formats(fields: DataFrame) -> DataFrame:

@@ -38,10 +38,11 @@ def attribute_fields(pages: DataFrame, fields: DataFrame) -> DataFrame:
     cleaned = F.filter(F.transform(needles, lambda v: F.lower(F.trim(v))), lambda v: F.length(v) >= 4)
     wanted = fields.select("document_id", "field_name", cleaned.alias("needles")).filter(F.size("needles") > 0)
     packed = wanted.groupBy("document_id").agg(F.collect_list(F.struct("field_name", "needles")).alias("fs"))
-    low = F.lower("text")
-    hits = pages.join(packed, "document_id").select(
+    # lower-cased before the lambdas: what a lambda mentions is evaluated for every element
+    low = pages.select("document_id", "page_num", F.lower("text").alias("low"))
+    hits = low.join(packed, "document_id").select(
         "document_id", "page_num",
-        F.explode(F.filter("fs", lambda f: F.exists(f["needles"], lambda n: F.contains(low, n)))).alias("f"))
+        F.explode(F.filter("fs", lambda f: F.exists(f["needles"], lambda n: F.contains(F.col("low"), n)))).alias("f"))
     return hits.groupBy("document_id", F.col("f.field_name").alias("field_name")).agg(
         F.min("page_num").alias("page_num"))
 
@@ -72,11 +73,10 @@ def locate_fields(pages: DataFrame, requests: DataFrame) -> DataFrame:
         "document_id", F.struct("field_name", wanted.alias("wanted"),
                                 F.transform(search_candidates(F.col("value")), F.lower).alias("cands")).alias("ask"))
     packed = asks.groupBy("document_id").agg(F.collect_list("ask").alias("asks"))
-    low = F.translate(F.lower("text"), "\n", " ")
-    rows = pages.join(packed, "document_id").select(
-        "document_id", "page_num",
-        F.explode(F.filter("asks", lambda a: F.exists(a["cands"], lambda c: F.contains(low, c)))).alias("a"),
-        low.alias("low"))
+    lowered = pages.select("document_id", "page_num", F.translate(F.lower("text"), "\n", " ").alias("low"))
+    rows = lowered.join(packed, "document_id").select(
+        "document_id", "page_num", "low",
+        F.explode(F.filter("asks", lambda a: F.exists(a["cands"], lambda c: F.contains(F.col("low"), c)))).alias("a"))
     found = rows.select("document_id", "page_num", F.col("a.field_name").alias("field_name"),
                         F.coalesce(F.col("a.wanted") == F.col("page_num"), F.lit(False)).alias("asked"),
                         F.get(F.filter("a.cands", lambda c: F.contains(F.col("low"), c)), 0).alias("matched"))

@@ -60,9 +60,11 @@ def match_checks(members: DataFrame, fields: DataFrame,
     """One row per shipment that has both documents, one column per check (PASS/FAIL/SKIP)."""
     pairs = shipment_pairs(members).filter(
         F.col("po_document_id").isNotNull() & F.col("invoice_document_id").isNotNull())
-    po = field_map(fields, PO_FIELDS).select(
+    # one pivot serves both sides; Spark shuffles the fields once and reads that twice
+    wide = field_map(fields, sorted({*PO_FIELDS, *INVOICE_FIELDS}))
+    po = wide.select(
         F.col("document_id").alias("po_document_id"), *[F.col(n).alias(f"po_{n}") for n in PO_FIELDS])
-    inv = field_map(fields, INVOICE_FIELDS).select(
+    inv = wide.select(
         F.col("document_id").alias("invoice_document_id"), *[F.col(n).alias(f"inv_{n}") for n in INVOICE_FIELDS])
     both = pairs.join(po, "po_document_id", "left").join(inv, "invoice_document_id", "left")
 
