@@ -72,8 +72,8 @@ def variant_label(issuer: Column, class_name: Column, letter: Column) -> Column:
 def abstract_filename(name: Column) -> Column:
     """File name as a pattern: digits -> \\d+, runs of 3+ capitals -> [A-Z]+; short ones are null."""
     base = F.trim(F.regexp_replace(name, r"\.[a-zA-Z0-9]{2,5}$", ""))
-    escaped = F.regexp_replace(base, rf"([^{WORD}])", r"\\\\$1")
-    digits = F.regexp_replace(escaped, r"\\?[0-9]+", r"\\\\d+")
+    escaped = F.regexp_replace(base, r"([\\.^$*+?{}\[\]|()\-&#~\s])", r"\\$1")
+    digits = F.regexp_replace(escaped, r"\\?[0-9]+", r"\\d+")
     caps = F.regexp_replace(digits, rf"(?<![{WORD}])[A-Z]{{3,}}(?![{WORD}])", "[A-Z]+")
     return F.when((base != "") & (F.length(caps) >= 4), caps)
 

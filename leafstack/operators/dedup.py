@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafstack.functions.text import hamming, similarity_class
 from leafstack.operators.fieldset import amendment_outcome, field_diff
 from leafstack.rules import DEDUP_STATES
+from leafstack.session import cut_lineage
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -118,8 +119,9 @@ def near_duplicates(docs: DataFrame, content: int = 3, near: int = 10, keep: int
     if skip_blank:
         base = base.filter(F.col("content_simhash") != 0)
     order = F.struct("created_at", "document_id")
-    rows = base.select("document_id", "class_id", F.col("content_simhash").alias("fp"),
-                       F.col("status").isin(DEDUP_STATES).alias("eligible"), order.alias("o"))
+    # narrow rows, written once: everything below reads them several times
+    rows = cut_lineage(base.select("document_id", "class_id", F.col("content_simhash").alias("fp"),
+                                   F.col("status").isin(DEDUP_STATES).alias("eligible"), order.alias("o")))
     prints = rows.groupBy("class_id", "fp").agg(
         F.min(F.when(F.col("eligible"), F.col("o"))).alias("first_order"),
         F.count_if("eligible").alias("eligible_count"))
@@ -134,7 +136,7 @@ def near_duplicates(docs: DataFrame, content: int = 3, near: int = 10, keep: int
     targets = prints.filter(F.col("eligible_count") > 0).select("class_id", "fp", "first_order")
     # prints that some document cannot settle at distance 0
     open_prints = prints.filter(F.col("eligible_count") <= 1).select("class_id", "fp", "first_order")
-    close = _nearest(open_prints, targets, content, 3, hot)
+    close = cut_lineage(_nearest(open_prints, targets, content, 3, hot))
     rest = open_prints.join(close, ["class_id", "fp"], "left_anti")
     far = _nearest(rest, targets, near, keep, hot)
     answers = close.unionByName(far)
