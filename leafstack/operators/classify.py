@@ -83,7 +83,7 @@ def first_true(cases: Sequence[tuple[Column, Column]], otherwise: Column) -> Col
 
 def classify_documents(docs: DataFrame, rules: Sequence[ClassRule],
                        redirects: Sequence[Redirect] = REDIRECTS,
-                       phrases: Sequence[PhraseRule] = PHRASE_RULES) -> DataFrame:
+                       phrases: Sequence[PhraseRule] = PHRASE_RULES, keep: Sequence[str] = ()) -> DataFrame:
     """document_id, class_id, confidence, score, how.
 
     Order: a class set by hand (confidence 1); phrase rules (1); keyword scores plus
@@ -91,12 +91,13 @@ def classify_documents(docs: DataFrame, rules: Sequence[ClassRule],
     in rule order; the first redirect that fits.  Confidence is score / keyword count,
     at most 1, 4 decimals.  Without a class both are null / 0.
 
-    One projection per document: the text is read once and is not in the output.
+    One projection per document: the text is read once and is not in the output, unless
+    `keep` names it among the columns to pass on.
     """
     stem = file_stem(F.col("file_name")) if "file_name" in docs.columns else F.lit("")
     override = F.col("class_override") if "class_override" in docs.columns else F.lit(None).cast("string")
     text = F.lower(collapse(F.coalesce("text", F.lit(""))))
-    base = docs.select("document_id", override.alias("override"), text.alias("t"), stem.alias("stem"))
+    base = docs.select("document_id", *keep, override.alias("override"), text.alias("t"), stem.alias("stem"))
     scored = base.withColumn("scores", score_array(F.col("t"), F.col("stem"), rules))
     passing = F.filter("scores", lambda s: s["score"] >= MIN_SCORE)
     best = F.array_max(F.transform(passing, lambda s: F.struct(
@@ -130,8 +131,8 @@ def classify_documents(docs: DataFrame, rules: Sequence[ClassRule],
             F.lit(p.target).alias("class_id"), F.lit(1.0).alias("confidence"), F.lit("phrase").alias("how")))
            for p in phrases],
         redirected)
-    return won.select("document_id", F.col("best.score").alias("score"), decided.alias("d")).select(
-        "document_id", F.col("d.class_id").alias("class_id"),
+    return won.select("document_id", *keep, F.col("best.score").alias("score"), decided.alias("d")).select(
+        "document_id", *keep, F.col("d.class_id").alias("class_id"),
         F.coalesce(F.col("d.confidence"), F.lit(0.0)).alias("confidence"),
         F.coalesce("score", F.lit(0)).alias("score"),
         F.coalesce(F.col("d.how"), F.lit("none")).alias("how"))

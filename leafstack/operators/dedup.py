@@ -101,7 +101,7 @@ def _nearest(queries: DataFrame, targets: DataFrame, distance: int, keep: int, h
 
 
 def near_duplicates(docs: DataFrame, content: int = 3, near: int = 10, keep: int = 2,
-                    hot: int = 2_000, skip_blank: bool = True) -> DataFrame:
+                    hot: int = 2_000, skip_blank: bool = True, history: DataFrame | None = None) -> DataFrame:
     """Nearest finished document of the same class by fingerprint distance, up to `near` bits.
 
     `docs`: document_id, class_id, status, created_at, content_simhash.  Candidates are
@@ -114,17 +114,24 @@ def near_duplicates(docs: DataFrame, content: int = 3, near: int = 10, keep: int
     still without an answer look for neighbours within `content` bits through long keys,
     and only the rest within `near` bits.  `keep` sets the key length of that last search:
     2 for up to some 100,000 fingerprints a class, 3 for ten million, 4 beyond.
+
+    `history` (same columns) only offers candidates: `docs` are looked up in it and among
+    themselves, as a micro-batch against the stored fingerprints.
     """
-    base = docs.filter(F.col("class_id").isNotNull() & F.col("content_simhash").isNotNull())
+    columns = ["document_id", "class_id", "status", "created_at", "content_simhash"]
+    asked = docs.select(*columns, F.lit(True).alias("ask"))
+    if history is not None:
+        asked = asked.unionByName(history.select(*columns, F.lit(False).alias("ask")))
+    base = asked.filter(F.col("class_id").isNotNull() & F.col("content_simhash").isNotNull())
     if skip_blank:
         base = base.filter(F.col("content_simhash") != 0)
     order = F.struct("created_at", "document_id")
     # narrow rows, written once: everything below reads them several times
-    rows = cut_lineage(base.select("document_id", "class_id", F.col("content_simhash").alias("fp"),
+    rows = cut_lineage(base.select("document_id", "class_id", "ask", F.col("content_simhash").alias("fp"),
                                    F.col("status").isin(DEDUP_STATES).alias("eligible"), order.alias("o")))
     prints = rows.groupBy("class_id", "fp").agg(
         F.min(F.when(F.col("eligible"), F.col("o"))).alias("first_order"),
-        F.count_if("eligible").alias("eligible_count"))
+        F.count_if("eligible").alias("eligible_count"), F.bool_or("ask").alias("asked"))
 
     # the first document of a print may not be its own original: its answer is the second one
     crowded = prints.filter(F.col("eligible_count") > 1).select("class_id", "fp", "first_order")
@@ -135,14 +142,14 @@ def near_duplicates(docs: DataFrame, content: int = 3, near: int = 10, keep: int
     )
     targets = prints.filter(F.col("eligible_count") > 0).select("class_id", "fp", "first_order")
     # prints that some document cannot settle at distance 0
-    open_prints = prints.filter(F.col("eligible_count") <= 1).select("class_id", "fp", "first_order")
+    open_prints = prints.filter("asked").filter(F.col("eligible_count") <= 1).select("class_id", "fp", "first_order")
     close = cut_lineage(_nearest(open_prints, targets, content, 3, hot))
     rest = open_prints.join(close, ["class_id", "fp"], "left_anti")
     far = _nearest(rest, targets, near, keep, hot)
     answers = close.unionByName(far)
 
     joined = (
-        rows.drop("eligible").join(prints, ["class_id", "fp"])
+        rows.filter("ask").drop("eligible").join(prints, ["class_id", "fp"])
         .join(second, ["class_id", "fp"], "left").join(answers, ["class_id", "fp"], "left")
     )
     is_first = F.col("o").eqNullSafe(F.col("first_order"))

@@ -60,6 +60,27 @@ def extract_fields(docs: DataFrame, patterns: Sequence[Pattern], targets: Mappin
     stage factor, at most 1, 4 decimals.  The text stays where it is: one projection makes
     an array of hits, and only the hits become rows.
     """
+    hits = _with_hits(docs, patterns, targets, exclusions).select("document_id", F.explode("hits").alias("h"))
+    return hits.select("document_id", "h.*", F.lit("TEXT_LAYER").alias("extraction_method"), F.lit(1).alias("extraction_tier"))
+
+
+def extract_map(docs: DataFrame, patterns: Sequence[Pattern], targets: Mapping[str, Sequence[str]],
+                exclusions: Mapping[str, Sequence[str]] = PATTERN_EXCLUSIONS) -> DataFrame:
+    """As `extract_fields`, but one row per document: document_id, class_id, fields map, avg_confidence.
+
+    Needs no grouping, so it also runs on a stream.
+    """
+    d = _with_hits(docs, patterns, targets, exclusions)
+    entries = F.transform("hits", lambda h: F.struct(h["field_name"], h["field_value"]))
+    total = F.aggregate("hits", F.lit(0).cast("decimal(18,6)"),
+                        lambda a, h: (a + h["confidence"].cast("decimal(18,6)")).cast("decimal(18,6)"))
+    return d.select("document_id", "class_id", F.map_from_entries(entries).alias("fields"),
+                    rounded(total / F.nullif(F.size("hits"), F.lit(0)).cast("decimal(18,0)"), 4).alias("avg_confidence"))
+
+
+def _with_hits(docs: DataFrame, patterns: Sequence[Pattern], targets: Mapping[str, Sequence[str]],
+               exclusions: Mapping[str, Sequence[str]]) -> DataFrame:
+    """document_id, class_id, hits: array<struct<ordinal,field_name,field_value,confidence>>."""
     by_field: dict[str, list[Pattern]] = {}
     for p in patterns:
         by_field.setdefault(p.field_name, []).append(p)
@@ -81,14 +102,13 @@ def extract_fields(docs: DataFrame, patterns: Sequence[Pattern], targets: Mappin
             classes += cs
         hit = F.when(F.col("class_id").isin(classes), first_match(F.col("text"), name, by_field[name]))
         cells.append(F.struct(ordinal.alias("ordinal"), F.lit(name).alias("field_name"), hit.alias("hit")))
-    hits = base.select("document_id", "factor", F.explode(
-        F.filter(F.array(*cells), lambda c: c["hit"].isNotNull())).alias("c"))
-    conf = F.substring_index("c.hit", "|", 1).cast("decimal(6,4)") * F.col("factor")
-    return hits.select(
-        "document_id", F.col("c.ordinal").alias("ordinal"), F.col("c.field_name").alias("field_name"),
-        F.expr("substring(c.hit, locate('|', c.hit) + 1)").alias("field_value"),
-        rounded(F.least(conf, F.lit(1).cast("decimal(2,0)")), 4).alias("confidence"),
-        F.lit("TEXT_LAYER").alias("extraction_method"), F.lit(1).alias("extraction_tier"))
+    found = base.select("document_id", "class_id", "factor", F.filter(F.array(*cells), lambda c: c["hit"].isNotNull()).alias("found"))
+    one = F.lit(1).cast("decimal(2,0)")
+    return found.select("document_id", "class_id", F.transform("found", lambda c: F.struct(
+        c["ordinal"].alias("ordinal"), c["field_name"].alias("field_name"),
+        F.regexp_replace(c["hit"], r"^[^|]*\|", "").alias("field_value"),
+        rounded(F.least(F.substring_index(c["hit"], "|", 1).cast("decimal(6,4)") * F.col("factor"), one), 4).alias("confidence"),
+    )).alias("hits"))
 
 
 def fast_path(docs: DataFrame, learned: Mapping[str, Sequence[Pattern]], targets: Mapping[str, Sequence[str]],

@@ -82,7 +82,8 @@ def link_documents(docs: DataFrame, keys: DataFrame, shipments: DataFrame | None
         rows = shipments.select("shipment_id", "created_at", F.col("reference_key").alias("key"), F.lit(0).alias("kind")).unionByName(
             shipment_keys.join(shipments.select("shipment_id", "created_at"), "shipment_id").select(
                 "shipment_id", "created_at", "key", F.lit(1).alias("kind")))
-        old = rows.select("key", "kind", at.alias("t"), fo.alias("fo"), F.col("shipment_id").alias("founder"))
+        old = rows.join(base.select("key").distinct(), "key", "left_semi").select(
+            "key", "kind", at.alias("t"), fo.alias("fo"), F.col("shipment_id").alias("founder"))
 
     while True:
         placed = base.join(guess.select("document_id", "founder", "fo"), "document_id")

@@ -39,7 +39,13 @@ def validate(docs: DataFrame, fields: DataFrame,
     Required fields, dates, numbers, subtotal + VAT = total within 0.02 for supplier
     invoices, the shipper declaration of dangerous goods.  One shuffle: the field maps.
     """
-    docs = with_field_dict(docs.select("document_id", "class_id"), fields)
+    return validate_maps(with_field_dict(docs.select("document_id", "class_id"), fields), required, dates, numbers)
+
+
+def validate_maps(docs: DataFrame, required: Mapping[str, Sequence[str]] = R.VALIDATION_REQUIRED,
+                  dates: Mapping[str, Sequence[str]] = R.DATE_FIELDS,
+                  numbers: Mapping[str, Sequence[str]] = R.NUMBER_FIELDS) -> DataFrame:
+    """`validate` on documents that carry their field map: a plain projection, also on a stream."""
     f = F.col("fields")
     value = lambda n: F.try_element_at(f, n if isinstance(n, Column) else F.lit(n))
     filled = lambda n: F.coalesce(value(n), F.lit("")) != ""

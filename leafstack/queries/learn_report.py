@@ -497,7 +497,7 @@ def usage_by_severity(spark, sf):
 SELECT total_docs, completed_docs, docs_with_pages, total_variants, variants_profiled, stage_learned, stage_learning, stage_no_profile, pages_seen, pages_skipped, pages_seen - pages_skipped AS pages_sampled,
   pages_skipped * 300 AS tokens_saved, CAST(saved AS DOUBLE) AS cost_saved_usd, CAST(round(CAST(pages_seen::DOUBLE / docs_with_pages AS DECIMAL(18,8)), 1) AS DOUBLE) AS avg_pages_per_doc,
   CAST(round(CAST((pages_seen - pages_skipped)::DOUBLE / docs_with_pages AS DECIMAL(18,8)), 1) AS DOUBLE) AS avg_pages_sampled, CAST(base AS DOUBLE) AS baseline_cost_per_doc, CAST(act AS DOUBLE) AS actual_cost_per_doc,
-  CAST(floor((1 - act / base) * 100) AS INT) AS pct_reduction, greatest(1, completed_docs // 4) AS weekly_docs_avg, CAST(round(CAST(saved::DOUBLE / docs_with_pages * greatest(1, completed_docs // 4) * 52 AS DECIMAL(18,8)), 2) AS DOUBLE) AS annual_projected_saving,
+  CAST(floor(round((1 - act / base) * 100, 6)) AS INT) AS pct_reduction, greatest(1, completed_docs // 4) AS weekly_docs_avg, CAST(round(CAST(saved::DOUBLE / docs_with_pages * greatest(1, completed_docs // 4) * 52 AS DECIMAL(18,8)), 2) AS DOUBLE) AS annual_projected_saving,
   skip_candidates, CAST(round(CAST(skip_candidates * 3000 AS DECIMAL(20,0)) * 0.000003, 4) AS DOUBLE) AS candidate_saving_usd
 FROM (SELECT *, round(CAST(pages_skipped AS DECIMAL(18,0)) * 0.0009, 4) AS saved, round(CAST(pages_seen::DOUBLE / docs_with_pages * 0.0009 AS DECIMAL(18,10)), 4) AS base, round(CAST((pages_seen - pages_skipped)::DOUBLE / docs_with_pages * 0.0009 AS DECIMAL(18,10)), 4) AS act
   FROM (SELECT count(*) AS total_docs, count(*) FILTER (status = 'COMPLETED') AS completed_docs, count(pages_total) AS docs_with_pages, sum(pages_total) AS pages_seen, sum(pages_skipped_count) FILTER (pages_total IS NOT NULL) AS pages_skipped FROM registry),

@@ -160,11 +160,10 @@ EVENT_STATES = {"signup": "RECEIVED", "view": "EXTRACTING", "click": "VALIDATING
 
 
 def document_events(spark: SparkSession, sf: str) -> DataFrame:
-    e = read_table(spark, sf, "events")
-    return _events(e)
+    return events_of(read_table(spark, sf, "events"))
 
 
-def _events(e: DataFrame) -> DataFrame:
+def events_of(e: DataFrame) -> DataFrame:
     states = F.create_map(*[F.lit(x) for kv in EVENT_STATES.items() for x in kv])
     return e.select(
         F.concat(F.lit("doc_"), "user_id").alias("document_id"), "event_id",
@@ -179,10 +178,10 @@ def variants(spark: SparkSession, sf: str) -> DataFrame:
     return inv.groupBy("variant_id", "class_id").agg(
         F.count(F.lit(1)).alias("doc_count"), F.min("created_at").alias("created_at")).select(
         "variant_id", "class_id", "doc_count", "created_at",
-        learning_stage((F.regexp_replace("variant_id", "v_", "").cast("int") * 4).cast("bigint")).alias("learning_stage"),
+        learning_stage((F.regexp_replace("variant_id", "v_", "").try_cast("int") * 4).cast("bigint")).alias("learning_stage"),
         F.concat(F.lit("Layout "), "variant_id").alias("variant_label"),
-        (F.regexp_replace("variant_id", "v_", "").cast("int") % 7 != 6).alias("active"),
-        (F.regexp_replace("variant_id", "v_", "").cast("int") % 5).alias("confirmed_instances"))
+        (F.regexp_replace("variant_id", "v_", "").try_cast("int") % 7 != 6).alias("active"),
+        (F.regexp_replace("variant_id", "v_", "").try_cast("int") % 5).alias("confirmed_instances"))
 
 
 def variant_schema(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,28 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and return it with a short plan.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only where that is
-    unset and the master is local does a temporary folder stand in.
+    Only where that is unset and the master is local does a temporary folder stand in.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="leafstack-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+            folder = tempfile.mkdtemp(prefix="leafstack-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new, so far unused path inside the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the reliable checkpoint folder and return it with a short plan."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
