@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafstack.functions.text import (
     collapse, file_stem, filename_bonus, keyword_score, text_array)
+from leafstack.operators.common import unfold
 from leafstack.rules import PHRASE_RULES, REDIRECTS, ClassRule, PhraseRule, Redirect
 
 MIN_SCORE = 2
@@ -43,7 +44,7 @@ def keyword_scores(docs: DataFrame, rules: Sequence[ClassRule]) -> DataFrame:
     stem = file_stem(F.col("file_name")) if "file_name" in docs.columns else F.lit("")
     text = F.lower(collapse(F.coalesce("text", F.lit(""))))
     scored = docs.select("document_id", text.alias("t"), stem.alias("stem"))
-    out = scored.select("document_id", F.explode(score_array(F.col("t"), F.col("stem"), rules)).alias("s"))
+    out = unfold(scored, ["document_id"], score_array(F.col("t"), F.col("stem"), rules), "s")
     return out.filter(F.col("s.score") > 0).select(
         "document_id", F.col("s.class_id").alias("class_id"), F.col("s.score").alias("score"))
 

@@ -70,6 +70,15 @@ def neighbour(df: DataFrame, group: str, ts: str, tie: str, cols: Sequence[str],
     )
 
 
+def unfold(df: DataFrame, keep: Sequence[str], array: Column, alias: str = "item") -> DataFrame:
+    """One row per element of a costly array.
+
+    A plain explode makes the optimiser test the array for emptiness below the generator,
+    which works the array out a second time; the outer form is tested above it.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(alias)).filter(F.col(alias).isNotNull())
+
+
 def exact_avg(value: Column, scale: int = 6) -> Column:
     """Average that does not depend on the order rows are added in (decimal sum)."""
     return F.avg(value.cast(f"decimal(18,{scale})"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.operators.common import rounded
+from leafstack.operators.common import rounded, unfold
 from leafstack.rules import (
     DEFAULT_STAGE_FACTOR, NUMERIC_FIELDS, PATTERN_EXCLUSIONS, STAGE_FACTOR, Pattern)
 
@@ -60,7 +60,8 @@ def extract_fields(docs: DataFrame, patterns: Sequence[Pattern], targets: Mappin
     stage factor, at most 1, 4 decimals.  The text stays where it is: one projection makes
     an array of hits, and only the hits become rows.
     """
-    hits = _with_hits(docs, patterns, targets, exclusions).select("document_id", F.explode("hits").alias("h"))
+    hits = _with_hits(docs, patterns, targets, exclusions)
+    hits = unfold(hits, ["document_id"], F.col("hits"), "h")
     return hits.select("document_id", "h.*", F.lit("TEXT_LAYER").alias("extraction_method"), F.lit(1).alias("extraction_tier"))
 
 

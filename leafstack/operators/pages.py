@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafstack.functions.names import TOKENS_PER_PAGE, cost_of
 from leafstack.functions.text import data_density
-from leafstack.operators.common import rounded
+from leafstack.operators.common import rounded, unfold
 
 MIN_INSTANCES = 3
 
@@ -40,9 +40,8 @@ def attribute_fields(pages: DataFrame, fields: DataFrame) -> DataFrame:
     packed = wanted.groupBy("document_id").agg(F.collect_list(F.struct("field_name", "needles")).alias("fs"))
     # lower-cased before the lambdas: what a lambda mentions is evaluated for every element
     low = pages.select("document_id", "page_num", F.lower("text").alias("low"))
-    hits = low.join(packed, "document_id").select(
-        "document_id", "page_num",
-        F.explode(F.filter("fs", lambda f: F.exists(f["needles"], lambda n: F.contains(F.col("low"), n)))).alias("f"))
+    hits = unfold(low.join(packed, "document_id"), ["document_id", "page_num"],
+                  F.filter("fs", lambda f: F.exists(f["needles"], lambda n: F.contains(F.col("low"), n))), "f")
     return hits.groupBy("document_id", F.col("f.field_name").alias("field_name")).agg(
         F.min("page_num").alias("page_num"))
 
@@ -74,9 +73,8 @@ def locate_fields(pages: DataFrame, requests: DataFrame) -> DataFrame:
                                 F.transform(search_candidates(F.col("value")), F.lower).alias("cands")).alias("ask"))
     packed = asks.groupBy("document_id").agg(F.collect_list("ask").alias("asks"))
     lowered = pages.select("document_id", "page_num", F.translate(F.lower("text"), "\n", " ").alias("low"))
-    rows = lowered.join(packed, "document_id").select(
-        "document_id", "page_num", "low",
-        F.explode(F.filter("asks", lambda a: F.exists(a["cands"], lambda c: F.contains(F.col("low"), c)))).alias("a"))
+    rows = unfold(lowered.join(packed, "document_id"), ["document_id", "page_num", "low"],
+                  F.filter("asks", lambda a: F.exists(a["cands"], lambda c: F.contains(F.col("low"), c))), "a")
     found = rows.select("document_id", "page_num", F.col("a.field_name").alias("field_name"),
                         F.coalesce(F.col("a.wanted") == F.col("page_num"), F.lit(False)).alias("asked"),
                         F.get(F.filter("a.cands", lambda c: F.contains(F.col("low"), c)), 0).alias("matched"))

@@ -11,7 +11,7 @@ from leafstack import rules as R
 from leafstack.functions.values import (
     FIELD_FORMATS, condition_met, format_check, is_placeholder, is_valid_date, is_valid_number,
     length_anomaly, to_decimal)
-from leafstack.operators.common import exact_avg, newest_n, rounded
+from leafstack.operators.common import exact_avg, newest_n, rounded, unfold
 from leafstack.operators.fieldset import field_dict
 
 
@@ -135,10 +135,9 @@ def proof_flags(docs: DataFrame, fields: DataFrame,
         "document_id", "field_name", F.col("l.v").alias("v"))
     filled = latest.filter(F.coalesce("v", F.lit("")) != "")
     have = filled.groupBy("document_id").agg(F.collect_set("field_name").alias("have"))
-    missing = classes.join(have, "document_id", "left").select(
-        "document_id", F.explode(F.array_except(
-            _rules_of(required), F.coalesce("have", F.array().cast("array<string>")))).alias("field_name"),
-        F.lit("MISSING").alias("kind"), F.lit("ERROR").alias("severity"))
+    absent = F.array_except(_rules_of(required), F.coalesce("have", F.array().cast("array<string>")))
+    missing = unfold(classes.join(have, "document_id", "left"), ["document_id"], absent, "field_name").select(
+        "document_id", "field_name", F.lit("MISSING").alias("kind"), F.lit("ERROR").alias("severity"))
     formats = filled.filter(~format_check(F.col("field_name"), F.col("v"))).select(
         "document_id", "field_name", F.lit("FORMAT").alias("kind"), F.lit("ERROR").alias("severity"))
     length = length_anomaly(F.col("field_name"), F.col("field_value"))
@@ -147,8 +146,7 @@ def proof_flags(docs: DataFrame, fields: DataFrame,
         F.when(length == "LONG", F.struct(F.lit("LONG").alias("kind"), F.lit("ERROR").alias("severity"))),
         F.when(is_placeholder(F.col("field_value")), F.struct(
             F.lit("PLACEHOLDER").alias("kind"), F.lit("WARNING").alias("severity")))))
-    odd = fields.filter(F.coalesce("field_value", F.lit("")) != "").select(
-        "document_id", "field_name", F.explode(found).alias("x")).select("document_id", "field_name", "x.*")
+    odd = unfold(fields.filter(F.coalesce("field_value", F.lit("")) != ""), ["document_id", "field_name"], found, "x").select("document_id", "field_name", "x.*")
     bleed = value_bleed(fields).select(
         "document_id", "field_name", F.lit("BLEED").alias("kind"), F.lit("WARNING").alias("severity"))
     flags = missing.unionByName(formats).unionByName(odd).unionByName(bleed)
@@ -225,7 +223,7 @@ def fired_instructions(docs: DataFrame, fields: DataFrame, instructions: Sequenc
         stop = F.array_min(F.transform(F.filter("fired", lambda i: i["action"] == "REQUIRE_APPROVAL"), lambda i: i["place"]))
         fired = fired.withColumn("stop", stop).select(
             "document_id", F.filter("fired", lambda i: F.col("stop").isNull() | (i["place"] <= F.col("stop"))).alias("fired"))
-    return fired.select("document_id", F.explode("fired").alias("i")).select(
+    return unfold(fired, ["document_id"], F.col("fired"), "i").select(
         "document_id", F.col("i.place").alias("place"), F.col("i.instruction_id").alias("instruction_id"),
         F.col("i.action").alias("action"), F.col("i.action_value").alias("action_value"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafstack.functions.names import learning_stage
+from leafstack.operators.common import unfold
 from leafstack.operators.links import document_keys
 from leafstack.sources.tables import read_table
 
@@ -117,7 +118,7 @@ def extracted_fields(spark: SparkSession, sf: str) -> DataFrame:
             F.lit(n).alias("field_name"), c.alias("field_value")) for i, (n, c) in enumerate(named.items())])
     po, inv = cells("po_", _po_cells(), 0), cells("inv_", _invoice_cells(), 10)
     both = F.when(F.col("has_lines"), F.concat(po, inv)).otherwise(po)
-    rows = order_facts(spark, sf).select("k", F.explode(both).alias("c")).select("k", "c.*").filter(
+    rows = unfold(order_facts(spark, sf), ["k"], both, "c").select("k", "c.*").filter(
         F.col("field_value").isNotNull())
     n = F.col("k") * 7 + F.col("ordinal") * 13
     corrected = (F.col("k") + F.col("ordinal")) % 29 == 0
