@@ -111,9 +111,9 @@ def near_duplicates(docs: DataFrame, content: int = 3, near: int = 10, keep: int
 
     Copies are settled first: documents of one fingerprint collapse into one row per
     class, so a group of copies costs one row in everything that follows.  Fingerprints
-    still without an answer look for neighbours within `content` bits through long keys,
-    and only the rest within `near` bits.  `keep` sets the key length of that last search:
-    2 for up to some 100,000 fingerprints a class, 3 for ten million, 4 beyond.
+    still without an answer look for neighbours within 3, 6 and 8 bits through long,
+    selective keys, and only the rest within `near` bits.  `keep` sets the key length of
+    that last search: 2 for up to some 100,000 fingerprints a class, 3 for ten million, 4 beyond.
 
     `history` (same columns) only offers candidates: `docs` are looked up in it and among
     themselves, as a micro-batch against the stored fingerprints.
@@ -143,10 +143,13 @@ def near_duplicates(docs: DataFrame, content: int = 3, near: int = 10, keep: int
     targets = prints.filter(F.col("eligible_count") > 0).select("class_id", "fp", "first_order")
     # prints that some document cannot settle at distance 0
     open_prints = prints.filter("asked").filter(F.col("eligible_count") <= 1).select("class_id", "fp", "first_order")
-    close = cut_lineage(_nearest(open_prints, targets, content, 3, hot))
-    rest = open_prints.join(close, ["class_id", "fp"], "left_anti")
-    far = _nearest(rest, targets, near, keep, hot)
-    answers = close.unionByName(far)
+    answers = None
+    for distance, blocks in [(content, 3), (6, 4), (8, 4), (near, keep)]:
+        if distance < content or distance > near or (distance == near and blocks != keep):
+            continue
+        found = cut_lineage(_nearest(open_prints, targets, distance, blocks, hot))
+        answers = found if answers is None else answers.unionByName(found)
+        open_prints = open_prints.join(found, ["class_id", "fp"], "left_anti")
 
     joined = (
         rows.filter("ask").drop("eligible").join(prints, ["class_id", "fp"])

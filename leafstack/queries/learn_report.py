@@ -758,3 +758,23 @@ def route_documents(spark, sf):
 SELECT CASE WHEN doc_count >= 50 THEN 'OPTIMISED' WHEN doc_count >= 10 THEN 'LEARNED_PROPOSED' WHEN doc_count >= 3 THEN 'LEARNING' ELSE 'ZERO_SHOT' END AS stage, count(*) AS variants FROM variants GROUP BY 1""", ("variants",))
 def cost_by_stage(spark, sf):
     return views.variants(spark, sf).groupBy(N.learning_stage(F.col("doc_count")).alias("stage")).agg(F.count(F.lit(1)).alias("variants"))
+
+
+@query("document_export", "SELECT document_id, status, class_id, variant_id, file_name, file_size_bytes, created_at FROM registry", ("registry",))
+def document_export(spark, sf):
+    return tables.document_view(views.registry(spark, sf))
+
+
+@query("field_export", """
+SELECT document_id, field_name, field_value, confidence::DOUBLE AS confidence, human_corrected, corrected_value FROM fields""", ("fields",))
+def field_export(spark, sf):
+    return tables.field_view(views.extracted_fields(spark, sf))
+
+
+@query("variant_letters", """
+SELECT variant_id, class_id, chr(CAST(64 + row_number() OVER (PARTITION BY class_id ORDER BY created_at, variant_id) AS INT)) AS letter FROM variants""", ("variants",))
+def variant_letters(spark, sf):
+    """Letter of each layout in its class, by age; layouts per class are few, documents are not touched."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("class_id").orderBy("created_at", "variant_id")
+    return views.variants(spark, sf).select("variant_id", "class_id", N.variant_letter(F.row_number().over(w)).alias("letter"))
