@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafstack.llm import line_dedup, sharding
+from leafstack.llm import line_dedup, sharding, token_files
 from leafstack.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
+#: The tokenizer of the token queries; each operator takes the path as a parameter.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(name: str, sql: str | None = None):
@@ -41,3 +44,8 @@ def line_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_sharding")
 def sharding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_token_files")
+def token_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_report(table(spark, sf_dir, "documents"), TOKENIZER)

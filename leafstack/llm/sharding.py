@@ -49,7 +49,7 @@ def _places(rows: DataFrame, group: list[str], bucket: Column, order: list[Colum
     for c in same[1:]:
         on = on & c
     kept = [ranked[c] for c in rows.columns if c not in ("bucket", "n", into)]
-    return ranked.join(offsets, on).select(*kept, "n", (F.col("before") + F.col("inside")).alias(into))
+    return ranked.join(offsets, on).select(*kept, offsets["n"], (F.col("before") + F.col("inside")).alias(into))
 
 
 def interleave(docs: DataFrame, shards: int = 16, seed: int = 17, stratum: str = "source",
