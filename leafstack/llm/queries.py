@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafstack.llm import line_dedup, sharding, token_files
+from leafstack.llm import bpe, line_dedup, quality_rules, sharding, token_files
 from leafstack.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,13 @@ def sharding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_token_files")
 def token_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_report(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op2_quality_rules")
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
+@query("op3_bpe")
+def bpe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER, with_text=False)
