@@ -61,7 +61,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 17, stratum: str =
     narrow = narrow.withColumn("shuffled", _uniform(seed, F.col("doc_id")))
     narrow, _ = stored(narrow, "shard-rows")
     total = narrow.count()
-    buckets = -(-total // rows_per_bucket) or 1
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_bucket))
     tie = [F.col("shuffled"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     spread = F.shiftright(F.col("shuffled") * buckets, UNIFORM_BITS)
     ranked = _places(narrow, ["stratum"], spread, tie, "place")
