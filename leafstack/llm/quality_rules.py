@@ -40,7 +40,7 @@ RULES: dict[str, tuple[str, str, tuple[float, ...]]] = {
     "bangs": ("n_bangs", "n_words", (1.5, 1.0, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1)),
     "long_words": ("word_chars", "n_words", (30.0, 20.0, 15.0, 12.0, 10.0)),
 }
-RISK, DELTA, PENALTY = 0.02, 0.05, 20.0
+RISK, DELTA, PENALTY = 0.03, 0.05, 20.0
 
 
 # --- counts -----------------------------------------------------------------------------------------

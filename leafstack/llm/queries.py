@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafstack.llm import bpe, line_dedup, quality_rules, sharding, token_files
+from leafstack.llm import bpe, line_dedup, near_dedup, quality_rules, sharding, token_files
 from leafstack.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_bpe")
 def bpe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER, with_text=False)
+
+
+@query("op10_near_dedup")
+def near_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
