@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafstack.llm import bpe, line_dedup, near_dedup, quality_rules, sharding, token_files
+from leafstack.llm import bpe, license_scan, line_dedup, near_dedup, quality_rules, sharding, token_files, toxicity
 from leafstack.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,13 @@ def bpe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_dedup")
 def near_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op8_license_scan")
+def license_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def toxicity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,9 +1,10 @@
-"""Encoding with a public tokenizer, a shared place for ids by chunk.
+"""Encoding with a byte-level BPE of the tokenizers library, fast on texts whose words come again.
 
 A text is cut before each space that a non-space character follows. No pre-token of the byte-level
 pattern reaches over such a place, so the chunks' ids joined are the text's ids; a worker keeps the ids
-of the chunks it has met, and only new chunks go to the tokenizers library. Texts with runs of white
-space, or with an added token's string in them, are encoded whole.
+of the chunks it has met, and only new ones go to the library. Of those, chunks of ASCII and Latin
+letters are cut into pre-tokens here and handed to the library's BPE model; any other chunk, texts with
+runs of white space and texts with an added token's string in them take its whole encoder.
 """
 
 from __future__ import annotations
@@ -11,15 +12,18 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
-import numpy as np
+from leafstack.llm.bpe import PATTERN, byte_letters
 
 #: One worker keeps two generations of at most so many chunks each.
-CHUNKS_KEPT = 250_000
-#: Letters for which one class of the pattern is certain: ASCII, Latin-1 and Latin Extended A and B.
+CHUNKS_KEPT = 450_000
+#: Letters of ASCII, Latin-1 and Latin Extended A and B; with printable ASCII, tab and line ends no class of the pattern is in doubt.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_SIMPLE = re.compile(f"[\\t\\n\\r\x20-\x7e{_LETTERS}]*")
+_PIECES = re.compile(PATTERN.replace(r"\p{L}+", f"[{_LETTERS}]+").replace(r"\p{N}+", "[0-9]+").replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTERS}0-9]"))
 _WORD = re.compile(f"([{_LETTERS}]+)([.,;:!?]?)")
-_SPACE = re.compile(r"\s|[\x1c-\x1f]")
+_SPACE = re.compile(r"[\s\x1c-\x1f]")
 
 
 class Odd(Exception):
@@ -32,49 +36,47 @@ class ChunkIds(dict):
     def __init__(self, path: str, dtype: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-        self.dtype, self.old = dtype, {}
+        from tokenizers import Tokenizer
+        self.code, self.old, self.bare = {"<u2": "H", "<u4": "I"}[dtype], {}, {}
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.word = Tokenizer.from_file(path)
-        self.word.no_truncation()
-        self.word.no_padding()
-        self.word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.whole.model
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.bare: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        letters = {b: c for c, b in byte_letters().items()}
+        self.letters = {b: letters[b] for b in range(256)}
 
     def encode(self, text: str) -> bytes:
-        return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
+        return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A pre-token."""
+        as_letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(as_letters)]).tobytes()
 
-    def _plain(self, chunk: str) -> bytes:
-        """A chunk without a space before it."""
-        got = self.bare.get(chunk)
+    def _plain(self, piece: str) -> bytes:
+        """A pre-token without a space before it, from those met."""
+        got = self.bare.get(piece)
         if got is None:
             if len(self.bare) >= CHUNKS_KEPT // 4:
                 self.bare.clear()
-            got = self.bare[chunk] = self.encode(chunk)
+            got = self.bare[piece] = self._piece(piece)
         return got
 
     def __missing__(self, chunk: str) -> bytes:
         got = self.old.get(chunk)
         if got is None:
             if (m := _WORD.fullmatch(chunk)) is not None:
-                if m[2]:
-                    got = self[m[1]] + self._plain(m[2])
-                else:
-                    got = self._bytes(self.word.encode(" " + chunk, add_special_tokens=False).ids)
+                got = self[m[1]] + self._plain(m[2]) if m[2] else self._piece(" " + chunk)
             elif not chunk or _SPACE.match(chunk):
                 raise Odd
+            elif _SIMPLE.fullmatch(chunk):
+                first, *rest = _PIECES.findall(" " + chunk)
+                got = (self[first[1:]] if _WORD.fullmatch(first, 1) else self._plain(first)) + b"".join(map(self._plain, rest))
+                if "\n" in chunk:       # the end of one line and the start of the next: hardly ever the same again
+                    return got
             else:
-                head, line, tail = chunk.partition("\n")
-                if line and tail and not _SPACE.search(tail) and not _SPACE.match(head[-1]):
-                    got = self[head] + self._plain("\n") + self._plain(tail)
-                else:
-                    got = self.encode(" " + chunk)
+                got = self.encode(" " + chunk)
         if len(self) >= CHUNKS_KEPT:
             self.old = dict(self)
             self.clear()
