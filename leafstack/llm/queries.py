@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafstack.llm import bpe, license_scan, line_dedup, near_dedup, quality_rules, sharding, token_files, toxicity
+from leafstack.llm import bpe, decontaminate, html_text, license_scan, line_dedup, near_dedup, quality_rules, sharding, token_files, toxicity
 from leafstack.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,14 @@ def license_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def toxicity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_decontamination")
+def contamination_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (document, item) pairs that are held to be copies."""
+    return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+@query("op6_html_text")
+def html_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
