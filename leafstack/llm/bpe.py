@@ -142,12 +142,12 @@ def encode_pieces(pieces: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps (number of ids, decimal ids, bytes of the tokens) of pieces it has met."""
+    """Encodes batches of texts; keeps (number of ids, decimal ids, bytes of the tokens, ids as 32-bit integers) of pieces it has met."""
 
     def __init__(self, path: str):
         self.vocab = Vocabulary(path)
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, tuple[int, str, bytes, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes, bytes]] = {}
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens; an added token is a piece of its own."""
@@ -170,21 +170,22 @@ class Encoder:
         token_bytes = self.vocab.token_bytes
         plain = [p for p in new if p not in self.vocab.added]
         for p, ids in zip(plain, encode_pieces([p.encode() for p in plain], self.vocab), strict=True):
-            ids = ids.tolist()
-            self.known[p] = (len(ids), ",".join(map(str, ids)), b"".join(map(token_bytes.__getitem__, ids)))
+            raw, ids = ids.astype("<i4").tobytes(), ids.tolist()
+            self.known[p] = (len(ids), ",".join(map(str, ids)), b"".join(map(token_bytes.__getitem__, ids)), raw)
         for p in new:
             if p in self.vocab.added:
                 i = self.vocab.added[p]
-                self.known[p] = (1, str(i), token_bytes[i])
+                self.known[p] = (1, str(i), token_bytes[i], np.array([i], dtype="<i4").tobytes())
 
-    def batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Per text: number of ids, decimal ids joined by commas, and the text decoded from the ids."""
+    def batch(self, texts: list[str]) -> Iterator[tuple[int, str, str, np.ndarray]]:
+        """Per text: number of ids, decimal ids joined by commas, the text decoded from the ids, and the ids."""
         split = [self.split(t) for t in texts]
         self.learn(set().union(*split))
         for pieces in split:
             got = list(map(self.known.__getitem__, pieces))
             yield (sum(g[0] for g in got), ",".join([g[1] for g in got]),
-                   b"".join([g[2] for g in got]).decode("utf-8", errors="replace"))
+                   b"".join([g[2] for g in got]).decode("utf-8", errors="replace"),
+                   np.frombuffer(b"".join([g[3] for g in got]), dtype="<i4"))
 
 
 @functools.lru_cache(maxsize=2)
@@ -213,12 +214,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_text: bool = True) -> Da
             done = 0
             for texts in _groups([t or "" for t in batch.column(1).to_pylist()]):
                 n, ids_hash, text_hash, ids, decoded = [], [], [], [], []
-                for count, decimal, text in enc.batch(texts):
+                for count, decimal, text, made in enc.batch(texts):
                     n.append(count)
                     ids_hash.append(sha(decimal))
                     text_hash.append(sha(text))
                     if with_text:
-                        ids.append([int(x) for x in decimal.split(",")] if decimal else [])
+                        ids.append(made)
                         decoded.append(text)
                 cols = [batch.column(0).slice(done, len(texts)), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

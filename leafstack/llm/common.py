@@ -12,6 +12,8 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a missing doc_id where ids are compared: after all others.
 LAST_ID = 2**63 - 1
+#: Rows of two longs that may be sent to every task.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +44,14 @@ def ascii_lower(text: Column) -> Column:
 def ordered_id(doc_id: Column) -> Column:
     """doc_id for comparisons; a missing one counts as the largest."""
     return F.coalesce(doc_id.cast("long"), F.lit(LAST_ID))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` without the rows of `gone` (doc_id, text_hash = xxhash64 of the text).
+
+    Up to BROADCAST_ROWS of them are sent to the tasks that read the texts; more are joined by a shuffle.
+    """
+    gone, _ = stored(gone.select(ordered_id(F.col("doc_id")).alias("gone_doc"), F.col("text_hash").alias("gone_text")).distinct(), "rows-gone")
+    few = gone.count() <= BROADCAST_ROWS
+    here = (ordered_id(docs["doc_id"]) == F.col("gone_doc")) & (F.xxhash64(docs["text"]) == F.col("gone_text"))
+    return docs.join(F.broadcast(gone) if few else gone, here, "left_anti")

@@ -149,6 +149,9 @@ def content_blocks(blocks: list[tuple[tuple[str, ...], str, bool]], share: float
     for i, (path, _, outside) in enumerate(blocks):
         if not outside and not chosen[i]:
             chosen[i] = any(path[:len(h)] == h for h in homes if CONTENT & set(h)) or (path[-1:] and path[-1] in HEADINGS and path[:-1] in homes)
+        # a heading right before a chosen block, outside its container
+        if chosen[i] and i and blocks[i - 1][0][-1:] and blocks[i - 1][0][-1] in HEADINGS and not blocks[i - 1][2]:
+            chosen[i - 1] = True
     return chosen.tolist()
 
 

@@ -85,3 +85,9 @@ def contamination_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_html_text")
 def html_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run     # it imports this module
+    return run(spark, sf_dir)
