@@ -91,8 +91,8 @@ def _raw_words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def forms(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, whether a placeholder, place among all words) of the canonical words."""
+def forms(words: list[bytes], names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, whether a placeholder, place among all words) of the canonical words; without `names` those stay words."""
     got = np.frombuffer(b"".join(map(word_records().__getitem__, words)), dtype=_RECORD)
     bits = got["bits"]
     ended = np.empty(len(got), dtype=bool)
@@ -103,7 +103,7 @@ def forms(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = np.concatenate(([0], np.cumsum(capital)))
     at = np.arange(len(got))
     lo, hi = np.maximum(at - NEAR, 0), np.minimum(at + NEAR + 1, len(got))
-    name = capital & (bits & 4 == 0) & ~ended & (2 * (sums[hi] - sums[lo]) <= hi - lo)
+    name = np.full(len(got), names) & capital & (bits & 4 == 0) & ~ended & (2 * (sums[hi] - sums[lo]) <= hi - lo)
     keep = np.flatnonzero(bits & 8 == 0)
     h = np.where(name, np.uint64(_hash(NAME)), got["h"])
     return h[keep], (name | (bits & 4 > 0))[keep], keep
@@ -148,12 +148,15 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, slot, _ = forms(_raw_words(text))
-                if len(h) < SHORTEST:
+                # names as placeholders, and as words for documents without capitals or of capitals only
+                both = [forms(_raw_words(text), names)[:2] for names in (True, False)]
+                size = min(window, len(both[0][0]))
+                if size < SHORTEST:
                     continue
-                found = window_hashes(h, slot, min(window, len(h)))
-                usable = np.flatnonzero(found)
-                rows += [(item, min(window, len(h)), int(q), len(usable), int(found[q])) for q in usable]
+                found = [window_hashes(h, slot, size) for h, slot in both]
+                places = {(int(q), int(f[q])) for f in found for q in np.flatnonzero(f)}
+                usable = len({q for q, _ in places})
+                rows += [(item, size, q, usable, h) for q, h in sorted(places)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)],
                                   ["item_id", "size", "q", "n_windows", "hash"])
@@ -170,7 +173,7 @@ def slot_check(doc: str, item: str, offset: int) -> tuple[float, float, int]:
     lo, hi = max(0, -offset), min(len(ih), len(dh) - offset)
     if hi <= lo:
         return 0.0, 0.0, 0
-    same = dh[offset + lo:offset + hi] == ih[lo:hi]
+    same = (dh[offset + lo:offset + hi] == ih[lo:hi]) | (forms(dw, False)[0][offset + lo:offset + hi] == forms(iw, False)[0][lo:hi])
     pairs = [(canonical(iw[ik[k]].decode())[1], canonical(dw[dk[offset + k]].decode())[1]) for k in np.flatnonzero(is_[lo:hi] & same) + lo]
     seen = Counter(pairs)
     best: Counter = Counter()

@@ -5,7 +5,7 @@ equal sets are one node, named by a 128-bit fingerprint of the set. Each of `tre
 starts with all of them. A tree node chooses one of the 64 minwise tokens by its own path and branches
 its documents by that token, so two documents stay together with the probability of their similarity.
 Nodes of up to `leaf` documents are compared exhaustively; larger ones branch again, up to `depth` times,
-and what is still large then is dealt at random into small nodes, anew in each tree. Documents of 75 %
+and are dealt at random into small nodes besides, anew at each level of each tree. Documents of 75 %
 similarity meet in one tree with 0.75^branchings, so 16 trees miss a pair that meets after one branching
 with 2e-10, after two with 2e-6 and after three with 2e-4.
 
@@ -152,12 +152,11 @@ def tree_members(nodes: DataFrame, trees: int, leaf: int, depth: int) -> tuple[D
         stars.append(members.where("fp <> centre").select("fp", "centre"))
         small.append(members.where(F.col("n") <= leaf).select("path", "fp"))
         large = members.where(F.col("n") > leaf)
-        if d == depth:
-            dealt = F.xxhash64("path", F.pmod(F.xxhash64("fp", "path"), F.ceil(F.col("n") / leaf)))
-            small.append(large.select(dealt.alias("path"), "fp"))
-        elif large.isEmpty():
+        dealt = F.xxhash64("path", F.pmod(F.xxhash64("fp", "path"), F.ceil(F.col("n") / leaf)))
+        small.append(large.select(dealt.alias("path"), "fp"))
+        if large.isEmpty():
             break
-        else:
+        if d < depth:
             level = large.join(nodes, "fp").select("fp", _branched(F.col("path"), F.col("tokens")).alias("path"))
     return functools.reduce(DataFrame.unionAll, stars).distinct(), functools.reduce(DataFrame.unionAll, small)
 
