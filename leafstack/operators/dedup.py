@@ -187,9 +187,3 @@ def amendments(duplicates: DataFrame, fields: DataFrame) -> DataFrame:
     """What the field comparison says about each near duplicate."""
     pairs = duplicates.filter(F.col("duplicate_type") == "NEAR_DUPLICATE").select("document_id", "original_document_id")
     return amendment_outcome(pairs, field_diff(pairs, fields))
-
-
-def best_original(pairs: DataFrame, distance: Column, created: Column, original_id: Column) -> DataFrame:
-    """From given candidate pairs: smallest distance, then earliest, then smallest id."""
-    w = Window.partitionBy("document_id").orderBy(distance, created, original_id)
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") == 1).drop("rank")

@@ -178,7 +178,11 @@ def expected_page_count(profile: DataFrame) -> DataFrame:
         "variant_id", F.col("page_count_mode").alias("expected_pages"))
 
 
-def signature_location(found: DataFrame, keep: int = 20_000) -> DataFrame:
+#: Instances after which a rounded running mean of coordinates cannot move.
+SETTLED = 20_000
+
+
+def signature_location(found: DataFrame) -> DataFrame:
     """Where the signature of a layout usually is.
 
     `found`: variant_id, document_id, created_at, page, page_count, bbox (4 fractions),
@@ -187,17 +191,20 @@ def signature_location(found: DataFrame, keep: int = 20_000) -> DataFrame:
     one it starts anew; each box coordinate is a running mean rounded to 4 decimals; the
     newest label stays; confident after 3.
 
-    Running means rounded at each step stop moving: a box coordinate (0..1) after 10,000
-    instances, a page offset once there were twice as many instances as pages.  So the
-    fold needs the first `keep` documents of a layout and, beyond them, only the start of
-    the last run of one anchor: no layout is collected whole.
+    Running means rounded at each step stop moving: a box coordinate (0..1, 4 decimals)
+    once 1/(n+1) is under half a ten-thousandth, from 20,000 instances on, and a page
+    offset once there were twice as many instances as pages.  So the fold needs the first
+    20,000 documents of a layout (or twice its largest page count, if that is more); beyond
+    them only the start of the last run of one anchor and, where none of them had a box,
+    the first box count.  The result is that of the whole fold; no layout is collected whole.
     """
     at = F.struct("created_at", "document_id")
     spot = N.signature_anchor(F.col("page"), F.col("page_count"))
     rows = running_number(found, "variant_id", "created_at", "document_id", "i").select(
         "variant_id", "i", at.alias("o"), spot["anchor"].alias("anchor"),
         spot["offset"].alias("offset"), "bbox", "label")
-    head = rows.filter(F.col("i") <= keep).groupBy("variant_id").agg(
+    bounds = found.groupBy("variant_id").agg(F.greatest(F.lit(SETTLED), 2 * F.max("page_count")).alias("settled"))
+    head = rows.join(bounds, "variant_id").filter(F.col("i") <= F.col("settled")).groupBy("variant_id").agg(
         F.array_sort(F.collect_list(F.struct("o", "anchor", "offset", "bbox"))).alias("seen"),
         F.max("o").alias("head_end"))
     start = F.from_json(F.lit('{"n":0}'), "n bigint, anchor string, offset bigint, bbox array<double>")
@@ -216,7 +223,8 @@ def signature_location(found: DataFrame, keep: int = 20_000) -> DataFrame:
     folded = head.select("variant_id", "head_end", F.aggregate("seen", start, step).alias("s"))
     last = rows.groupBy("variant_id").agg(
         F.count(F.lit(1)).alias("instances"), F.max_by("anchor", "o").alias("last_anchor"),
-        F.max_by("label", F.when(F.coalesce("label", F.lit("")) != "", F.col("o"))).alias("label_nearby"))
+        F.max_by("label", F.when(F.coalesce("label", F.lit("")) != "", F.col("o"))).alias("label_nearby"),
+        F.min_by("bbox", F.when(F.size("bbox") == 4, F.col("o"))).alias("first_box"))
     late = rows.join(folded.select("variant_id", "head_end", F.col("s.anchor").alias("head_anchor")), "variant_id").filter(
         F.col("o") > F.col("head_end"))
     turns = late.join(last.select("variant_id", "last_anchor"), "variant_id")
@@ -231,4 +239,4 @@ def signature_location(found: DataFrame, keep: int = 20_000) -> DataFrame:
     return last.join(folded, "variant_id").join(tail, "variant_id", "left").select(
         "variant_id", "instances", F.col("last_anchor").alias("page_anchor"),
         F.coalesce(F.col("restart_offset").cast("bigint"), F.col("s.offset")).alias("page_offset"),
-        F.col("s.bbox").alias("bbox_hint"), "label_nearby", (F.col("instances") >= 3).alias("confident"))
+        F.coalesce("s.bbox", F.transform("first_box", lambda v: F.bround(v, 4))).alias("bbox_hint"), "label_nearby", (F.col("instances") >= 3).alias("confident"))

@@ -101,7 +101,7 @@ def infer_formats(rows: DataFrame, values: str) -> DataFrame:
     keep = rows.columns
     k = F.col("_kinds")
     staged = (
-        rows.withColumn("_typed", F.transform(values, classify_value))
+        rows.withColumn("_typed", F.transform(values, lambda v: classify_value(v)))
         .withColumn("_trimmed", F.transform(values, lambda v: F.trim(v)))
         .withColumn("_kinds", F.transform("_typed", lambda t: t["type"]))
         .withColumn("_unique", F.array_distinct("_trimmed"))

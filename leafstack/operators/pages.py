@@ -26,7 +26,8 @@ def document_text(pages: DataFrame) -> DataFrame:
 
 
 def attribute_fields(pages: DataFrame, fields: DataFrame) -> DataFrame:
-    """First page of the document that contains each field value.
+    """First page of the document that contains each field value; of documents without any text, all
+    scalar fields on all pages.
 
     Values under 4 characters are not searched; a table field is searched by the values of
     its first row.  The fields of a document travel as one array beside its pages, so a
@@ -42,8 +43,12 @@ def attribute_fields(pages: DataFrame, fields: DataFrame) -> DataFrame:
     low = pages.select("document_id", "page_num", F.lower("text").alias("low"))
     hits = unfold(low.join(packed, "document_id"), ["document_id", "page_num"],
                   F.filter("fs", lambda f: F.exists(f["needles"], lambda n: F.contains(F.col("low"), n))), "f")
-    return hits.groupBy("document_id", F.col("f.field_name").alias("field_name")).agg(
+    found = hits.groupBy("document_id", F.col("f.field_name").alias("field_name")).agg(
         F.min("page_num").alias("page_num"))
+    blind = pages.groupBy("document_id").agg(F.count("text").alias("n")).filter("n = 0").select("document_id")
+    scalar = fields.filter(F.col("field_type") != "table").select("document_id", "field_name").distinct()
+    everywhere = pages.join(blind, "document_id", "left_semi").select("document_id", "page_num").join(scalar, "document_id")
+    return found.unionByName(everywhere.select("document_id", "field_name", "page_num"))
 
 
 def search_candidates(value: Column) -> Column:

@@ -73,14 +73,17 @@ def search_variants(variants: DataFrame, class_id: str | None = None, stage: str
 
 
 def paginate(rows: DataFrame, page: int = 1, page_size: int = 20, order: Sequence[Column] | None = None) -> DataFrame:
-    """One page, newest first; the document id makes the order total."""
-    page_size = max(1, min(page_size, 100))
+    """One page, newest first; the document id makes the order total. Any page size from 1 on is honoured."""
+    if page < 1 or page_size < 1:
+        raise ValueError(f"page and page_size count from 1, got {page} and {page_size}")
     by = list(order) if order else [F.desc("created_at"), F.desc("document_id")]
     return rows.orderBy(*by).offset((page - 1) * page_size).limit(page_size)
 
 
 def page_count(rows: DataFrame, page_size: int = 20) -> DataFrame:
     """total and pages (0 when empty)."""
+    if page_size < 1:
+        raise ValueError(f"page_size counts from 1, got {page_size}")
     return rows.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / page_size))
 
 
@@ -245,8 +248,12 @@ def apply_decisions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def next_class_id(classes: DataFrame) -> DataFrame:
-    """Smallest unused dc_001 ... dc_998, else dc_999."""
-    spark = classes.sparkSession
-    ids = spark.range(1, 999).select(F.format_string("dc_%03d", "id").alias("class_id"))
-    return ids.join(F.broadcast(classes.select("class_id")), "class_id", "left_anti").agg(
-        F.coalesce(F.min("class_id"), F.lit("dc_999")).alias("class_id"))
+    """Smallest unused dc_001, dc_002, ...; after dc_999 come dc_1000 and so on.
+
+    The first number without a class is one more than a used number (or 0) whose successor is unused.
+    """
+    number = F.regexp_extract("class_id", r"^dc_(\d{3,})$", 1).try_cast("bigint")
+    used = classes.select(number.alias("n")).where("n >= 1").distinct()
+    before = used.select(F.col("n").alias("p")).unionAll(classes.sparkSession.range(1).select(F.col("id").alias("p")))
+    free = before.join(used, F.col("n") == F.col("p") + 1, "left_anti")
+    return free.agg(F.format_string("dc_%03d", F.min("p") + 1).alias("class_id"))

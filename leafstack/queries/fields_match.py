@@ -142,10 +142,9 @@ def paginate(spark, sf):
 
 
 @query("page_count", """
-SELECT status, count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM registry GROUP BY status""", ("registry",))
+SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM registry""", ("registry",))
 def page_count(spark, sf):
-    return views.registry(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("total")).withColumn(
-        "pages", F.ceil(F.col("total") / 20))
+    return queues.page_count(views.registry(spark, sf))
 
 
 @query("recent_documents", """

@@ -167,14 +167,29 @@ def label_fingerprint(spark, sf):
     return layouts.label_fingerprint(_layout_docs(spark, sf).withColumnRenamed("issuer_slug", "variant_id"))
 
 
-@query("signature_location")
+@query("signature_location", """
+WITH RECURSIVE f AS (
+  SELECT variant_id, row_number() OVER (PARTITION BY variant_id ORDER BY created_at, document_id) AS i,
+    doc_id * 5 % pages_total AS page, pages_total AS n, [(doc_id * 3) % 100 / 100, (doc_id * 7) % 100 / 100, (doc_id * 11) % 100 / 100, (doc_id * 13) % 100 / 100] AS bbox,
+    CASE WHEN doc_id % 3 = 0 THEN 'signed by' END AS label
+  FROM registry WHERE pages_total IS NOT NULL),
+g AS MATERIALIZED (SELECT *, CASE WHEN page < n - 1 - page THEN 'start' ELSE 'end' END AS a, least(page, n - 1 - page) AS o FROM f),
+r AS (
+  SELECT variant_id, i, a, CAST(o AS BIGINT) AS off, list_transform(bbox, lambda v: round_even(v, 4)) AS box, label FROM g WHERE i = 1
+  UNION ALL
+  SELECT g.variant_id, g.i, g.a, CASE WHEN r.a = g.a THEN CAST(round_even((r.off * r.i + g.o) / (r.i + 1), 0) AS BIGINT) ELSE CAST(g.o AS BIGINT) END,
+    [CAST(round_even(CAST((r.box[1] * r.i + g.bbox[1]) / (r.i + 1) AS DECIMAL(24, 17)), 4) AS DOUBLE), CAST(round_even(CAST((r.box[2] * r.i + g.bbox[2]) / (r.i + 1) AS DECIMAL(24, 17)), 4) AS DOUBLE),
+     CAST(round_even(CAST((r.box[3] * r.i + g.bbox[3]) / (r.i + 1) AS DECIMAL(24, 17)), 4) AS DOUBLE), CAST(round_even(CAST((r.box[4] * r.i + g.bbox[4]) / (r.i + 1) AS DECIMAL(24, 17)), 4) AS DOUBLE)], coalesce(g.label, r.label)
+  FROM r JOIN g ON g.variant_id = r.variant_id AND g.i = r.i + 1)
+SELECT variant_id, i AS instances, a AS page_anchor, off AS page_offset, round(box[1], 2) AS x0, round(box[2], 2) AS y0, round(box[3], 2) AS x1, round(box[4], 2) AS y1, label AS label_nearby, i >= 3 AS confident
+FROM r QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY i DESC) = 1""", ("registry",))
 def signature_location(spark, sf):
     d = views.registry(spark, sf)
     i = F.col("doc_id")
     found = d.filter(F.col("pages_total").isNotNull()).select(
         "variant_id", "document_id", "created_at", (i * 5 % F.col("pages_total")).alias("page"), F.col("pages_total").alias("page_count"),
         F.array(*[((i * m) % 100 / 100).cast("double") for m in (3, 7, 11, 13)]).alias("bbox"), F.when(i % 3 == 0, "signed by").alias("label"))
-    return layouts.signature_location(found).withColumn("bbox_hint", F.array_join(F.transform("bbox_hint", lambda v: v.cast("string")), ","))
+    return layouts.signature_location(found).select("*", *(F.round(F.col("bbox_hint")[k], 2).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1")))).drop("bbox_hint")
 
 
 @query("signature_anchor_last", """
@@ -624,7 +639,7 @@ def decisions(spark, sf):
     return queues.apply_decisions(d, dec).select("document_id", "action", "refused", "new_status")
 
 
-@query("next_class_id", "SELECT min('dc_' || lpad(CAST(n AS VARCHAR), 3, '0')) AS class_id FROM range(1, 999) r(n) WHERE 'dc_' || lpad(CAST(n AS VARCHAR), 3, '0') NOT IN (SELECT DISTINCT 'dc_' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 3, '0') FROM nation)")
+@query("next_class_id", "SELECT min('dc_' || lpad(CAST(n AS VARCHAR), 3, '0')) AS class_id FROM range(1, (SELECT count(*) + 2 FROM nation)) r(n) WHERE 'dc_' || lpad(CAST(n AS VARCHAR), 3, '0') NOT IN (SELECT DISTINCT 'dc_' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 3, '0') FROM nation)")
 def next_class_id(spark, sf):
     c = tables.read_table(spark, sf, "nation", "n_nationkey").select(F.format_string("dc_%03d", F.col("n_nationkey") + 1).alias("class_id"))
     return queues.next_class_id(c)

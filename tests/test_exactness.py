@@ -234,9 +234,20 @@ def test_signature_location(spark):
     groups = {f"v{g}": [(rng.randrange(6), 6, [rng.randrange(1000) / 1000 for _ in range(4)]) for _ in range(rng.randrange(1, 80))] for g in range(6)}
     rows = [(v, f"d{i:03d}", BASE + timedelta(minutes=i * 30), p, c, b, None) for v, r in groups.items() for i, (p, c, b) in enumerate(r)]
     df = spark.createDataFrame(rows, "variant_id string, document_id string, created_at timestamp_ntz, page int, page_count int, bbox array<double>, label string")
-    for keep in (20_000, 30):       # 30: page offsets are frozen by then, the rest comes from the tail
-        for r in layouts.signature_location(df, keep).collect():
-            anchor, off, box = signature_by_hand(groups[r.variant_id])
-            assert (r.page_anchor, r.page_offset) == (anchor, off), (r.variant_id, keep)
-            if keep == 20_000:
-                assert all(abs(a - b) < 2e-4 for a, b in zip(r.bbox_hint, box))
+    for r in layouts.signature_location(df).collect():
+        anchor, off, box = signature_by_hand(groups[r.variant_id])
+        assert (r.page_anchor, r.page_offset) == (anchor, off), r.variant_id
+        assert all(abs(a - b) < 2e-4 for a, b in zip(r.bbox_hint, box))
+
+
+def test_signature_box_after_the_head(spark):
+    """Over 20,000 documents without a box, then boxes: the first one counts. Two late pages turn the anchor."""
+    n = 20_050
+    i = F.col("id")
+    df = spark.range(n).select(
+        F.lit("v").alias("variant_id"), F.format_string("d%06d", i).alias("document_id"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=i.cast("int"))).alias("created_at"),
+        F.when(i < n - 2, 1).otherwise(4).alias("page"), F.lit(6).alias("page_count"),
+        F.when(i >= 20_010, F.array(*(F.lit(x) for x in (0.1, 0.2, 0.3, 0.4)))).alias("bbox"), F.lit(None).cast("string").alias("label"))
+    r = layouts.signature_location(df).first()
+    assert (r.instances, r.page_anchor, r.page_offset, r.bbox_hint) == (n, "end", 1, [0.1, 0.2, 0.3, 0.4])
