@@ -20,7 +20,7 @@ def with_views(body: str, *names: str) -> str:
             order.append(n)
     for n in names:
         add(n)
-    ctes = ",\n".join(f"{n} AS ({BASE[n][1]})" for n in order)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({BASE[n][1]})" for n in order)
     if ctes and body.lstrip().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {ctes},\n{body.lstrip().removeprefix('WITH RECURSIVE ')}"
     return f"WITH {ctes}\n{body}" if ctes else body
