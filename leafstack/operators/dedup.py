@@ -11,19 +11,21 @@ from pyspark.sql import functions as F
 from leafstack.functions.text import hamming, similarity_class
 from leafstack.operators.fieldset import amendment_outcome, field_diff
 from leafstack.rules import DEDUP_STATES
-from leafstack.session import cut_lineage
+from leafstack.session import cut_lineage, stored
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """Later copies of the same bytes, each with the first document that had them.
 
-    First means by (created_at, document_id).  The first of each hash is an aggregate
-    with map-side combining; hashes seen once drop out before the join back.
+    First means by (created_at, document_id).  Hashes are read into a narrow table once.  The first
+    of each is an aggregate with map-side combining; hashes seen once drop out before the join back,
+    which is against a stored table, so a hash of a third of all rows is split among tasks.
     """
-    firsts = docs.groupBy("file_sha256").agg(
+    rows = stored(docs.select("document_id", "file_sha256", "created_at"), "hashes")
+    firsts = rows.groupBy("file_sha256").agg(
         F.min(F.struct("created_at", "document_id")).alias("f"), F.count(F.lit(1)).alias("copies"),
     ).filter(F.col("copies") > 1).select("file_sha256", F.col("f.document_id").alias("original_document_id"), "copies")
-    return docs.select("document_id", "file_sha256").join(firsts, "file_sha256").filter(
+    return rows.select("document_id", "file_sha256").join(stored(firsts, "first-copies"), "file_sha256").filter(
         F.col("document_id") != F.col("original_document_id")
     ).select("document_id", "original_document_id", "file_sha256", "copies")
 
@@ -77,8 +79,10 @@ def _nearest(queries: DataFrame, targets: DataFrame, distance: int, keep: int, h
     """
     masks = block_masks(distance, keep)
     q, t = _keyed(queries, masks), _keyed(targets, masks)
+    # keys of targets that a query has, written once: sizes, joins and the second level read them
+    t = stored(t.join(q.select("class_id", "mask_no", "key").distinct(), ["class_id", "mask_no", "key"], "left_semi"), "target-keys")
     sizes = t.groupBy("class_id", "mask_no", "key").agg(F.count(F.lit(1)).alias("n"))
-    wanted = sizes.join(q.select("class_id", "mask_no", "key").distinct(), ["class_id", "mask_no", "key"], "left_semi")
+    wanted = stored(sizes, "key-sizes")
     cold, crowded = wanted.filter(F.col("n") <= hot).drop("n"), wanted.filter(F.col("n") > hot).drop("n")
     on = ["class_id", "mask_no", "key"]
     found = _best_in_blocks(q.join(cold, on, "left_semi"), t.join(cold, on, "left_semi"), distance)
@@ -111,7 +115,7 @@ def near_duplicates(docs: DataFrame, content: int = 3, near: int = 10, keep: int
 
     Copies are settled first: documents of one fingerprint collapse into one row per
     class, so a group of copies costs one row in everything that follows.  Fingerprints
-    still without an answer look for neighbours within 3, 6 and 8 bits through long,
+    still without an answer look for neighbours within `content` bits through long,
     selective keys, and only the rest within `near` bits.  `keep` sets the key length of
     that last search: 2 for up to some 100,000 fingerprints a class, 3 for ten million, 4 beyond.
 
@@ -129,9 +133,9 @@ def near_duplicates(docs: DataFrame, content: int = 3, near: int = 10, keep: int
     # narrow rows, written once: everything below reads them several times
     rows = cut_lineage(base.select("document_id", "class_id", "ask", F.col("content_simhash").alias("fp"),
                                    F.col("status").isin(DEDUP_STATES).alias("eligible"), order.alias("o")))
-    prints = rows.groupBy("class_id", "fp").agg(
+    prints = stored(rows.groupBy("class_id", "fp").agg(
         F.min(F.when(F.col("eligible"), F.col("o"))).alias("first_order"),
-        F.count_if("eligible").alias("eligible_count"), F.bool_or("ask").alias("asked"))
+        F.count_if("eligible").alias("eligible_count"), F.bool_or("ask").alias("asked")), "prints")
 
     # the first document of a print may not be its own original: its answer is the second one
     crowded = prints.filter(F.col("eligible_count") > 1).select("class_id", "fp", "first_order")
@@ -144,13 +148,14 @@ def near_duplicates(docs: DataFrame, content: int = 3, near: int = 10, keep: int
     # prints that some document cannot settle at distance 0
     open_prints = prints.filter("asked").filter(F.col("eligible_count") <= 1).select("class_id", "fp", "first_order")
     answers = None
-    for distance, blocks in [(content, 3), (6, 4), (8, 4), (near, keep)]:
+    for distance, blocks in [(content, 3), (near, keep)]:
         if distance < content or distance > near or (distance == near and blocks != keep):
             continue
         found = cut_lineage(_nearest(open_prints, targets, distance, blocks, hot))
         answers = found if answers is None else answers.unionByName(found)
         open_prints = open_prints.join(found, ["class_id", "fp"], "left_anti")
 
+    second = stored(second, "second-copies")
     joined = (
         rows.filter("ask").drop("eligible").join(prints, ["class_id", "fp"])
         .join(second, ["class_id", "fp"], "left").join(answers, ["class_id", "fp"], "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafstack.functions import names as N
 from leafstack.functions.names import is_layout_field, slugify
 from leafstack.operators.common import running_number
+from leafstack.session import stored
 
 STRONG_FIELDS, WEAK_FIELDS = 0.85, 0.60
 STRONG_LABELS, WEAK_LABELS = 0.75, 0.50
@@ -93,7 +94,7 @@ def discover_variants(docs: DataFrame, variants: DataFrame) -> DataFrame:
         F.coalesce("field_names", F.array().cast("array<string>")).alias("field_names"),
         F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),
         F.coalesce("pages_total", F.lit(0)).alias("pages_total"))
-    keyed = shaped.withColumn("sig", F.sha2(F.to_json(F.struct(*sig)), 256))
+    keyed = stored(shaped.withColumn("sig", F.sha2(F.to_json(F.struct(*sig)), 256)), "signatures")
     distinct = keyed.groupBy("sig").agg(*[F.first(c).alias(c) for c in sig])
     cands = variant_candidates(distinct, variants)
     rank = F.struct(-F.greatest("field_j", "label_j"), F.col("variant_id"))
@@ -105,7 +106,7 @@ def discover_variants(docs: DataFrame, variants: DataFrame) -> DataFrame:
     pages_ok = F.col("b.page_count_mode").isNull() | (F.col("pages_total") == 0) | (
         F.abs(F.col("pages_total") - F.col("b.page_count_mode")) <= 1)
     return keyed.select("document_id", "class_id", "issuer_slug", "field_names", "pages_total", "sig").join(
-        best, "sig", "left").select(
+        stored(best, "signature-layouts"), "sig", "left").select(
         "document_id", "class_id", "issuer_slug", "field_names", "variant_id",
         f.alias("field_j"), lb.alias("label_j"),
         F.when(F.col("variant_id").isNull(), "new").when(trusted & pages_ok & ~F.col("b.image_like"), "accept")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafstack.operators.fieldset import diff_value
 from leafstack.rules import REFERENCE_FIELDS, TERMINAL_STATES
-from leafstack.session import cut_lineage
+from leafstack.session import cut_lineage, stored
 
 
 def document_keys(fields: DataFrame, names: Sequence[str] = REFERENCE_FIELDS) -> DataFrame:
@@ -45,7 +45,7 @@ def link_to_shipments(keys: DataFrame, shipments: DataFrame, shipment_keys: Data
     primary = shipments.select(F.col("reference_key").alias("key"), F.struct(F.lit(0).alias("kind"), order.alias("o")).alias("own"))
     holding = shipment_keys.select("shipment_id", "key").join(shipments.select("shipment_id", "created_at"), "shipment_id").select(
         "key", F.struct(F.lit(1).alias("kind"), order.alias("o")).alias("own"))
-    owners = primary.unionByName(holding).groupBy("key").agg(F.min("own").alias("own"))
+    owners = stored(primary.unionByName(holding).groupBy("key").agg(F.min("own").alias("own")), "key-owners")
     best = keys.join(owners, "key").groupBy("document_id").agg(F.min(F.struct("rank", "key", "own")).alias("b"))
     return best.select(
         "document_id", F.col("b.own.o.shipment_id").alias("shipment_id"), F.col("b.key").alias("key"),
@@ -95,7 +95,8 @@ def link_documents(docs: DataFrame, keys: DataFrame, shipments: DataFrame | None
         if old is not None:
             events = events.unionByName(old)
         # a later holder matters only when its shipment is older than the first holder's
-        lead = events.groupBy("key", "kind").agg(F.min_by("fo", F.struct("t", "fo")).alias("lead_fo"))
+        events = stored(events, "key-events")
+        lead = stored(events.groupBy("key", "kind").agg(F.min_by("fo", F.struct("t", "fo")).alias("lead_fo")), "key-leads")
         short = events.join(lead, ["key", "kind"]).filter(F.col("fo") <= F.col("lead_fo"))
         w = Window.partitionBy("key", "kind").orderBy("t", "fo").rowsBetween(Window.unboundedPreceding, -1)
         front = short.withColumn("before", F.min("fo").over(w)).filter(
@@ -141,7 +142,7 @@ def link_components(keys: DataFrame, max_key_frequency: int | None = None) -> Da
     edges = cut_lineage(edges.join(shared.filter(F.col("n") > 1).select("key"), "key", "left_semi"))
     labels = cut_lineage(keys.select("document_id").distinct().withColumn("component", F.col("document_id")))
     while True:
-        by_key = edges.join(labels, "document_id").groupBy("key").agg(F.min("component").alias("k"))
+        by_key = stored(edges.join(labels, "document_id").groupBy("key").agg(F.min("component").alias("k")), "key-labels")
         by_doc = edges.join(by_key, "key").groupBy("document_id").agg(F.min("k").alias("d"))
         step = labels.join(by_doc, "document_id", "left").select(
             "document_id", F.col("component").alias("was"),

@@ -13,6 +13,7 @@ from leafstack.functions.values import (
     length_anomaly, to_decimal)
 from leafstack.operators.common import exact_avg, newest_n, rounded, unfold
 from leafstack.operators.fieldset import field_dict
+from leafstack.session import stored
 
 
 def _rule_map(table: Mapping[str, Sequence[str]]) -> Column:
@@ -110,8 +111,8 @@ def history_check(docs: DataFrame, fields: DataFrame, n: int = 10,
     recent = newest_n(named, "variant_id", n + 1).select("document_id", "variant_id", "rank")
     values = fields.filter(F.col("field_name").isin(list(stable)) & (F.coalesce("field_value", F.lit("")) != "")).select(
         "document_id", "field_name", "field_value")
-    known = recent.join(values, "document_id").groupBy("variant_id", "field_name").agg(
-        F.collect_list(F.struct("document_id", "rank", F.upper(F.trim("field_value")).alias("v"))).alias("past"))
+    known = stored(recent.join(values, "document_id").groupBy("variant_id", "field_name").agg(
+        F.collect_list(F.struct("document_id", "rank", F.upper(F.trim("field_value")).alias("v"))).alias("past")), "layout-history")
     ranks = recent.select("document_id", F.col("rank").alias("own_rank"))
     current = values.join(named.select("document_id", "variant_id"), "document_id").join(
         ranks, "document_id", "left").join(known, ["variant_id", "field_name"])

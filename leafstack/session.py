@@ -50,3 +50,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the reliable checkpoint folder and return it with a short plan."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back.
+
+    A join against an aggregate on its own key cannot be split on a hot key, as the aggregate's rows
+    arrive already grouped; against a stored table both sides are shuffled for the join itself, and AQE
+    splits the hot side.
+    """
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
