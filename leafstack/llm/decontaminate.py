@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ WINDOW, COVERAGE, AGREEMENT = 8, 0.5, 0.9
 #: Words of a window that must not be placeholders, and the shortest item.
 LITERAL, SHORTEST = 4, 5
 BROADCAST_WINDOWS, BROADCAST_ROWS = 500_000, 200_000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 450_000
 #: Words on either side that tell whether a capital marks a name.
 NEAR = 4
 #: Spelled numbers and units that become placeholders (fixed values).
@@ -48,11 +50,10 @@ _PLACE = np.random.default_rng(8).integers(0, 2**63, WINDOW, dtype=np.uint64) *
 NUM, NAME, UNIT, MEASURE = "<number>", "<name>", "<unit>", "<measure>"
 #: Of each word: hash of its canonical form, and bits: 1 capital, 2 ends a sentence, 4 number or unit, 8 empty.
 _RECORD = np.dtype([("h", "<u8"), ("bits", "<u8")])
+_PACK = struct.Struct("<QQ").pack
 
 
-def _hash(word: str) -> int:
-    import xxhash
-    return xxhash.xxh3_64_intdigest(word)
+_hash = xxhash.xxh3_64_intdigest
 
 
 def canonical(word: str) -> tuple[str, str, int]:
@@ -60,6 +61,8 @@ def canonical(word: str) -> tuple[str, str, int]:
     bare = word.strip(".,;:!?()[]{}\"'“”‘’«»¿¡…-")
     low = bare.lower()
     bits = (1 if bare[:1].isupper() else 0) | (2 if word.rstrip("\"'”’»)")[-1:] in (".", "!", "?", ":") else 0)
+    if low.isalpha() and low not in NUMBER_WORDS and low not in UNITS:      # nearly all
+        return low, low, bits
     if not bare:
         return "", "", bits | 8
     if _NUMBER.fullmatch(low) or low in NUMBER_WORDS:
@@ -78,7 +81,7 @@ class WordRecords(dict):
         if len(self) >= WORDS_KEPT:
             self.clear()
         form, _, bits = canonical(word.decode())
-        got = self[word] = np.array((_hash(form), bits), dtype=_RECORD).tobytes()
+        got = self[word] = _PACK(_hash(form), bits)
         return got
 
 
