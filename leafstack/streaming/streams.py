@@ -25,9 +25,22 @@ from leafstack.operators.quality import validate_maps
 from leafstack.rules import INSPECTION_CLASSES, INVOICE_CLASSES, PACKING_CLASSES, PO_CLASSES, ClassRule, Pattern
 
 
-def stream_exact_dedup(docs: DataFrame, keep: str = "1 day") -> DataFrame:
-    """First document of each hash within the retention time; later copies are dropped."""
-    return docs.withWatermark("created_at", keep).dropDuplicatesWithinWatermark(["file_sha256"])
+def stream_exact_dedup(docs: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """First document of each hash over the whole past; later copies are dropped, however late they come.
+
+    In: document_id, file_sha256, created_at.  Each micro-batch is reduced to its first document per
+    hash and looked up in the hashes stored by earlier batches; `folder`/kept gets one sub-folder per
+    batch that a repeated batch overwrites.  No state is held in memory.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first = batch.groupBy("file_sha256").agg(F.min(F.struct("created_at", "document_id")).alias("f")).select(
+            "file_sha256", "f.document_id", "f.created_at")
+        past = _before(spark, f"{folder}/kept", batch_id)
+        new = first if past is None else first.join(past.select("file_sha256"), "file_sha256", "left_anti")
+        new.write.mode("overwrite").parquet(f"{folder}/kept/batch_id={batch_id}")
+
+    return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_process(docs: DataFrame, rules: Sequence[ClassRule], patterns: Sequence[Pattern],
@@ -73,39 +86,45 @@ def stream_review_sla(events: DataFrame, gap: str = "6 hours", late: str = "1 ho
 
 
 MATCH_OUTPUT = "shipment_id string, po_document_id string, invoice_document_id string, has_ic boolean, has_pl boolean, status string"
-MATCH_STATE = "po string, inv string, ic boolean, pl boolean"
+MATCH_STATE = "po string, po_at long, inv string, inv_at long, ic boolean, pl boolean"
 
 
-def stream_match_ready(docs: DataFrame, wait: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def stream_match_ready(docs: DataFrame, wait: str = "1 hour", late: str = "10 minutes", keep: str = "1 day") -> DataFrame:
     """Shipments whose purchase order and invoice are both there.
 
     In: shipment_id, document_id, class_id, created_at (timestamp).  READY is emitted when
     the pair is complete and again when more documents arrive; DEFERRED when `wait` passes
-    in event time without a pair.  Per shipment four small values are kept.
+    in event time without a pair.  The order and the invoice are the first by (created_at,
+    document_id), in whatever order they come.  Per shipment six small values are kept: until
+    DEFERRED, or for `keep` after the last document of a READY one.
     """
-    wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
+    wait_ms, keep_ms = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (wait, keep))
+
+    def first(rows, classes, doc, at):
+        """The smaller of (at, doc) and the first document of these classes in the frame."""
+        ms, top = min(((m, d) for c, m, d in rows if c in classes), default=(None, None))
+        return (top, ms) if top is not None and (doc is None or (ms, top) < (at, doc)) else (doc, at)
 
     def step(key, frames, state: GroupState):
-        po, inv, ic, pl = state.get if state.exists else (None, None, False, False)
+        po, po_at, inv, inv_at, ic, pl = state.get if state.exists else (None, None, None, None, False, False)
         out = []
         if state.hasTimedOut:
-            out.append((key[0], po, inv, ic, pl, "DEFERRED"))
+            if po is None or inv is None:
+                out.append((key[0], po, inv, ic, pl, "DEFERRED"))
             state.remove()
         else:
             newest = 0
             for pdf in frames:
-                for doc, cls, at in pdf.sort_values(["created_at", "document_id"])[["document_id", "class_id", "created_at"]].itertuples(index=False):
-                    newest = max(newest, int(at.timestamp() * 1000))
-                    if cls in PO_CLASSES and po is None:
-                        po = doc
-                    elif cls in INVOICE_CLASSES and inv is None:
-                        inv = doc
-                    ic, pl = ic or cls in INSPECTION_CLASSES, pl or cls in PACKING_CLASSES
-            state.update((po, inv, ic, pl))
-            if po is not None and inv is not None:
+                rows = [(c, int(t.timestamp() * 1000), d) for c, t, d in zip(pdf.class_id, pdf.created_at, pdf.document_id)]
+                newest = max(newest, *(m for _, m, _ in rows))
+                po, po_at = first(rows, PO_CLASSES, po, po_at)
+                inv, inv_at = first(rows, INVOICE_CLASSES, inv, inv_at)
+                ic, pl = ic or any(c in INSPECTION_CLASSES for c, _, _ in rows), pl or any(c in PACKING_CLASSES for c, _, _ in rows)
+            state.update((po, po_at, inv, inv_at, ic, pl))
+            ready = po is not None and inv is not None
+            if ready:
                 out.append((key[0], po, inv, ic, pl, "READY"))
-            else:
-                state.setTimeoutTimestamp(max(newest + wait_ms, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(newest + (keep_ms if ready else wait_ms), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["shipment_id", "po_document_id", "invoice_document_id", "has_ic", "has_pl", "status"])
 
     return docs.withWatermark("created_at", late).groupBy("shipment_id").applyInPandasWithState(
