@@ -12,7 +12,6 @@ row; other columns are not read. Runs of one letter merge from the left, as in t
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -23,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafstack.llm.common import worker_keeps
+
 #: Code points of text that are worked on together, and pieces that a worker remembers (two generations).
 BATCH_CHARS = 6_000_000
-PIECES_KEPT = 200_000
+PIECES_KEPT = 150_000
 #: The byte-level pre-token pattern, a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -188,9 +189,8 @@ class Encoder:
                    np.frombuffer(b"".join([g[3] for g in got]), dtype="<i4"))
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return worker_keeps(("bpe", path), lambda: Encoder(path))
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:

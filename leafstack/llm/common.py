@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,21 @@ LAST_ID = 2**63 - 1
 BROADCAST_ROWS = 200_000
 
 
+_KEPT: dict[Any, Any] = {}
+
+
+def worker_keeps(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from batch to batch (words it has met, a loaded vocabulary).
+
+    One thing at a time: asking for another drops it, so the stages of a pipeline, which run in the same
+    workers one after the other, do not add up in memory.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,6 @@ all; a null doc_id or item_id is kept; repeated rows give repeated pairs; other
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
 from collections import Counter
@@ -29,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import stored
+from leafstack.llm.common import BROADCAST_ROWS, stored, worker_keeps
 
 WINDOW, COVERAGE, AGREEMENT = 8, 0.5, 0.9
 #: Words of a window that must not be placeholders, and the shortest item.
 LITERAL, SHORTEST = 4, 5
-BROADCAST_WINDOWS, BROADCAST_ROWS = 500_000, 200_000
-WORDS_KEPT = 450_000
+BROADCAST_WINDOWS = 500_000
+WORDS_KEPT = 400_000
 #: Words on either side that tell whether a capital marks a name.
 NEAR = 4
 #: Spelled numbers and units that become placeholders (fixed values).
@@ -85,9 +84,8 @@ class WordRecords(dict):
         return got
 
 
-@functools.lru_cache(maxsize=1)
 def word_records() -> WordRecords:
-    return WordRecords()
+    return worker_keeps("word records", WordRecords)
 
 
 def _raw_words(text: str | None) -> list[bytes]:

@@ -30,14 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import LAST_ID, ordered_id, stored
+from leafstack.llm.common import BROADCAST_ROWS, LAST_ID, ordered_id, stored, worker_keeps
 from leafstack.llm.components import components
 
 SHINGLE, TOKENS, TREES, LEAF, DEPTH = 5, 64, 16, 24, 5
 #: Share of equal minwise tokens from which a pair is confirmed on the full sets.
 CLOSE_ENOUGH = 0.5
-#: Rows of 40 bytes that may be sent to every task.
-BROADCAST_ROWS = 200_000
 WORDS_KEPT = 300_000
 _ODD = (np.random.default_rng(5).integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 _PLACE = (np.random.default_rng(6).integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
@@ -56,9 +54,8 @@ class WordHashes(dict):
         return got
 
 
-@functools.lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return worker_keeps("word hashes", WordHashes)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:

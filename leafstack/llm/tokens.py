@@ -15,6 +15,7 @@ import re
 from array import array
 
 from leafstack.llm.bpe import PATTERN, byte_letters
+from leafstack.llm.common import worker_keeps
 
 #: One worker keeps two generations of at most so many chunks each.
 CHUNKS_KEPT = 450_000
@@ -93,9 +94,8 @@ class ChunkIds(dict):
             return self.encode(text)
 
 
-@functools.lru_cache(maxsize=2)
 def chunk_ids(path: str, dtype: str) -> ChunkIds:
-    return ChunkIds(path, dtype)
+    return worker_keeps(("chunk ids", path, dtype), lambda: ChunkIds(path, dtype))
 
 
 @functools.lru_cache(maxsize=4)

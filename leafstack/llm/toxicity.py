@@ -19,7 +19,6 @@ lang, source, doc_id and labels are never inputs of a score.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import stored
+from leafstack.llm.common import stored, worker_keeps
 
 SAMPLE, SIZE, MIN_CONTEXTS, MIN_ODDS, ERROR = 20_000, 2_000, 3, 2.0, 0.1
 #: Look-alikes of Latin letters (fixed values).
@@ -96,9 +95,8 @@ class Matcher:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-@functools.lru_cache(maxsize=4)
 def _matcher(words: tuple, exceptions: tuple, curve: tuple) -> Matcher:
-    return Matcher(Lexicon(dict(words), exceptions, curve))
+    return worker_keeps(("lexicon", words, exceptions, curve), lambda: Matcher(Lexicon(dict(words), exceptions, curve)))
 
 
 def held_out(doc_id: Column) -> Column:
