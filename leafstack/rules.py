@@ -12,8 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-MAX_RULE_ROWS = 20_000
-
 # The document classes, as id -> (name, slug, treatment).
 CLASSES = {
     "dc_001": ("TML Import Contract PO", "tml-po", "PROCESS"),
@@ -203,6 +201,7 @@ TRANSITIONS = {
     "COMPLETED": [],
     "FAILED": ["RECEIVED"],
 }
+# States that end a document's way, that a duplicate may point to, and before classification.
 TERMINAL_STATES = ["COMPLETED", "EXACT_DUPLICATE", "NEEDS_REVIEW", "CANDIDATE_NEW_CLASS", "FAILED"]
 DEDUP_STATES = ["COMPLETED", "NEEDS_REVIEW", "CONTENT_DUPLICATE", "NEAR_DUPLICATE"]
 EARLY_STATES = ["RECEIVED", "DEDUPLICATING", "CLASSIFYING", "UNCLASSIFIED"]
@@ -263,6 +262,7 @@ class Instruction:
     active: bool = True
 
 
+# Phrases of certificates, of order confirmations and of test reports.
 CERTIFICATE_PHRASES = (
     "heat treatment certificate", "heat treatment", "phytosanitary", "certificate of treatment",
     "declaration of conformity", "ce marking", "we hereby certify", "certificate of compliance",
@@ -308,8 +308,8 @@ def _bounded_rows(table: DataFrame, limit: int) -> list:
     return rows
 
 
-def load_class_rules(table: DataFrame, limit: int = MAX_RULE_ROWS) -> list[ClassRule]:
-    """(class_id, ordinal, keyword, negative, priority[, name]) -> rules in class order."""
+def load_class_rules(table: DataFrame, limit: int) -> list[ClassRule]:
+    """At most `limit` rows, else an error: (class_id, ordinal, keyword, negative, priority[, name]) -> rules in class order."""
     grouped: dict[str, dict] = {}
     for r in sorted(_bounded_rows(table, limit), key=lambda r: (r["class_id"], r["ordinal"])):
         g = grouped.setdefault(r["class_id"], {"k": [], "n": [], "p": r["priority"]})
@@ -319,8 +319,8 @@ def load_class_rules(table: DataFrame, limit: int = MAX_RULE_ROWS) -> list[Class
                       CLASSES.get(c, (c,))[0]) for c, g in grouped.items()]
 
 
-def load_patterns(table: DataFrame, limit: int = MAX_RULE_ROWS) -> list[Pattern]:
-    """(field_name, ordinal, regex, grp, base_conf) -> patterns in order."""
+def load_patterns(table: DataFrame, limit: int) -> list[Pattern]:
+    """At most `limit` rows, else an error: (field_name, ordinal, regex, grp, base_conf) -> patterns in order."""
     rows = sorted(_bounded_rows(table, limit), key=lambda r: (r["field_name"], r["ordinal"]))
     return [Pattern(r["field_name"], r["regex"], r["grp"], r["base_conf"]) for r in rows]
 
