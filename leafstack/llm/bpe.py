@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from leafstack.llm.common import worker_keeps
 
 #: Code points of text that are worked on together, and pieces that a worker remembers (two generations).
-BATCH_CHARS = 6_000_000
-PIECES_KEPT = 150_000
+BATCH_CHARS = 4_000_000
+PIECES_KEPT = 100_000
 #: The byte-level pre-token pattern, a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

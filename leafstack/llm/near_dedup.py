@@ -5,7 +5,8 @@ equal sets are one node, named by a 128-bit fingerprint of the set. Each of `tre
 starts with all of them. A tree node chooses one of the 64 minwise tokens by its own path and branches
 its documents by that token, so two documents stay together with the probability of their similarity.
 Nodes of up to `leaf` documents are compared exhaustively; larger ones branch again, up to `depth` times,
-and are dealt at random into small nodes besides, anew at each level of each tree. Documents of 75 %
+and from the level `dealt_from` on, where documents that share just a passage have parted, are dealt at
+random into small nodes besides, anew at each level of each tree. Documents of 75 %
 similarity meet in one tree with 0.75^branchings, so 16 trees miss a pair that meets after one branching
 with 2e-10, after two with 2e-6 and after three with 2e-4.
 
@@ -34,6 +35,8 @@ from leafstack.llm.common import BROADCAST_ROWS, LAST_ID, ordered_id, stored, wo
 from leafstack.llm.components import components
 
 SHINGLE, TOKENS, TREES, LEAF, DEPTH = 5, 64, 16, 24, 5
+#: Branchings after which what is still together in a large node is dealt out as well.
+DEALT_FROM = 3
 #: Share of equal minwise tokens from which a pair is confirmed on the full sets.
 CLOSE_ENOUGH = 0.5
 WORDS_KEPT = 300_000
@@ -138,7 +141,7 @@ def _branched(path, tokens):
     return F.xxhash64(path, F.element_at(tokens, (F.pmod(F.xxhash64(F.lit(1), path), F.lit(TOKENS)) + 1).cast("int")))
 
 
-def tree_members(nodes: DataFrame, trees: int, leaf: int, depth: int) -> tuple[DataFrame, DataFrame]:
+def tree_members(nodes: DataFrame, trees: int, leaf: int, depth: int, dealt_from: int) -> tuple[DataFrame, DataFrame]:
     """Of nodes(fp, tokens): (stars(fp, centre), small(path, fp)), one row per tree node that a document comes through."""
     level = nodes.select("fp", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"), "tokens")
     level = level.select("fp", _branched(F.xxhash64("tree"), F.col("tokens")).alias("path"))
@@ -149,8 +152,9 @@ def tree_members(nodes: DataFrame, trees: int, leaf: int, depth: int) -> tuple[D
         stars.append(members.where("fp <> centre").select("fp", "centre"))
         small.append(members.where(F.col("n") <= leaf).select("path", "fp"))
         large = members.where(F.col("n") > leaf)
-        dealt = F.xxhash64("path", F.pmod(F.xxhash64("fp", "path"), F.ceil(F.col("n") / leaf)))
-        small.append(large.select(dealt.alias("path"), "fp"))
+        if d >= min(dealt_from, depth):
+            dealt = F.xxhash64("path", F.pmod(F.xxhash64("fp", "path"), F.ceil(F.col("n") / leaf)))
+            small.append(large.select(dealt.alias("path"), "fp"))
         if large.isEmpty():
             break
         if d < depth:
@@ -174,10 +178,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def set_components(docs: DataFrame, rows: DataFrame, percent: int, trees: int, leaf: int, depth: int) -> DataFrame:
+def set_components(docs: DataFrame, rows: DataFrame, percent: int, trees: int, leaf: int, depth: int, dealt_from: int) -> DataFrame:
     """(node, label) of the sets that are linked with another set; `rows` is set_rows, stored."""
     nodes, _ = stored(rows.where("fp is not null").select("fp", "tokens").dropDuplicates(["fp"]), "sets")
-    stars, small = tree_members(nodes, trees, leaf, depth)
+    stars, small = tree_members(nodes, trees, leaf, depth, dealt_from)
     first, _ = stored(_close(stars.select(F.col("centre").alias("a"), F.col("fp").alias("b")), nodes), "star-pairs")
     sets, _ = stored(full_sets(docs, rows, _ends(first)), "star-sets")
     links, _ = stored(_confirmed(first, sets, percent), "star-links")
@@ -199,14 +203,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH,
+                    dealt_from: int = DEALT_FROM) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, and text_hash.
 
     kept is true for the document of that id; of rows that share it, for one text.
     """
     docs = docs.select("doc_id", "text")
     rows, _ = stored(set_rows(docs), "set-rows")
-    labels = set_components(docs, rows, percent, trees, leaf, depth)
+    labels = set_components(docs, rows, percent, trees, leaf, depth, dealt_from)
     grouped = rows.join(labels, rows["fp"] == labels["node"], "left").select(
         "doc_id", "doc", "text_hash", "n_shingles", F.coalesce("label", "fp").alias("group"))
     first, _ = stored(grouped.where("group is not null").groupBy("group").agg(F.min(F.struct("doc", "text_hash")).alias("first")), "group-firsts")
