@@ -36,7 +36,7 @@ from leafstack.llm.components import components
 
 SHINGLE, TOKENS, TREES, LEAF, DEPTH = 5, 64, 16, 24, 5
 #: Branchings after which what is still together in a large node is dealt out as well.
-DEALT_FROM = 3
+DEALT_FROM = 5
 #: Share of equal minwise tokens from which a pair is confirmed on the full sets.
 CLOSE_ENOUGH = 0.5
 WORDS_KEPT = 300_000
