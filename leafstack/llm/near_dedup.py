@@ -4,17 +4,21 @@ A document's set holds its distinct 5-word shingles, A-Z lower-cased, as 64-bit
 equal sets are one node, named by a 128-bit fingerprint of the set. Each of `trees` independent trees
 starts with all of them. A tree node chooses one of the 64 minwise tokens by its own path and branches
 its documents by that token, so two documents stay together with the probability of their similarity.
-Nodes of up to `leaf` documents are compared exhaustively; larger ones branch again, up to `depth` times,
-and from the level `dealt_from` on, where documents that share just a passage have parted, are dealt at
-random into small nodes besides, anew at each level of each tree. Documents of 75 %
-similarity meet in one tree with 0.75^branchings, so 16 trees miss a pair that meets after one branching
-with 2e-10, after two with 2e-6 and after three with 2e-4.
-
-Comparing is done in two rounds, so that a large group of near copies doesn't become all its pairs:
-first each document with the smallest of each node it comes through, and confirmed links form
-components; then the pairs of small nodes whose components differ. Pairs whose 64 minwise tokens agree
-in less than half are left out (a pair of 75 % similarity: 4.6 standard deviations); all others are
-confirmed on the full sets, which are made anew from the texts of just those documents.
+Nodes of up to `leaf` documents are compared exhaustively; larger ones branch again. What is still
+together in a large node after `dealt_from` branchings is dealt out by its rare shingles, exactly (below).
+Documents of 75 % similarity meet in one tree with 0.75^branchings, so 16 trees miss a pair that meets
+after one branching with 2e-10, after two with 2e-6 and after three with 2e-4; there are no more.
+
+Comparing is done in rounds, so that a large group of near copies doesn't become all its pairs:
+first each document with the smallest of each node it comes through, up to `depth` branchings, and
+confirmed links form components; then the pairs of small nodes whose components differ. Pairs whose 64
+minwise tokens agree in less than half are left out (a pair of 75 % similarity: 4.6 standard deviations);
+all others are confirmed on the full sets, which are made anew from the texts of just those documents.
+
+Last come the sets of large nodes that hold more than one component. Their shingles are ordered from
+rare to common; two sets of the wanted similarity share one among the first few of both (prefix filter of
+set similarity joins), and where it stands bounds what they can share after it. A passage that a crowd
+shares stands behind each set's own shingles, so it makes no pairs, and no pair of these sets is lost.
 
 Defined cases: null, empty or blank texts have an empty set, size 0, and are linked with nothing, also
 not with each other; fewer than five words are one shingle; a null doc_id counts as the largest and comes
@@ -35,8 +39,8 @@ from leafstack.llm.common import BROADCAST_ROWS, LAST_ID, ordered_id, stored, wo
 from leafstack.llm.components import components
 
 SHINGLE, TOKENS, TREES, LEAF, DEPTH = 5, 64, 16, 24, 5
-#: Branchings after which what is still together in a large node is dealt out as well.
-DEALT_FROM = 5
+#: Branchings after which what is still together in a large node is dealt out by its rare shingles.
+DEALT_FROM = 2
 #: Share of equal minwise tokens from which a pair is confirmed on the full sets.
 CLOSE_ENOUGH = 0.5
 WORDS_KEPT = 300_000
@@ -141,25 +145,28 @@ def _branched(path, tokens):
     return F.xxhash64(path, F.element_at(tokens, (F.pmod(F.xxhash64(F.lit(1), path), F.lit(TOKENS)) + 1).cast("int")))
 
 
-def tree_members(nodes: DataFrame, trees: int, leaf: int, depth: int, dealt_from: int) -> tuple[DataFrame, DataFrame]:
-    """Of nodes(fp, tokens): (stars(fp, centre), small(path, fp)), one row per tree node that a document comes through."""
+def tree_members(nodes: DataFrame, trees: int, leaf: int, depth: int, dealt_from: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of nodes(fp, tokens): (stars(fp, centre), small(path, fp), large(path, fp)), one row per tree node that a document comes through.
+
+    large are the nodes over `leaf` after `dealt_from` branchings; what branches on from there gives stars only.
+    """
     level = nodes.select("fp", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"), "tokens")
     level = level.select("fp", _branched(F.xxhash64("tree"), F.col("tokens")).alias("path"))
     stars, small = [], []
+    dealt_from = min(dealt_from, depth)
     for d in range(1, depth + 1):
         counted, _ = stored(level.groupBy("path").agg(F.count("*").alias("n"), F.min("fp").alias("centre")).where("n > 1"), "tree-nodes")
         members, _ = stored(level.join(counted, "path").select("path", "fp", "n", "centre"), "tree-members")
         stars.append(members.where("fp <> centre").select("fp", "centre"))
-        small.append(members.where(F.col("n") <= leaf).select("path", "fp"))
         large = members.where(F.col("n") > leaf)
-        if d >= min(dealt_from, depth):
-            dealt = F.xxhash64("path", F.pmod(F.xxhash64("fp", "path"), F.ceil(F.col("n") / leaf)))
-            small.append(large.select(dealt.alias("path"), "fp"))
+        if d <= dealt_from:
+            small.append(members.where(F.col("n") <= leaf).select("path", "fp"))
+            large_at_deal = large.select("path", "fp")
         if large.isEmpty():
             break
         if d < depth:
             level = large.join(nodes, "fp").select("fp", _branched(F.col("path"), F.col("tokens")).alias("path"))
-    return functools.reduce(DataFrame.unionAll, stars).distinct(), functools.reduce(DataFrame.unionAll, small)
+    return functools.reduce(DataFrame.unionAll, stars).distinct(), functools.reduce(DataFrame.unionAll, small), large_at_deal
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -178,25 +185,67 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
+def _crowded(large: DataFrame, groups: DataFrame) -> DataFrame:
+    """(fp, label) of the sets in large nodes that hold more than one component."""
+    labelled, _ = stored(_labelled(large, groups), "large-nodes")
+    mixed = labelled.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    mixed, _ = stored(mixed.select("path"), "mixed-nodes")
+    return labelled.join(mixed, "path").select("fp", "label").distinct()
+
+
+def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
+    return members.join(groups, members["fp"] == groups["node"], "left").select("path", "fp", F.coalesce("label", "fp").alias("label"))
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Of sets(fp, label, found): the pairs (a, b) of different labels that can have the similarity, none left out.
+
+    Of |a| <= |b| with 100 |a and b| >= percent |a or b|, the rarest shingle they share is among the first
+    |a| - 2 percent / (100 + percent) |a| + 1 of a and the first |b| - percent / 100 |b| + 1 of b.
+    """
+    each, _ = stored(sets.select("fp", "label", F.size("found").alias("n"), F.explode("found").alias("s")), "crowd-shingles")
+    often, _ = stored(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "crowd-shingle-counts")
+    ordered = each.join(often, "s", "left").groupBy("fp").agg(
+        F.first("label").alias("label"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))     # a single one's df is null: first
+    upto = lambda up, down: F.expr(f"cast(n - (({up} * n + {down - 1}) div {down}) + 1 as int)")
+    first = ordered.withColumn("order", F.slice("order", 1, upto(percent, 100))).withColumn("short", upto(2 * percent, 100 + percent))
+    at, _ = stored(first.select("fp", "label", "n", "short", F.posexplode("order").alias("at", "o")).where("o.df > 1").select(
+        "fp", "label", "n", "short", (F.col("at") + 1).alias("at"), F.col("o.s").alias("s")), "crowd-prefixes")
+    one, two = (at.select("s", *(F.col(c).alias(f"{x}_{c}") for c in ("fp", "label", "n", "short", "at"))) for x in "ab")
+    most = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    fits = ((F.struct("a_n", "a_fp") < F.struct("b_n", "b_fp")) & (F.col("a_label") != F.col("b_label")) & (100 * F.col("a_n") >= percent * F.col("b_n"))
+            & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))))
+    pairs = one.where("a_at <= a_short").join(two, "s").where(fits)
+    return pairs.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
+
+
 def set_components(docs: DataFrame, rows: DataFrame, percent: int, trees: int, leaf: int, depth: int, dealt_from: int) -> DataFrame:
     """(node, label) of the sets that are linked with another set; `rows` is set_rows, stored."""
     nodes, _ = stored(rows.where("fp is not null").select("fp", "tokens").dropDuplicates(["fp"]), "sets")
-    stars, small = tree_members(nodes, trees, leaf, depth, dealt_from)
+    stars, small, large = tree_members(nodes, trees, leaf, depth, dealt_from)
     first, _ = stored(_close(stars.select(F.col("centre").alias("a"), F.col("fp").alias("b")), nodes), "star-pairs")
     sets, _ = stored(full_sets(docs, rows, _ends(first)), "star-sets")
     links, _ = stored(_confirmed(first, sets, percent), "star-links")
     groups = components(links)
-    labelled = small.join(groups, small["fp"] == groups["node"], "left").select(
-        "path", "fp", F.coalesce("label", "fp").alias("label"))
-    labelled, _ = stored(labelled, "small-nodes")
+    labelled, _ = stored(_labelled(small, groups), "small-nodes")
     one, two = (labelled.select("path", F.col("fp").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab")
     pairs = one.join(two, "path").where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label"))).select("a", "b").distinct()
     second, _ = stored(_close(pairs.join(first, ["a", "b"], "left_anti"), nodes), "small-pairs")
-    if second.isEmpty():
-        return groups
-    fresh, _ = stored(full_sets(docs, rows, _ends(second).join(sets, "fp", "left_anti")), "small-sets")
-    more = _confirmed(second, sets.unionAll(fresh), percent)
-    return components(links.unionAll(more))
+    more = []
+    if not second.isEmpty():
+        fresh, _ = stored(full_sets(docs, rows, _ends(second).join(sets, "fp", "left_anti")), "small-sets")
+        sets = sets.unionAll(fresh)
+        found, _ = stored(_confirmed(second, sets, percent), "small-links")
+        more.append(found)
+        groups = components(links.unionAll(found))
+    crowd, _ = stored(_crowded(large, groups), "crowds")
+    if not crowd.isEmpty():
+        fresh, _ = stored(full_sets(docs, rows, crowd.select("fp").join(sets.select("fp"), "fp", "left_anti")), "crowd-sets")
+        held = sets.unionAll(fresh)
+        third, _ = stored(prefix_pairs(held.join(crowd, "fp"), percent), "crowd-pairs")
+        if not third.isEmpty():
+            groups = components(functools.reduce(DataFrame.unionAll, [links, *more, _confirmed(third, held, percent)]))
+    return groups
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

@@ -121,6 +121,24 @@ def test_large_group_of_near_copies(spark, leaf, dealt_from):
     assert got == {d: x for (d, _), x in zip(rows, brute_near(rows), strict=True)}
 
 
+def test_pairs_inside_a_crowd(spark):
+    """A thousand documents share a long passage (similarity about 0.70); among them are pairs over 0.75."""
+    rng = random.Random(7)
+    passage = [f"pass{k}" for k in range(112)]
+    own = lambda k: [f"own{k}x{i}" for i in range(24)]
+    rows = [(k, " ".join(passage + own(k))) for k in range(1000)]
+    for k in range(60):         # like document k, with a few of its own words changed
+        w = own(k)
+        w[-10:] = [f"pair{k}x{i}" for i in range(10)]
+        rows.append((2000 + k, " ".join(passage + w)))
+    rng.shuffle(rows)
+    want = {d: k for k in range(1000) for d in (k, 2000 + k)}
+    a, b, c = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (dict(rows)[d].split() for d in (0, 2000, 1)))
+    assert 0.65 < len(a & c) / len(a | c) < 0.75 <= len(a & b) / len(a | b)
+    got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: want[d] for d, _ in rows}
+
+
 def test_near_of_odd_rows(spark):
     rows = edge_rows()
     got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
