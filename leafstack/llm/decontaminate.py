@@ -2,10 +2,13 @@
 
 Words are lower-cased without the punctuation around them; numbers, names (capitals inside a sentence)
 and units become typed placeholders. All windows of `window` canonical words of a document are joined by
-hash to those of the benchmark items. A document holds an item if windows on one alignment cover enough
-of it, the words between placeholders agree, and the slots are consistent: each value of the item stands
-for one value in the document wherever it comes again. So a question whose numbers and names were
-exchanged is found, and a text that shares only its shape is not.
+hash to those of the benchmark items; items under three windows also by windows of SHORTEST words, so that
+a word changed in the middle does not hide them. One window makes a candidate. Runs of equal words on
+neighbouring diagonals are then merged into one alignment, so words put in, left out or changed only cost
+themselves. A document holds an item if the alignment covers enough of it, or has an unbroken run of RUN
+words, and the slots are consistent: each value of the item stands for one value in the document wherever
+it comes again. So a question whose numbers and names were exchanged is found, and a text that shares only
+its shape is not.
 
 Benchmark windows are sent to all tasks up to BROADCAST_WINDOWS rows, else joined by a shuffle; window
 hashes leave a document's row without its text; only candidates' texts are read again for the check.
@@ -33,6 +36,8 @@ from leafstack.llm.common import BROADCAST_ROWS, stored, worker_keeps
 WINDOW, COVERAGE, AGREEMENT = 8, 0.5, 0.9
 #: Words of a window that must not be placeholders, and the shortest item.
 LITERAL, SHORTEST = 4, 5
+#: Equal words in a row that are enough by themselves, the shortest run in an alignment, and how far diagonals of one alignment lie apart at least.
+RUN, SHORTEST_RUN, BAND = 40, 3, 8
 BROADCAST_WINDOWS = 500_000
 WORDS_KEPT = 400_000
 #: Words on either side that tell whether a capital marks a name.
@@ -121,7 +126,7 @@ def window_hashes(h: np.ndarray, slot: np.ndarray, window: int = WINDOW) -> np.n
         out += h[k:k + n] * _PLACE[k]
         slots += slot[k:k + n]
     out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    return np.where(window - slots >= min(LITERAL, window), out ^ (out >> np.uint64(32)), 0).view(np.int64)
+    return np.where(window - slots >= min(LITERAL, (window + 1) // 2), out ^ (out >> np.uint64(32)), 0).view(np.int64)
 
 
 def document_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
@@ -132,7 +137,7 @@ def document_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
                 part = batch.slice(at, 500)
                 made = [forms(_raw_words(t.as_py()))[:2] for t in part.column(2)]
                 for size in sizes:
-                    found = [window_hashes(h, s, size) for h, s in made]
+                    found = [np.unique(w[w != 0]) for w in (window_hashes(h, s, size) for h, s in made)]
                     yield pa.record_batch([part.column(0), part.column(1), pa.array([size] * len(found), pa.int32()),
                                            pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "size", "windows"])
 
@@ -151,13 +156,14 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 # names as placeholders, and as words for documents without capitals or of capitals only
                 both = [forms(_raw_words(text), names)[:2] for names in (True, False)]
-                size = min(window, len(both[0][0]))
-                if size < SHORTEST:
+                words = len(both[0][0])
+                if words < SHORTEST:
                     continue
-                found = [window_hashes(h, slot, size) for h, slot in both]
-                places = {(int(q), int(f[q])) for f in found for q in np.flatnonzero(f)}
-                usable = len({q for q, _ in places})
-                rows += [(item, size, q, usable, h) for q, h in sorted(places)]
+                for size in sorted({min(window, words), min(window, SHORTEST if words < 3 * window else window)}):
+                    found = [window_hashes(h, slot, size) for h, slot in both]
+                    places = {(int(q), int(f[q])) for f in found for q in np.flatnonzero(f)}
+                    usable = len({q for q, _ in places})
+                    rows += [(item, size, q, usable, h) for q, h in sorted(places)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)],
                                   ["item_id", "size", "q", "n_windows", "hash"])
@@ -166,21 +172,64 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         run, "item_id long, size int, q int, n_windows int, hash long")
 
 
-def slot_check(doc: str, item: str, offset: int) -> tuple[float, float, int]:
-    """(share of equal words, share of consistent slots, slots) with item word k against document word offset + k."""
+def _runs(same: np.ndarray, first: int) -> list[tuple[int, int, int]]:
+    """(item place, document place, length) of runs in same[diagonal, item place] that make one alignment, the longest first chosen."""
+    edge = np.diff(np.pad(same, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (d, q), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    long = np.flatnonzero(end - q >= min(SHORTEST_RUN, same.shape[1]))
+    chosen: list[tuple[int, int, int]] = []
+    for k in long[np.argsort(q[long] - end[long], kind="stable")]:
+        at, n, off = int(q[k]), int(end[k] - q[k]), int(d[k]) + first
+        for q1, p1, n1 in chosen:
+            if q1 <= at and p1 <= at + off:
+                cut = max(q1 + n1 - at, p1 + n1 - at - off, 0)
+                at, n = at + cut, n - cut
+            elif q1 >= at and p1 >= at + off:
+                n = min(n, q1 - at, p1 - at - off)
+            else:
+                n = 0
+            if n < min(SHORTEST_RUN, same.shape[1]):
+                break
+        else:
+            chosen.append((at, at + off, n))
+    return sorted(chosen)
+
+
+def alignments(doc: str, item: str) -> Iterator[tuple[int, float, int, float, int]]:
+    """(start word, share of equal words, longest run, share of consistent slots, slots) of each place where the item can stand in the document."""
     dw, iw = _raw_words(doc), _raw_words(item)
-    dh, ds, dk = forms(dw)
+    dh, _, dk = forms(dw)
     ih, is_, ik = forms(iw)
-    lo, hi = max(0, -offset), min(len(ih), len(dh) - offset)
-    if hi <= lo:
-        return 0.0, 0.0, 0
-    same = (dh[offset + lo:offset + hi] == ih[lo:hi]) | (forms(dw, False)[0][offset + lo:offset + hi] == forms(iw, False)[0][lo:hi])
-    pairs = [(canonical(iw[ik[k]].decode())[1], canonical(dw[dk[offset + k]].decode())[1]) for k in np.flatnonzero(is_[lo:hi] & same) + lo]
-    seen = Counter(pairs)
-    best: Counter = Counter()
-    for (value, _), n in seen.items():
-        best[value] = max(best[value], n)
-    return float(same.sum() / len(ih)), sum(best.values()) / len(pairs) if pairs else 1.0, len(pairs)
+    dp, ip = forms(dw, False)[0], forms(iw, False)[0]
+    size, offsets = min(SHORTEST, len(ih)), set()
+    for d, i in ((dh, ih), (dp, ip)):
+        # all windows count here: a place is judged by its words
+        mine, theirs = (window_hashes(x, np.zeros(len(x), dtype=bool), size) for x in (i, d))
+        places: dict[int, list[int]] = {}
+        for q, w in enumerate(mine.tolist()):
+            places.setdefault(w, []).append(q)
+        for p in np.flatnonzero(np.isin(theirs, mine)).tolist():
+            offsets.update(p - q for q in places[int(theirs[p])])
+    offs = np.array(sorted(offsets), dtype=np.int64)
+    for part in np.split(offs, np.flatnonzero(np.diff(offs) > max(BAND, len(ih) // 4)) + 1) if len(offs) else ():
+        first, k = int(part[0]), np.arange(len(ih))
+        at = np.arange(first, int(part[-1]) + 1)[:, None] + k
+        inside = (at >= 0) & (at < len(dh))
+        at = np.clip(at, 0, len(dh) - 1)
+        runs = _runs(((dh[at] == ih) | (dp[at] == ip)) & inside, first)
+        if not runs:
+            continue
+        pairs = [(canonical(iw[ik[q + j]].decode())[1], canonical(dw[dk[p + j]].decode())[1]) for q, p, n in runs for j in range(n) if is_[q + j]]
+        best: Counter = Counter()
+        for (value, _), n in Counter(pairs).items():
+            best[value] = max(best[value], n)
+        yield (runs[0][1] - runs[0][0], sum(n for _, _, n in runs) / len(ih), max(n for _, _, n in runs),
+               sum(best.values()) / len(pairs) if pairs else 1.0, len(pairs))
+
+
+def slot_check(doc: str, item: str, coverage: float = COVERAGE, agreement: float = AGREEMENT) -> tuple[int, float, int, float, int]:
+    """The best of `alignments`: one that is held to be a copy before others, then by equal words."""
+    return max(alignments(doc, item), key=lambda x: (x[3] >= agreement and (x[1] >= coverage or x[2] >= RUN), x[1]), default=(0, 0.0, 0, 0.0, 0))
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, agreement: float = AGREEMENT) -> DataFrame:
@@ -190,31 +239,31 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     one = items.select(F.col("size").alias("i_size"), "hash", "item_id", "q", "n_windows")
     if items.count() <= BROADCAST_WINDOWS:
         one = F.broadcast(one)
-    each = document_windows(docs, sizes).select("doc_id", "text_hash", "size", F.posexplode("windows").alias("p", "w"))
+    each = document_windows(docs, sizes).select("doc_id", "text_hash", "size", F.explode("windows").alias("w"))
     met = each.join(one, (each["w"] == one["hash"]) & (each["size"] == one["i_size"]))
-    # words put in or left out shift the alignment: the best one counts, with the windows of its neighbours
-    votes = met.select("doc_id", "text_hash", "item_id", "n_windows", "q", (F.col("p") - F.col("q")).alias("offset")).distinct()
-    share = votes.groupBy("doc_id", "text_hash", "item_id").agg(
-        (F.countDistinct("q") / F.first("n_windows")).alias("coverage"), F.mode("offset", True).alias("offset"))
-    likely, _ = stored(share.where(F.col("coverage") >= coverage), "contamination-candidates")
-    ids = likely.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "item_id", "coverage", "offset")
+    votes = met.select("doc_id", "text_hash", "item_id", "size", "n_windows", "q").distinct()
+    share = votes.groupBy("doc_id", "text_hash", "item_id", "size").agg((F.count("*") / F.first("n_windows")).alias("coverage"))
+    likely, _ = stored(share.groupBy("doc_id", "text_hash", "item_id").agg(F.max("coverage").alias("coverage")), "contamination-candidates")
+    ids = likely.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "item_id", "coverage")
     if likely.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = _told_apart(docs)
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select(
-        "doc_id", "text_hash", "text", "item_id", "coverage", "offset")
+        "doc_id", "text_hash", "text", "item_id", "coverage")
     asked = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("item_text"))
-    both = texts.join(asked, F.col("item_id").eqNullSafe(F.col("i"))).select("doc_id", "text_hash", "item_id", "coverage", "offset", "text", "item_text")
+    both = texts.join(asked, F.col("item_id").eqNullSafe(F.col("i"))).select("doc_id", "text_hash", "item_id", "coverage", "text", "item_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [slot_check(t.as_py(), i.as_py(), o) for t, i, o in zip(batch.column(5), batch.column(6), batch.column(4).to_pylist(), strict=True)]
-            cols = list(zip(*got, strict=True)) or [()] * 3
-            yield pa.record_batch([*batch.columns[:4], batch.column(4), *(pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.float64(), pa.int64()), strict=True))],
-                                  ["doc_id", "text_hash", "item_id", "coverage", "start_word", "equal_words", "slot_agreement", "slots"])
-
-    checked = both.mapInArrow(run, "doc_id long, text_hash long, item_id long, coverage double, start_word int, equal_words double, slot_agreement double, slots long")
-    return checked.where((F.col("slot_agreement") >= agreement) & (F.col("equal_words") >= coverage / 2))
+            got = [slot_check(t.as_py(), i.as_py(), coverage, agreement) for t, i in zip(batch.column(4), batch.column(5), strict=True)]
+            cols = list(zip(*got, strict=True)) or [()] * 5
+            kinds = (pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.int64())
+            yield pa.record_batch([*batch.columns[:4], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                                  ["doc_id", "text_hash", "item_id", "coverage", "start_word", "equal_words", "longest_run", "slot_agreement", "slots"])
+
+    checked = both.mapInArrow(run, "doc_id long, text_hash long, item_id long, coverage double, start_word int, equal_words double, longest_run long, slot_agreement double, slots long")
+    held = (F.col("equal_words") >= coverage) | (F.col("longest_run") >= RUN)
+    return checked.where((F.col("slot_agreement") >= agreement) & held).drop("longest_run")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -175,6 +175,22 @@ def test_templates(spark):
     assert decontaminate.contaminated_pairs(docs_of(spark, rows), items.limit(0)).collect() == []
 
 
+def test_changed_and_partial_copies(spark):
+    """Words changed, put in or left out, and a part of a long item."""
+    sizes = {1: 15, 2: 30, 3: 59, 4: 200, 5: 120}
+    texts = {i: [f"it{i}w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)] for i, n in sizes.items()}
+    letters = lambda w: "".join(c if c.isalpha() else chr(103 + int(c)) for c in w)
+    texts = {i: [letters(w) for w in ws] for i, ws in texts.items()}
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "item_id long, text string")
+    cut = lambda i, *at: " ".join("changed" if k in at else w for k, w in enumerate(texts[i]))
+    put = lambda i, *at: " ".join(w for k, x in enumerate(texts[i]) for w in (["extra", x] if k in at else [x]))
+    around = lambda x: "some words stand before it " + x + " and others come after it"
+    rows = [(1, cut(1, 7)), (2, cut(2, 10, 20)), (3, put(2, 10, 20)), (4, cut(3, 11, 23, 35, 47)), (5, " ".join(texts[4][60:140])),
+            (6, put(5, 20, 40, 60, 80, 100)), (7, " ".join(texts[4][:20])), (8, " ".join(reversed(texts[3])))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs_of(spark, [(d, around(x)) for d, x in rows]).drop("item_id"), items).collect()}
+    assert got == {(1, 1), (2, 2), (3, 2), (4, 3), (5, 4), (6, 5)}
+
+
 # --- pipeline ---------------------------------------------------------------------------------------
 
 def test_pipeline_as_by_hand(spark, library):
