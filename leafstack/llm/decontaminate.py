@@ -14,8 +14,9 @@ Benchmark windows are sent to all tasks up to BROADCAST_WINDOWS rows, else joine
 hashes leave a document's row without its text; only candidates' texts are read again for the check.
 
 Defined cases: null or empty texts and items match nothing; an item shorter than the window is one
-window; items whose windows are mostly placeholders are matched by their other windows only, or not at
-all; a null doc_id or item_id is kept; repeated rows give repeated pairs; other columns are not read.
+window; windows that are mostly placeholders, windows with names and items under SHORTEST words are also
+joined by their bare words, so every verbatim copy is found; what only those join must have enough of the
+item's bare words, a short item all of them, and an item of one word is in every text with that word; a null doc_id or item_id is kept; repeated rows give repeated pairs; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from leafstack.llm.common import BROADCAST_ROWS, stored, worker_keeps
 
 WINDOW, COVERAGE, AGREEMENT = 8, 0.5, 0.9
-#: Words of a window that must not be placeholders, and the shortest item.
+#: Words of a window that must not be placeholders, and the shortest item whose slots may differ.
 LITERAL, SHORTEST = 4, 5
 #: Equal words in a row that are enough by themselves, the shortest run in an alignment, and how far diagonals of one alignment lie apart at least.
 RUN, SHORTEST_RUN, BAND = 40, 3, 8
@@ -52,9 +53,9 @@ _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(st|nd|rd|th)?")
 _NUMBER_UNIT = re.compile(r"[$€£]?[+-]?\d[\d.,]*([a-z%/]+)")
 _PLACE = np.random.default_rng(8).integers(0, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NUM, NAME, UNIT, MEASURE = "<number>", "<name>", "<unit>", "<measure>"
-#: Of each word: hash of its canonical form, and bits: 1 capital, 2 ends a sentence, 4 number or unit, 8 empty.
-_RECORD = np.dtype([("h", "<u8"), ("bits", "<u8")])
-_PACK = struct.Struct("<QQ").pack
+#: Of each word: hashes of its canonical form and of the bare word, and bits: 1 capital, 2 ends a sentence, 4 number or unit, 8 empty.
+_RECORD = np.dtype([("h", "<u8"), ("bits", "<u8"), ("raw", "<u8")])
+_PACK = struct.Struct("<QQQ").pack
 
 
 _hash = xxhash.xxh3_64_intdigest
@@ -84,8 +85,8 @@ class WordRecords(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        form, _, bits = canonical(word.decode())
-        got = self[word] = _PACK(_hash(form), bits)
+        form, low, bits = canonical(word.decode())
+        got = self[word] = _PACK(_hash(form), bits, _hash(low))
         return got
 
 
@@ -97,8 +98,8 @@ def _raw_words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def forms(words: list[bytes], names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, whether a placeholder, place among all words) of the canonical words; without `names` those stay words."""
+def forms(words: list[bytes], names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, whether a placeholder, place among all words, hash of the bare word, whether a name) of the canonical words; without `names` those stay words."""
     got = np.frombuffer(b"".join(map(word_records().__getitem__, words)), dtype=_RECORD)
     bits = got["bits"]
     ended = np.empty(len(got), dtype=bool)
@@ -112,7 +113,7 @@ def forms(words: list[bytes], names: bool = True) -> tuple[np.ndarray, np.ndarra
     name = np.full(len(got), names) & capital & (bits & 4 == 0) & ~ended & (2 * (sums[hi] - sums[lo]) <= hi - lo)
     keep = np.flatnonzero(bits & 8 == 0)
     h = np.where(name, np.uint64(_hash(NAME)), got["h"])
-    return h[keep], (name | (bits & 4 > 0))[keep], keep
+    return h[keep], (name | (bits & 4 > 0))[keep], keep, got["raw"][keep], name[keep]
 
 
 def window_hashes(h: np.ndarray, slot: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -129,15 +130,31 @@ def window_hashes(h: np.ndarray, slot: np.ndarray, window: int = WINDOW) -> np.n
     return np.where(window - slots >= min(LITERAL, (window + 1) // 2), out ^ (out >> np.uint64(32)), 0).view(np.int64)
 
 
+def bare_windows(raw: np.ndarray, window: int) -> np.ndarray:
+    """One hash per window of bare words; where no word is a placeholder, the same as the canonical one."""
+    return window_hashes(raw, np.zeros(len(raw), dtype=bool), window)
+
+
+def _windows_of_text(made: tuple[np.ndarray, ...], size: int) -> np.ndarray:
+    """The distinct hashes of a document: canonical windows, and bare ones where those are few or hold a name."""
+    h, slot, _, raw, name = made
+    found = window_hashes(h, slot, size)
+    if slot.any() and len(found):
+        sums = np.concatenate(([0], np.cumsum(name)))
+        bare = (found == 0) | (sums[size:] > sums[:-size])
+        found = np.concatenate((found, bare_windows(raw, size)[bare]))
+    return np.unique(found[found != 0])
+
+
 def document_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """(doc_id, text_hash, size, windows array<bigint>) for each row and window size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                made = [forms(_raw_words(t.as_py()))[:2] for t in part.column(2)]
+                made = [forms(_raw_words(t.as_py())) for t in part.column(2)]
                 for size in sizes:
-                    found = [np.unique(w[w != 0]) for w in (window_hashes(h, s, size) for h, s in made)]
+                    found = [_windows_of_text(m, size) for m in made]
                     yield pa.record_batch([part.column(0), part.column(1), pa.array([size] * len(found), pa.int32()),
                                            pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "size", "windows"])
 
@@ -149,27 +166,29 @@ def _told_apart(docs: DataFrame) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, size, q, n_windows, hash) of the items' windows."""
+    """(item_id, size, q, n_windows, hash, bare) of the items' windows; n_windows counts those that are not bare."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 # names as placeholders, and as words for documents without capitals or of capitals only
                 both = [forms(_raw_words(text), names)[:2] for names in (True, False)]
-                words = len(both[0][0])
-                if words < SHORTEST:
+                raw = forms(_raw_words(text))[3]
+                words = len(raw)
+                if not words:
                     continue
-                for size in sorted({min(window, words), min(window, SHORTEST if words < 3 * window else window)}):
+                for size in sorted({min(window, words), min(window, words, SHORTEST if words < 3 * window else window)}):
                     found = [window_hashes(h, slot, size) for h, slot in both]
                     places = {(int(q), int(f[q])) for f in found for q in np.flatnonzero(f)}
                     usable = len({q for q, _ in places})
-                    rows += [(item, size, q, usable, h) for q, h in sorted(places)]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)],
-                                  ["item_id", "size", "q", "n_windows", "hash"])
+                    rows += [(item, size, q, usable, h, words < SHORTEST) for q, h in sorted(places)]
+                    rows += [(item, size, q, usable, h, True) for q, h in enumerate(bare_windows(raw, size).tolist()) if (q, h) not in places]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["item_id", "size", "q", "n_windows", "hash", "bare"])
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
-        run, "item_id long, size int, q int, n_windows int, hash long")
+        run, "item_id long, size int, q int, n_windows int, hash long, bare boolean")
 
 
 def _runs(same: np.ndarray, first: int) -> list[tuple[int, int, int]]:
@@ -195,11 +214,11 @@ def _runs(same: np.ndarray, first: int) -> list[tuple[int, int, int]]:
     return sorted(chosen)
 
 
-def alignments(doc: str, item: str) -> Iterator[tuple[int, float, int, float, int]]:
-    """(start word, share of equal words, longest run, share of consistent slots, slots) of each place where the item can stand in the document."""
+def alignments(doc: str, item: str) -> Iterator[tuple[int, float, int, float, int, float]]:
+    """(start word, share of equal words, longest run, share of consistent slots, slots, share of equal bare words) of each place where the item can stand in the document."""
     dw, iw = _raw_words(doc), _raw_words(item)
-    dh, _, dk = forms(dw)
-    ih, is_, ik = forms(iw)
+    dh, _, dk, dr, _ = forms(dw)
+    ih, is_, ik, ir, _ = forms(iw)
     dp, ip = forms(dw, False)[0], forms(iw, False)[0]
     size, offsets = min(SHORTEST, len(ih)), set()
     for d, i in ((dh, ih), (dp, ip)):
@@ -224,25 +243,35 @@ def alignments(doc: str, item: str) -> Iterator[tuple[int, float, int, float, in
         for (value, _), n in Counter(pairs).items():
             best[value] = max(best[value], n)
         yield (runs[0][1] - runs[0][0], sum(n for _, _, n in runs) / len(ih), max(n for _, _, n in runs),
-               sum(best.values()) / len(pairs) if pairs else 1.0, len(pairs))
+               sum(best.values()) / len(pairs) if pairs else 1.0, len(pairs),
+               sum(int((ir[q:q + n] == dr[p:p + n]).sum()) for q, p, n in runs) / len(ih))
+
+
+def slot_check(doc: str, item: str, bare: bool = False, coverage: float = COVERAGE, agreement: float = AGREEMENT) -> tuple[int, float, float, int, bool]:
+    """(start word, share of equal words, share of consistent slots, slots, whether held to be a copy) of the best of `alignments`.
+
+    With `bare` the words themselves must be there, of a short item all.
+    """
+    need = 1.0 if len(forms(_raw_words(item))[0]) < SHORTEST else coverage
 
+    def held(x) -> bool:
+        return x[3] >= agreement and (x[1] >= coverage or x[2] >= RUN) and (not bare or x[5] >= need * (x[1] if x[2] >= RUN else 1))
 
-def slot_check(doc: str, item: str, coverage: float = COVERAGE, agreement: float = AGREEMENT) -> tuple[int, float, int, float, int]:
-    """The best of `alignments`: one that is held to be a copy before others, then by equal words."""
-    return max(alignments(doc, item), key=lambda x: (x[3] >= agreement and (x[1] >= coverage or x[2] >= RUN), x[1]), default=(0, 0.0, 0, 0.0, 0))
+    got = max(((held(x), x[1], x) for x in alignments(doc, item)), default=(False, 0.0, (0, 0.0, 0, 0.0, 0, 0.0)))
+    return got[2][0], got[2][1], got[2][3], got[2][4], got[0]
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, agreement: float = AGREEMENT) -> DataFrame:
     """(doc_id, text_hash, item_id, coverage, slots, slot_agreement, start_word) of the pairs that are held to be copies."""
     items, _ = stored(item_windows(benchmark, window), "item-windows")
     sizes = [r["size"] for r in items.select("size").distinct().collect()] or [window]      # at most `window` values
-    one = items.select(F.col("size").alias("i_size"), "hash", "item_id", "q", "n_windows")
+    one = items.select(F.col("size").alias("i_size"), "hash", "item_id", "q", "n_windows", "bare")
     if items.count() <= BROADCAST_WINDOWS:
         one = F.broadcast(one)
     each = document_windows(docs, sizes).select("doc_id", "text_hash", "size", F.explode("windows").alias("w"))
     met = each.join(one, (each["w"] == one["hash"]) & (each["size"] == one["i_size"]))
-    votes = met.select("doc_id", "text_hash", "item_id", "size", "n_windows", "q").distinct()
-    share = votes.groupBy("doc_id", "text_hash", "item_id", "size").agg((F.count("*") / F.first("n_windows")).alias("coverage"))
+    votes = met.select("doc_id", "text_hash", "item_id", "size", "n_windows", "q", "bare").distinct()
+    share = votes.groupBy("doc_id", "text_hash", "item_id", "size").agg((F.count(F.when(~F.col("bare"), 1)) / F.greatest(F.first("n_windows"), F.lit(1))).alias("coverage"))
     likely, _ = stored(share.groupBy("doc_id", "text_hash", "item_id").agg(F.max("coverage").alias("coverage")), "contamination-candidates")
     ids = likely.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "item_id", "coverage")
     if likely.count() <= BROADCAST_ROWS:
@@ -255,15 +284,16 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [slot_check(t.as_py(), i.as_py(), coverage, agreement) for t, i in zip(batch.column(4), batch.column(5), strict=True)]
+            # no coverage: only bare words have met
+            got = [slot_check(t.as_py(), i.as_py(), not c, coverage, agreement)
+                   for t, i, c in zip(batch.column(4), batch.column(5), batch.column(3).to_pylist(), strict=True)]
             cols = list(zip(*got, strict=True)) or [()] * 5
-            kinds = (pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.int64())
+            kinds = (pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
             yield pa.record_batch([*batch.columns[:4], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                                  ["doc_id", "text_hash", "item_id", "coverage", "start_word", "equal_words", "longest_run", "slot_agreement", "slots"])
+                                  ["doc_id", "text_hash", "item_id", "coverage", "start_word", "equal_words", "slot_agreement", "slots", "held"])
 
-    checked = both.mapInArrow(run, "doc_id long, text_hash long, item_id long, coverage double, start_word int, equal_words double, longest_run long, slot_agreement double, slots long")
-    held = (F.col("equal_words") >= coverage) | (F.col("longest_run") >= RUN)
-    return checked.where((F.col("slot_agreement") >= agreement) & held).drop("longest_run")
+    checked = both.mapInArrow(run, "doc_id long, text_hash long, item_id long, coverage double, start_word int, equal_words double, slot_agreement double, slots long, held boolean")
+    return checked.where("held").drop("held")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

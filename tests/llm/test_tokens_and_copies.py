@@ -191,6 +191,15 @@ def test_changed_and_partial_copies(spark):
     assert got == {(1, 1), (2, 2), (3, 2), (4, 3), (5, 4), (6, 5)}
 
 
+def test_items_of_numbers_names_and_few_words(spark):
+    items = {1: "12 + 7 = 19", 2: "3 5 7 9 11 13 15 17 19 21 23 25", 3: "Who was Ada?", 4: "Berlin", 5: "Paris London Rome Madrid Vienna Prague Oslo Berne Riga Minsk"}
+    texts = [(i, f"in the old book we have read: {x} and so on it goes") for i, x in items.items()]
+    texts += [(10, "in the old book 4 6 8 10 12 14 16 18 20 22 24 26 stood"), (11, "we know who was he"), (12, "he saw 12 + 8 = 20 there")]
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs_of(spark, texts).drop("item_id"), table).collect()}
+    assert got == {(i, i) for i in items}
+
+
 # --- pipeline ---------------------------------------------------------------------------------------
 
 def test_pipeline_as_by_hand(spark, library):
