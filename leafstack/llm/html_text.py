@@ -1,11 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-The page is cut into text nodes, each under its root-to-leaf path of open tags (with a mark where a
-tag's class, id or role names boilerplate). Per path, text length and punctuation are summed; a path's
+The page is cut into text nodes, each under its root-to-leaf path of open tags, with a mark where a
+tag's class, id or role names boilerplate (whole names only). Per path, text length and punctuation are summed; a path's
 ratio is its characters per node, raised by its punctuation. Ratios are smoothed over neighbouring nodes
 of the page and fused with the ratio of the container that the path belongs to. Nodes of paths over a
 share of the page's best ratio are content; a heading at the head of the chosen container stays with it.
-Nodes under boilerplate tags or marks never count. Each page is worked on alone, in one pass.
+Nodes under boilerplate tags never count, but a tag that holds article or main, or a form with most of the
+text, is none; a mark lowers ratios to LOWERED, and counts on no tag of these kinds nor on one with most of
+the text. Each page is worked on alone, in one pass.
 
 Defined cases: a null, empty or text-free page gives an empty text; unclosed and stray tags are
 tolerated as browsers do for paragraphs, list items and table cells; unknown character references stay;
@@ -18,6 +20,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,13 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("nav header footer aside form button select option label menu head dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Names of classes, ids and roles that mark boilerplate.
-MARKS = re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|foot\w*|head(?:er)?|banner|side\w*|ad|ads|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent|notice\w*|alert|"
-                   r"comment\w*|repl(?:y|ies)|disqus|share|sharing|social|related|recommend\w*|breadcrumb\w*|subscri\w*|newsletter|popup|modal|login|"
-                   r"search\w*|pagination|pager|tags?|toolbar|widget\w*|copyright|legal|byline|meta|skip\w*|hidden)(?:$|[\s_-])", re.I)
+#: Names of classes, ids and roles that mark boilerplate: alone, with each other, or after a word for the whole page.
+_MARK = (r"(?:nav\w*|menu\w*|foot\w*|head(?:er)?|banner|side\w*|ad|ads|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent|notice\w*|alert|"
+         r"comment\w*|repl(?:y|ies)|disqus|share|sharing|social|related|recommend\w*|breadcrumb\w*|subscri\w*|newsletter|popup|modal|login|"
+         r"search\w*|pagination|pager|tags?|toolbar|widget\w*|copyright|legal|byline|meta|skip\w*|hidden)")
+MARKS = re.compile(rf"(?<!\S)(?:(?:site|page|global|main)[_-])?{_MARK}(?:[_-]{_MARK})*(?!\S)".replace(r"\w", "[^\\W_]"), re.I)
+#: What a mark leaves of a ratio, and the share of the page's text that is most of it.
+LOWERED, MOST = 0.2, 0.75
 CONTENT = frozenset({"article", "main"})
 #: An end tag or a start tag closes open paragraphs and items of these kinds.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -47,10 +53,27 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；！？]")
 
 
-def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
-    """(path, text, outside) of each block of text in page order; inline tags join the block around them."""
-    out: list[tuple[tuple[str, ...], str, bool]] = []
-    stack: list[tuple[str, bool]] = []      # tag and whether it is outside the content
+class Element:
+    """An open tag: whether it is outside the content, by its tag or hidden, or marked; and what text it holds."""
+
+    __slots__ = ("tag", "outside", "hidden", "marked", "chars", "content")
+
+    def __init__(self, tag: str, outside: bool, hidden: bool, marked: bool) -> None:
+        self.tag, self.outside, self.hidden, self.marked, self.chars, self.content = tag, outside, hidden, marked, 0, tag in CONTENT
+
+
+class Block(NamedTuple):
+    path: tuple[str, ...]
+    text: str
+    outside: bool
+    marked: bool
+    chain: tuple[Element, ...]
+
+
+def text_blocks(page: str) -> list[Block]:
+    """The blocks of text in page order; inline tags join the block around them."""
+    found: list[tuple[tuple[Element, ...], str]] = []
+    stack: list[Element] = []
     held: list[str] = []
     at, end = 0, len(page)
 
@@ -58,7 +81,12 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append((tuple(t for t, _ in stack if t in BLOCKS), text, any(o for _, o in stack)))
+                found.append((tuple(stack), text))
+                hidden = any(e.hidden for e in stack)
+                content = False
+                for e in reversed(stack):
+                    e.chars += 0 if hidden else len(text)
+                    content = e.content = e.content or content
             held.clear()
 
     while at < end:
@@ -79,8 +107,8 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                 flush()
             if tag == "br":
                 held.append(" ")
-            elif any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            elif any(e.tag == tag for e in stack):
+                while stack.pop().tag != tag:
                     pass
             continue
         if tag in RAW and not m[3].endswith("/"):
@@ -97,32 +125,41 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             flush()
             closing = CLOSES.get(tag) or {"p"}
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closing:
+                if stack[k].tag in closing:
                     del stack[k:]
                     break
-                if stack[k][0] in FENCES:
+                if stack[k].tag in FENCES:
                     break
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3]))
-        outside = tag in OUTSIDE and not (tag == "header" and any(t in CONTENT for t, _ in stack)) or bool(MARKS.search(named)) or bool(_HIDDEN.search(m[3]))
+        outside = tag in OUTSIDE and not (tag == "header" and any(e.tag in CONTENT for e in stack))
         if not m[3].endswith("/"):
-            stack.append((tag, outside and tag not in ("html", "body")))
+            stack.append(Element(tag, outside, bool(_HIDDEN.search(m[3])) and tag not in ("html", "body"), bool(MARKS.search(named))))
     flush()
-    return out
+    total = sum(len(t) for chain, t in found if not any(e.hidden for e in chain))
+
+    def most(e: Element) -> bool:
+        return e.content or e.chars >= MOST * total
+
+    return [Block(tuple(e.tag for e in chain if e.tag in BLOCKS), text,
+                  any(e.hidden or e.outside and not (e.content or e.tag == "form" and most(e)) for e in chain),
+                  any(e.marked and e.tag not in ("html", "body") and not most(e) for e in chain),
+                  tuple(e for e in chain if e.tag in BLOCKS)) for chain, text in found]
 
 
-def content_blocks(blocks: list[tuple[tuple[str, ...], str, bool]], share: float = SHARE) -> list[bool]:
+def content_blocks(blocks: list[Block], share: float = SHARE) -> list[bool]:
     """Which blocks are content, by fused and smoothed tag-path ratios."""
     n = len(blocks)
-    chars = np.array([0 if o else len(t) for _, t, o in blocks], dtype=float)
-    marks = np.array([0 if o else len(_PUNCTUATION.findall(t)) for _, t, o in blocks], dtype=float)
+    chars = np.array([0 if b.outside else len(b.text) for b in blocks], dtype=float)
+    marks = np.array([0 if b.outside else len(_PUNCTUATION.findall(b.text)) for b in blocks], dtype=float)
     if not chars.sum():
         return [False] * n
+    weight = np.array([LOWERED if b.marked else 1.0 for b in blocks])
     paths: dict[tuple, list[int]] = defaultdict(list)
     holders: dict[tuple, list[int]] = defaultdict(list)
-    for i, (path, _, outside) in enumerate(blocks):
-        if not outside:
-            paths[path].append(i)
-            holders[path[:-1]].append(i)
+    for i, b in enumerate(blocks):
+        if not b.outside:
+            paths[b.path, b.marked].append(i)
+            holders[b.path[:-1], b.marked].append(i)
 
     def ratio(ids: list[int]) -> float:
         return chars[ids].sum() / len(ids) * (1 + np.log1p(marks[ids].sum() / len(ids)))
@@ -130,34 +167,36 @@ def content_blocks(blocks: list[tuple[tuple[str, ...], str, bool]], share: float
     own, held = np.zeros(n), np.zeros(n)
     for ids in paths.values():
         own[ids] = ratio(ids)
-    for path, ids in holders.items():
+    for (path, _), ids in holders.items():
         # a container weighs by all its text; one that is the article by its tag weighs double
         held[ids] = ratio(ids) * np.sqrt(chars[ids].sum()) * (2 if CONTENT & set(path) else 1)
+    own, held = own * weight, held * weight
     padded = np.pad(own, 1, mode="edge")
     smooth = SMOOTHING[0] * padded[:-2] + SMOOTHING[1] * padded[1:-1] + SMOOTHING[2] * padded[2:]
-    fused = 0.5 * smooth / max(smooth.max(), 1e-9) + 0.5 * held / max(held.max(), 1e-9)
+    fused = (0.5 * smooth / max(smooth.max(), 1e-9) + 0.5 * held / max(held.max(), 1e-9)) * weight
     inside = chars > 0
     by_path = np.zeros(n)
     for ids in paths.values():
         by_path[ids] = fused[ids].max()
     limit = share * by_path[inside].max()
     chosen = inside & (by_path >= limit)
-    if any(CONTENT & set(blocks[i][0]) for i in np.flatnonzero(chosen)):
-        chosen &= np.array([bool(CONTENT & set(p)) for p, _, _ in blocks])
+    if any(CONTENT & set(blocks[i].path) for i in np.flatnonzero(chosen)):
+        chosen &= np.array([bool(CONTENT & set(b.path)) for b in blocks])
     # short parts of the chosen containers (headings, list items, last lines) belong to the text
-    homes = {blocks[i][0][:-1] for i in np.flatnonzero(chosen)}
-    for i, (path, _, outside) in enumerate(blocks):
+    homes = {(blocks[i].path[:-1], blocks[i].marked) for i in np.flatnonzero(chosen)}
+    for i, (path, _, outside, marked, _) in enumerate(blocks):
         if not outside and not chosen[i]:
-            chosen[i] = any(path[:len(h)] == h for h in homes if CONTENT & set(h)) or (path[-1:] and path[-1] in HEADINGS and path[:-1] in homes)
+            chosen[i] = any(path[:len(h)] == h for h, k in homes if k == marked and CONTENT & set(h)) or (
+                path[-1:] and path[-1] in HEADINGS and (path[:-1], marked) in homes)
         # a heading right before a chosen block, outside its container
-        if chosen[i] and i and blocks[i - 1][0][-1:] and blocks[i - 1][0][-1] in HEADINGS and not blocks[i - 1][2]:
+        if chosen[i] and i and blocks[i - 1].path[-1:] and blocks[i - 1].path[-1] in HEADINGS and not blocks[i - 1].outside and not (blocks[i - 1].marked and not marked):
             chosen[i - 1] = True
     return chosen.tolist()
 
 
 def main_text(page: str | None) -> str:
     blocks = text_blocks(page or "")
-    return "\n\n".join(t for (_, t, _), c in zip(blocks, content_blocks(blocks), strict=True) if c)
+    return "\n\n".join(b.text for b, c in zip(blocks, content_blocks(blocks), strict=True) if c)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

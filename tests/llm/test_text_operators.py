@@ -205,6 +205,17 @@ def test_other_pages():
     assert len(html_text.main_text("<div>" * 3000 + "x" * 100_000)) == 100_000
 
 
+def test_marks_do_not_take_the_article():
+    text = ["The first paragraph of this article, which is long enough; it has punctuation.", "And the second one, just as long as the first, ends here."]
+    inner = "".join(f"<p>{t}</p>" for t in text)
+    side = "<div class=sidebar><p>Other things, also with commas, to read.</p></div>"
+    for head, tail in [('<article class="post hentry tag-berlin">', "</article>"), ('<div class="content has-sidebar">', "</div>"), ("<div class=no-sidebar><div>", "</div></div>"),
+                       ('<div class="comments-open">', "</div>"), ("<div class=widget-container><main>", "</main></div>"), ("<form action=x><div>", "</div></form>"), ("<div class=widget>", "</div>"),
+                       ("<article class=widget>", "</article>")]:
+        assert html_text.main_text(f"<body>{head}{inner}{tail}</body>") == "\n\n".join(text), head
+        assert html_text.main_text(f"<body>{head}{inner}{tail}{side}</body>") == "\n\n".join(text), head
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, None, None), (None, "u", "<p>x, y.</p>"), (2, "u", ""), (2, "u", "")]
     pages = spark.createDataFrame([(*r, "other") for r in rows], "page_id long, url string, html string, text string")
