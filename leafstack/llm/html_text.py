@@ -4,7 +4,8 @@ The page is cut into text nodes, each under its root-to-leaf path of open tags,
 tag's class, id or role names boilerplate (whole names only). Per path, text length and punctuation are summed; a path's
 ratio is its characters per node, raised by its punctuation. Ratios are smoothed over neighbouring nodes
 of the page and fused with the ratio of the container that the path belongs to. Nodes of paths over a
-share of the page's best ratio are content; a heading at the head of the chosen container stays with it.
+share of the page's best ratio are content; short parts of the chosen containers (lists, tables, headings)
+and a heading at their head stay with them.
 Nodes under boilerplate tags never count, but a tag that holds article or main, or a form with most of the
 text, is none; a mark lowers ratios to LOWERED, and counts on no tag of these kinds nor on one with most of
 the text. Each page is worked on alone, in one pass.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -146,6 +147,27 @@ def text_blocks(page: str) -> list[Block]:
                   tuple(e for e in chain if e.tag in BLOCKS)) for chain, text in found]
 
 
+def _short_parts(blocks: list[Block], chosen: np.ndarray) -> list[int]:
+    """Blocks in the containers of the chosen ones, without article or main to tell; in a bare body, those between them."""
+    ids = np.flatnonzero(chosen)
+    if not len(ids) or any(CONTENT & set(blocks[i].path) for i in ids):
+        return []
+    size: Counter = Counter()
+    parents, depth = set(), {}
+    for i in ids:
+        around = [e for e in blocks[i].chain[:-1] if e.tag not in ("html", "body")]
+        parents.update(around[-1:])
+        for k, e in enumerate(around):
+            size[e] += len(blocks[i].text)
+            depth[e] = k
+    total = sum(len(blocks[i].text) for i in ids)
+    whole = max((e for e in size if 2 * size[e] > total), key=depth.__getitem__, default=None)
+    homes = {e for e in parents if 2 * size[e] >= e.chars} | ({whole} if whole else set())
+    marked = any(blocks[i].marked for i in ids)
+    return [i for i, b in enumerate(blocks) if not b.outside and (marked or not b.marked)
+            and (not homes.isdisjoint(b.chain) or whole is None and ids[0] < i < ids[-1])]
+
+
 def content_blocks(blocks: list[Block], share: float = SHARE) -> list[bool]:
     """Which blocks are content, by fused and smoothed tag-path ratios."""
     n = len(blocks)
@@ -182,6 +204,7 @@ def content_blocks(blocks: list[Block], share: float = SHARE) -> list[bool]:
     chosen = inside & (by_path >= limit)
     if any(CONTENT & set(blocks[i].path) for i in np.flatnonzero(chosen)):
         chosen &= np.array([bool(CONTENT & set(b.path)) for b in blocks])
+    chosen[_short_parts(blocks, chosen)] = True
     # short parts of the chosen containers (headings, list items, last lines) belong to the text
     homes = {(blocks[i].path[:-1], blocks[i].marked) for i in np.flatnonzero(chosen)}
     for i, (path, _, outside, marked, _) in enumerate(blocks):

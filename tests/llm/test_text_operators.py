@@ -216,6 +216,17 @@ def test_marks_do_not_take_the_article():
         assert html_text.main_text(f"<body>{head}{inner}{tail}{side}</body>") == "\n\n".join(text), head
 
 
+def test_short_parts_of_plain_containers_stay():
+    text = [f"Paragraph {k} of the article, with commas and words. " + "It goes on and on, as paragraphs do; it does not stop soon. " * 6 for k in range(4)]
+    p = [f"<p>{t}</p>" for t in text]
+    for short in ("<ul>" + "".join(f"<li>list item number {k}</li>" for k in range(5)) + "</ul>", "<dl><dt>term</dt><dd>meaning</dd></dl>",
+                  "<table><tr><td>cell one</td><td>cell two</td></tr></table>", "<div>Short line.</div>"):
+        for head, tail in (("<section><span>Home</span> <span>Shop</span></section><div>", "</div><div class=sidebar><p>Other things.</p></div><footer>c 2020</footer>"), ("<h1>T</h1>", "<footer>c 2020</footer>")):
+            got = html_text.main_text(f"<body>{head}{p[0]}{p[1]}{short}{p[2]}{p[3]}{tail}</body>").split("\n\n")
+            want = [x.strip() for x in html_text.re.split("<[^>]+>", "".join(p[:2]) + short + "".join(p[2:])) if x.strip()]
+            assert [x for x in got if x != "T"] == want, (head, short)
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, None, None), (None, "u", "<p>x, y.</p>"), (2, "u", ""), (2, "u", "")]
     pages = spark.createDataFrame([(*r, "other") for r in rows], "page_id long, url string, html string, text string")
