@@ -123,9 +123,8 @@ def new_variants(decided: DataFrame, class_names: DataFrame, existing: DataFrame
         "class_id", "issuer_slug", F.array_join("field_names", ",").alias("fingerprint")).agg(
         F.count(F.lit(1)).alias("doc_count"), F.min("document_id").alias("first_document_id"),
         F.first("field_names").alias("field_names"))
-    w = Window.partitionBy("class_id").orderBy("issuer_slug", "fingerprint")
-    j = groups.withColumn("n", F.row_number().over(w)).join(F.broadcast(existing), "class_id", "left").join(
-        F.broadcast(class_names.select("class_id", F.col("name").alias("class_name"))), "class_id", "left")
+    j = running_number(groups, "class_id", ["issuer_slug", "fingerprint"], "n").join(existing, "class_id", "left").join(
+        class_names.select("class_id", F.col("name").alias("class_name")), "class_id", "left")
     letter = N.variant_letter(F.col("n") + F.coalesce("variants", F.lit(0)))
     return j.select(
         "class_id", "issuer_slug", "fingerprint", "doc_count", "first_document_id",
@@ -201,7 +200,7 @@ def signature_location(found: DataFrame) -> DataFrame:
     """
     at = F.struct("created_at", "document_id")
     spot = N.signature_anchor(F.col("page"), F.col("page_count"))
-    rows = running_number(found, "variant_id", "created_at", "document_id", "i").select(
+    rows = running_number(found, "variant_id", ["created_at", "document_id"], "i").select(
         "variant_id", "i", at.alias("o"), spot["anchor"].alias("anchor"),
         spot["offset"].alias("offset"), "bbox", "label")
     bounds = found.groupBy("variant_id").agg(F.greatest(F.lit(SETTLED), 2 * F.max("page_count")).alias("settled"))

@@ -192,9 +192,9 @@ def schema_hints(profiles: DataFrame, stats: DataFrame, schema: DataFrame) -> Da
 def stage_timeline(docs: DataFrame) -> DataFrame:
     """Document number within its layout and the stage the layout had reached with it.
 
-    The numbering is split by day, so a layout with most documents is not one task.
+    The numbering is split by ranges, so a layout with most documents is not one task.
     """
-    numbered = running_number(docs.filter(F.col("variant_id").isNotNull()), "variant_id", "created_at", "document_id", "doc_no")
+    numbered = running_number(docs.filter(F.col("variant_id").isNotNull()), "variant_id", ["created_at", "document_id"], "doc_no")
     return numbered.select("variant_id", "document_id", "created_at", "doc_no",
                            learning_stage(F.col("doc_no")).alias("stage"))
 

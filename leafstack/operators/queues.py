@@ -160,10 +160,10 @@ def discovery_queue(docs: DataFrame) -> DataFrame:
 def event_timeline(events: DataFrame) -> DataFrame:
     """Events of each document in order, with the next state and the seconds until it.
 
-    Split by day, so a document with most events is not one task.
+    Split by ranges, so a document with most events is not one task.
     """
     rows = neighbour(events.select("document_id", "event_id", "state", "created_at"), "document_id",
-                     "created_at", "event_id", ["state", "created_at"], "next_", forward=True)
+                     ["created_at", "event_id"], ["state", "created_at"], "next_", forward=True)
     seconds = F.unix_micros(F.col("next_created_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
     return rows.select("document_id", "event_id", "state", "created_at", "next_state",
                        F.floor(seconds / 1_000_000).alias("dwell_seconds"))
@@ -177,7 +177,7 @@ def status_timeline(events: DataFrame) -> DataFrame:
 def bad_transitions(events: DataFrame, allowed: DataFrame) -> DataFrame:
     """Events whose state may not follow the one before."""
     rows = neighbour(events.select("document_id", "event_id", "state", "created_at"), "document_id",
-                     "created_at", "event_id", ["state"], "prev_").filter(F.col("prev_state").isNotNull())
+                     ["created_at", "event_id"], ["state"], "prev_").filter(F.col("prev_state").isNotNull())
     a = F.broadcast(allowed.select(F.col("from_state").alias("prev_state"), F.col("to_state").alias("state")))
     return rows.join(a, ["prev_state", "state"], "left_anti").select(
         "document_id", "event_id", "prev_state", "state", "created_at")
