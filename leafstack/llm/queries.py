@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafstack.llm import bpe, decontaminate, html_text, license_scan, line_dedup, near_dedup, quality_rules, sharding, token_files, toxicity
+from leafstack.llm import (bpe, decontaminate, html_text, license_scan, line_dedup, near_dedup, prefix_trie, quality_rules, secret_scan, sharding,
+                           token_files, toxicity, whitening)
 from leafstack.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +88,41 @@ def html_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+@query("op11_secret_scan")
+def secret_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def whitening_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_prefix_trie", r"""
+WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+             FROM range(256) r(i)),
+own AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS s
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (SELECT conv_id, s, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                                              lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h FROM own, crc),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(f.s[1:o.h], []), o.s[o.h + 1:]) AS s
+            FROM hashed o LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 5),
+members AS (SELECT conv_id, len(s) AS n, d, s[1:d] AS p FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE strlen(any_value(p[d].x)) END AS bytes,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM members GROUP BY p, d),
+named AS (SELECT m.conv_id AS member, m.d, v.conv_id FROM members m JOIN nodes v ON m.d = v.d AND m.p = v.p),
+below AS (SELECT DISTINCT a.conv_id, a.d, b.conv_id AS low_id, b.d AS low_d FROM named a JOIN named b ON a.member = b.member AND a.d <= b.d),
+kids AS (SELECT v.conv_id, v.d, count(*) AS n_children FROM nodes c JOIN nodes v ON v.d = c.d - 1 AND v.p = c.p[1:c.d - 1] GROUP BY v.conv_id, v.d)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n_children, 0) AS n_children,
+       CAST(sum(CASE WHEN lk.n_children IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((l.n_convs - 1) * l.bytes) AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM nodes v LEFT JOIN nodes u ON u.d = v.d - 1 AND u.p = v.p[1:v.d - 1] LEFT JOIN kids k ON k.conv_id = v.conv_id AND k.d = v.d
+JOIN below b ON b.conv_id = v.conv_id AND b.d = v.d JOIN nodes l ON l.conv_id = b.low_id AND l.d = b.low_d
+LEFT JOIN kids lk ON lk.conv_id = b.low_id AND lk.d = b.low_d
+GROUP BY ALL""")
+def trie_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run     # it imports this module
