@@ -54,6 +54,28 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Tables:
+    """Stored tables of one run of an operator, deleted together at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = stored(df, name)
+        self.paths.append(path)
+        return df
+
+    def taken(self, kept: tuple[DataFrame, str]) -> DataFrame:
+        """A table that another step has stored, to be deleted with the others."""
+        df, path = kept
+        self.paths.append(path)
+        return df
+
+    def drop(self) -> None:
+        while self.paths:
+            forget(self.spark, self.paths.pop())
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; texts of ASCII only take the fast way."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

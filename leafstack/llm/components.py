@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from leafstack.llm.common import forget, stored
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): the smallest node of each node's component; only nodes with an edge.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, str]:
+    """(node, label): the smallest node of each node's component; only nodes with an edge. And the table's path.
 
     Each round takes the smallest label among neighbours and then the label of that label, until nothing
     changes: about log2 of the longest chain. Rounds are written tables, the one before is deleted;
@@ -33,4 +33,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels, path = new.select("node", "label"), new_path
         if not changed:
             forget(spark, both_path)
-            return labels
+            return labels, path

@@ -4,21 +4,20 @@ A document's set holds its distinct 5-word shingles, A-Z lower-cased, as 64-bit
 equal sets are one node, named by a 128-bit fingerprint of the set. Each of `trees` independent trees
 starts with all of them. A tree node chooses one of the 64 minwise tokens by its own path and branches
 its documents by that token, so two documents stay together with the probability of their similarity.
-Nodes of up to `leaf` documents are compared exhaustively; larger ones branch again. What is still
-together in a large node after `dealt_from` branchings is dealt out by its rare shingles, exactly (below).
-Documents of 75 % similarity meet in one tree with 0.75^branchings, so 16 trees miss a pair that meets
-after one branching with 2e-10, after two with 2e-6 and after three with 2e-4; there are no more.
-
-Comparing is done in rounds, so that a large group of near copies doesn't become all its pairs:
-first each document with the smallest of each node it comes through, up to `depth` branchings, and
-confirmed links form components; then the pairs of small nodes whose components differ. Pairs whose 64
-minwise tokens agree in less than half are left out (a pair of 75 % similarity: 4.6 standard deviations);
-all others are confirmed on the full sets, which are made anew from the texts of just those documents.
-
-Last come the sets of large nodes that hold more than one component. Their shingles are ordered from
-rare to common; two sets of the wanted similarity share one among the first few of both (prefix filter of
-set similarity joins), and where it stands bounds what they can share after it. A passage that a crowd
-shares stands behind each set's own shingles, so it makes no pairs, and no pair of these sets is lost.
+Nodes of up to `leaf` documents are compared exhaustively inside one task; larger ones branch again.
+
+After the first branching each document is compared with the smallest of each node it came through, and
+confirmed links form components. A node of one component is finished: near copies of one text, however
+many, go no further. Only mixed nodes are compared, pairs of different components alone, and only large
+mixed nodes branch on, where at every level each document first meets the smallest of its node and the
+components are joined anew. So a crowd costs rows by its size and depth, not by its pairs.
+
+A pair at 75 % is together in one tree with 0.75^branchings. 16 trees miss it with 2e-10 if nodes are
+small after one branching, with 1e-4 after two. Where a crowd (many documents that share a long passage
+without being copies) goes deeper, its documents are given as many more trees as bring a pair of them to
+`recall` at the depth that was measured; that number follows from the depth alone and has no cap.
+Candidates are pairs whose 64 minwise tokens agree in half or more (a pair of 75 %: 4.6 standard
+deviations above); all are confirmed on the full sets, made anew from the texts of just those documents.
 
 Defined cases: null, empty or blank texts have an empty set, size 0, and are linked with nothing, also
 not with each other; fewer than five words are one shingle; a null doc_id counts as the largest and comes
@@ -27,7 +26,7 @@ back as null; rows that repeat a doc_id are documents of their own sets; other c
 
 from __future__ import annotations
 
-import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import BROADCAST_ROWS, LAST_ID, ordered_id, stored, worker_keeps
+from leafstack.llm.common import BROADCAST_ROWS, LAST_ID, Tables, ordered_id, stored, worker_keeps
 from leafstack.llm.components import components
 
-SHINGLE, TOKENS, TREES, LEAF, DEPTH = 5, 64, 16, 24, 5
-#: Branchings after which what is still together in a large node is dealt out by its rare shingles.
-DEALT_FROM = 2
+SHINGLE, TOKENS, TREES, LEAF = 5, 64, 16, 512
+#: Probability with which a pair at the limit shall meet; share of a crowd whose depth counts for it.
+RECALL, MATTERS = 0.99, 0.02
+#: Branchings after which a node is compared exhaustively whatever its size: 64 tokens are used up long before (a pair of 75 % is still together with 1e-5).
+DEPTH = 40
 #: Share of equal minwise tokens from which a pair is confirmed on the full sets.
 CLOSE_ENOUGH = 0.5
 WORDS_KEPT = 300_000
@@ -118,7 +119,7 @@ def _told_apart(docs: DataFrame) -> DataFrame:
                        F.xxhash64("text").alias("text_hash"), "text")
 
 
-def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, tables: Tables) -> DataFrame:
     """(fp, found) of the sets in `wanted` (fp), from one text of each; found is sorted.
 
     Up to BROADCAST_ROWS wanted sets are sent to the tasks that read texts; more are joined by a shuffle.
@@ -132,7 +133,7 @@ def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     one = (rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc", "text_hash")).alias("from"))
            .select("fp", "from.doc", "from.text_hash"))
-    one, _ = stored(one, "set-sources")
+    one = tables.keep(one, "set-sources")
     few = one.count() <= BROADCAST_ROWS
     texts = _told_apart(docs).join(F.broadcast(one) if few else one, ["doc", "text_hash"]).select("fp", "text")
     return texts.mapInArrow(run, "fp binary, found array<bigint>").dropDuplicates(["fp"])
@@ -145,28 +146,10 @@ def _branched(path, tokens):
     return F.xxhash64(path, F.element_at(tokens, (F.pmod(F.xxhash64(F.lit(1), path), F.lit(TOKENS)) + 1).cast("int")))
 
 
-def tree_members(nodes: DataFrame, trees: int, leaf: int, depth: int, dealt_from: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of nodes(fp, tokens): (stars(fp, centre), small(path, fp), large(path, fp)), one row per tree node that a document comes through.
-
-    large are the nodes over `leaf` after `dealt_from` branchings; what branches on from there gives stars only.
-    """
-    level = nodes.select("fp", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"), "tokens")
-    level = level.select("fp", _branched(F.xxhash64("tree"), F.col("tokens")).alias("path"))
-    stars, small = [], []
-    dealt_from = min(dealt_from, depth)
-    for d in range(1, depth + 1):
-        counted, _ = stored(level.groupBy("path").agg(F.count("*").alias("n"), F.min("fp").alias("centre")).where("n > 1"), "tree-nodes")
-        members, _ = stored(level.join(counted, "path").select("path", "fp", "n", "centre"), "tree-members")
-        stars.append(members.where("fp <> centre").select("fp", "centre"))
-        large = members.where(F.col("n") > leaf)
-        if d <= dealt_from:
-            small.append(members.where(F.col("n") <= leaf).select("path", "fp"))
-            large_at_deal = large.select("path", "fp")
-        if large.isEmpty():
-            break
-        if d < depth:
-            level = large.join(nodes, "fp").select("fp", _branched(F.col("path"), F.col("tokens")).alias("path"))
-    return functools.reduce(DataFrame.unionAll, stars).distinct(), functools.reduce(DataFrame.unionAll, small), large_at_deal
+def trees_for(recall: float, percent: int, branchings: int) -> int:
+    """Trees after which a pair at the limit has met with probability `recall`, if a tree needs so many branchings."""
+    together = (percent / 100) ** branchings
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -185,86 +168,156 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def _crowded(large: DataFrame, groups: DataFrame) -> DataFrame:
-    """(fp, label) of the sets in large nodes that hold more than one component."""
-    labelled, _ = stored(_labelled(large, groups), "large-nodes")
-    mixed = labelled.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    mixed, _ = stored(mixed.select("path"), "mixed-nodes")
-    return labelled.join(mixed, "path").select("fp", "label").distinct()
-
-
 def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
-    return members.join(groups, members["fp"] == groups["node"], "left").select("path", "fp", F.coalesce("label", "fp").alias("label"))
-
-
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Of sets(fp, label, found): the pairs (a, b) of different labels that can have the similarity, none left out.
-
-    Of |a| <= |b| with 100 |a and b| >= percent |a or b|, the rarest shingle they share is among the first
-    |a| - 2 percent / (100 + percent) |a| + 1 of a and the first |b| - percent / 100 |b| + 1 of b.
-    """
-    each, _ = stored(sets.select("fp", "label", F.size("found").alias("n"), F.explode("found").alias("s")), "crowd-shingles")
-    often, _ = stored(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "crowd-shingle-counts")
-    ordered = each.join(often, "s", "left").groupBy("fp").agg(
-        F.first("label").alias("label"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))     # a single one's df is null: first
-    upto = lambda up, down: F.expr(f"cast(n - (({up} * n + {down - 1}) div {down}) + 1 as int)")
-    first = ordered.withColumn("order", F.slice("order", 1, upto(percent, 100))).withColumn("short", upto(2 * percent, 100 + percent))
-    at, _ = stored(first.select("fp", "label", "n", "short", F.posexplode("order").alias("at", "o")).where("o.df > 1").select(
-        "fp", "label", "n", "short", (F.col("at") + 1).alias("at"), F.col("o.s").alias("s")), "crowd-prefixes")
-    one, two = (at.select("s", *(F.col(c).alias(f"{x}_{c}") for c in ("fp", "label", "n", "short", "at"))) for x in "ab")
-    most = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    fits = ((F.struct("a_n", "a_fp") < F.struct("b_n", "b_fp")) & (F.col("a_label") != F.col("b_label")) & (100 * F.col("a_n") >= percent * F.col("b_n"))
-            & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))))
-    pairs = one.where("a_at <= a_short").join(two, "s").where(fits)
-    return pairs.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
-
-
-def set_components(docs: DataFrame, rows: DataFrame, percent: int, trees: int, leaf: int, depth: int, dealt_from: int) -> DataFrame:
+    """`members` (fp) with the label of their component; a set without links is its own."""
+    own = groups.select(F.col("node").alias("fp"), "label")
+    return members.join(own, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, fp, label, tokens) sorted by path: the close pairs (a, b) of different labels in each node."""
+    def pairs(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        tokens = np.array([t for _, _, t in rows], dtype=np.int32)
+        code = {label: k for k, label in enumerate({r[1] for r in rows})}
+        labels = np.array([code[r[1]] for r in rows])
+        for k in range(len(rows) - 1):
+            others = np.flatnonzero(labels[k + 1:] != labels[k]) + k + 1
+            for j in others[(tokens[others] == tokens[k]).sum(axis=1) >= CLOSE_ENOUGH * TOKENS]:
+                yield min(rows[k][0], rows[j][0]), max(rows[k][0], rows[j][0])
+
+    at, held, found = None, [], []
+    for batch in _with_end(batches):
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None, None, None, None)]
+        for path, *row in rows:
+            if path != at:
+                found += pairs(held) if len(held) > 1 else []
+                at, held = path, []
+            held.append(tuple(row))
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            found = []
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _inside(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The close pairs (a, b) of different labels inside the nodes of members(path, fp, label): for small nodes."""
+    rows = members.join(nodes, "fp").select("path", "fp", "label", "tokens")
+    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(_compared, "a binary, b binary").distinct()
+
+
+def _mixed_nodes(labelled: DataFrame, tables: Tables) -> DataFrame:
+    """The nodes (path) of labelled(path, label) that hold more than one component."""
+    return tables.keep(labelled.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                       .where("low <> high").select("path"), "mixed-nodes")
+
+
+def _merged(groups: DataFrame, links: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame | None]:
+    """`groups` (node, label) with the components that `links` (a, b) join, and the moves (node, label) of labels; None if nothing moves."""
+    ends = links.join(groups.select(F.col("node").alias("a"), F.col("label").alias("u")), "a", "left").join(
+        groups.select(F.col("node").alias("b"), F.col("label").alias("v")), "b", "left")
+    edges = tables.keep(ends.select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b")).where("a <> b").distinct(), "label-edges")
+    if edges.isEmpty():
+        return groups, None
+    moves = tables.taken(components(edges))
+    to = moves.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    moved = groups.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return tables.keep(moved.unionByName(moves.join(groups, "node", "left_anti")), "groups"), moves
+
+
+class Crowd:
+    """The sets of large nodes that hold several components, branched on until their nodes are small or of one component."""
+
+    def __init__(self, fps: DataFrame, nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, leaf: int, tables: Tables):
+        self.nodes, self.groups, self.sets, self.percent, self.leaf, self.tables = nodes, groups, sets, percent, leaf, tables
+        self.rows = tables.keep(_labelled(fps.distinct().join(nodes, "fp"), groups), "crowd")
+
+    def descend(self, at: DataFrame) -> tuple[list[int], DataFrame | None]:
+        """Branch the nodes at(path, fp). Members of nodes that went on, level by level, and those of the first level here."""
+        going, first = [], None
+        while not at.isEmpty():
+            level = self.tables.keep(at.join(self.rows, "fp").select("fp", "label", _branched(F.col("path"), F.col("tokens")).alias("path")), "crowd-branches")
+            sizes = self.tables.keep(level.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct("fp", "label")).alias("centre"), F.max("label").alias("high"),
+                                                               F.min("label").alias("low")).where("low <> high").drop("low", "high"), "crowd-nodes")
+            members = self.tables.keep(level.join(sizes, "path"), "crowd-level")
+            last = len(going) >= DEPTH
+            self._compare(members, last)
+            at = members.where(F.lit(not last) & (F.col("n") > self.leaf)).select("path", "fp")
+            first = first or at
+            going.append(at.count())
+        return going, first
+
+    def _compare(self, members: DataFrame, exhaustive: bool) -> None:
+        """Compare each set of a large node with the node's smallest, those of small nodes with each other, if their labels differ."""
+        large = F.lit(not exhaustive) & (F.col("n") > self.leaf)
+        stars = members.where(large & (F.col("label") != F.col("centre.label"))).select(F.col("centre.fp").alias("a"), F.col("fp").alias("b")).distinct()
+        pairs = self.tables.keep(_inside(members.where(~large), self.nodes).unionByName(_close(stars, self.nodes)), "crowd-pairs")
+        links = self.tables.keep(_confirmed(pairs, self.sets, self.percent), "crowd-links")
+        if links.isEmpty():
+            return
+        self.groups, moves = _merged(self.groups, links, self.tables)
+        if moves is not None:
+            to = moves.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            self.rows = self.tables.keep(self.rows.join(to, "label", "left").select("fp", "tokens", F.coalesce("to", "label").alias("label")), "crowd")
+
+
+def set_components(docs: DataFrame, rows: DataFrame, percent: int, trees: int, leaf: int, recall: float, tables: Tables) -> DataFrame:
     """(node, label) of the sets that are linked with another set; `rows` is set_rows, stored."""
-    nodes, _ = stored(rows.where("fp is not null").select("fp", "tokens").dropDuplicates(["fp"]), "sets")
-    stars, small, large = tree_members(nodes, trees, leaf, depth, dealt_from)
-    first, _ = stored(_close(stars.select(F.col("centre").alias("a"), F.col("fp").alias("b")), nodes), "star-pairs")
-    sets, _ = stored(full_sets(docs, rows, _ends(first)), "star-sets")
-    links, _ = stored(_confirmed(first, sets, percent), "star-links")
-    groups = components(links)
-    labelled, _ = stored(_labelled(small, groups), "small-nodes")
-    one, two = (labelled.select("path", F.col("fp").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab")
-    pairs = one.join(two, "path").where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label"))).select("a", "b").distinct()
-    second, _ = stored(_close(pairs.join(first, ["a", "b"], "left_anti"), nodes), "small-pairs")
-    more = []
-    if not second.isEmpty():
-        fresh, _ = stored(full_sets(docs, rows, _ends(second).join(sets, "fp", "left_anti")), "small-sets")
-        sets = sets.unionAll(fresh)
-        found, _ = stored(_confirmed(second, sets, percent), "small-links")
-        more.append(found)
-        groups = components(links.unionAll(found))
-    crowd, _ = stored(_crowded(large, groups), "crowds")
-    if not crowd.isEmpty():
-        fresh, _ = stored(full_sets(docs, rows, crowd.select("fp").join(sets.select("fp"), "fp", "left_anti")), "crowd-sets")
-        held = sets.unionAll(fresh)
-        third, _ = stored(prefix_pairs(held.join(crowd, "fp"), percent), "crowd-pairs")
-        if not third.isEmpty():
-            groups = components(functools.reduce(DataFrame.unionAll, [links, *more, _confirmed(third, held, percent)]))
-    return groups
+    nodes = tables.keep(rows.where("fp is not null").select("fp", "tokens").dropDuplicates(["fp"]), "sets")
+    level = nodes.select("fp", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"), "tokens")
+    level = level.select("fp", _branched(F.xxhash64("tree"), F.col("tokens")).alias("path"))
+    counted = tables.keep(level.groupBy("path").agg(F.count("*").alias("n"), F.min("fp").alias("centre")).where("n > 1"), "tree-nodes")
+    members = tables.keep(level.join(counted, "path").select("path", "fp", "n", "centre"), "tree-members")
+
+    # each set with the smallest of its nodes: copies become components before anything else is compared
+    first = tables.keep(_close(members.where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct(), nodes), "star-pairs")
+    sets = tables.keep(full_sets(docs, rows, _ends(first), tables), "star-sets")
+    groups = tables.taken(components(tables.keep(_confirmed(first, sets, percent), "star-links")))
+
+    # nodes of several components: small ones are compared exhaustively, large ones branch on
+    labelled = tables.keep(_labelled(members.select("path", "fp", "n"), groups), "labelled")
+    labelled = tables.keep(labelled.join(_mixed_nodes(labelled, tables), "path", "left_semi"), "mixed-members")
+    second = tables.keep(_inside(labelled.where(F.col("n") <= leaf), nodes).join(first, ["a", "b"], "left_anti"), "small-pairs")
+    large = labelled.where(F.col("n") > leaf).select("path", "fp")
+    wanted = _ends(second).unionByName(large.select("fp")).distinct().join(sets.select("fp"), "fp", "left_anti")
+    sets = sets.unionByName(tables.keep(full_sets(docs, rows, wanted, tables), "more-sets"))
+    groups, _ = _merged(groups, tables.keep(_confirmed(second, sets, percent), "small-links"), tables)
+    if large.isEmpty():
+        return groups
+    crowd = Crowd(large.select("fp"), nodes, groups, sets, percent, leaf, tables)
+    going, again = crowd.descend(large)
+    # what went on past the second level needs more trees: as many as its depth asks for
+    deep = 2 + sum(n >= MATTERS * going[0] for n in going) if going and going[0] else 0
+    more = trees_for(recall, percent, deep) - trees if deep else 0
+    if more > 0:
+        start = again.select("fp").distinct().select(F.explode(F.sequence(F.lit(trees + 1), F.lit(trees + more))).alias("tree"), "fp")
+        crowd.descend(start.select(F.xxhash64("tree").alias("path"), "fp"))
+    return crowd.groups
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH,
-                    dealt_from: int = DEALT_FROM) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, and text_hash.
 
     kept is true for the document of that id; of rows that share it, for one text.
     """
     docs = docs.select("doc_id", "text")
-    rows, _ = stored(set_rows(docs), "set-rows")
-    labels = set_components(docs, rows, percent, trees, leaf, depth, dealt_from)
+    tables = Tables(docs.sparkSession)
+    rows = tables.keep(set_rows(docs), "set-rows")
+    labels = set_components(docs, rows, percent, trees, leaf, recall, tables)
     grouped = rows.join(labels, rows["fp"] == labels["node"], "left").select(
         "doc_id", "doc", "text_hash", "n_shingles", F.coalesce("label", "fp").alias("group"))
-    first, _ = stored(grouped.where("group is not null").groupBy("group").agg(F.min(F.struct("doc", "text_hash")).alias("first")), "group-firsts")
+    first = tables.keep(grouped.where("group is not null").groupBy("group").agg(F.min(F.struct("doc", "text_hash")).alias("first")), "group-firsts")
     own = F.struct("doc", "text_hash")
     joined = grouped.join(first, "group", "left").withColumn("first", F.coalesce("first", own))
-    return joined.select("doc_id", "n_shingles", F.when(F.col("first.doc") != LAST_ID, F.col("first.doc")).alias("component_id"),
-                         (F.col("first") == own).alias("kept"), "text_hash")
+    done, _ = stored(joined.select("doc_id", "n_shingles", F.when(F.col("first.doc") != LAST_ID, F.col("first.doc")).alias("component_id"),
+                                   (F.col("first") == own).alias("kept"), "text_hash"), "near-duplicates")
+    tables.drop()
+    return done

@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from leafstack.llm import bpe, decontaminate, near_dedup, quality_rules, token_files
+from leafstack.llm.common import Tables
 from leafstack.llm.components import components
 from leafstack.llm.queries import LLM_QUERIES, TOKENIZER
 from leafstack.session import scratch_folder
@@ -92,9 +93,9 @@ def test_bpe_of_odd_rows(spark):
 
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 99), (200, 201), (201, 202)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"))[0].collect()}
     assert got == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99, 200: 200, 201: 200, 202: 200}
-    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert components(spark.createDataFrame([], "a long, b long"))[0].collect() == []
 
 
 def test_near_query_as_by_hand(spark):
@@ -103,9 +104,8 @@ def test_near_query_as_by_hand(spark):
     assert got == {d: (n, c, c == d) for (d, _), (n, c) in zip(rows, brute_near(rows), strict=True)}
 
 
-# tiny small nodes compare little, so they need dealing from the first level on to reach the recall
-@pytest.mark.parametrize(("leaf", "dealt_from"), [(4, 1), (24, near_dedup.DEALT_FROM)])
-def test_large_group_of_near_copies(spark, leaf, dealt_from):
+@pytest.mark.parametrize("leaf", [24, near_dedup.LEAF])
+def test_large_group_of_near_copies(spark, leaf):
     rng = random.Random(1)
     base = [f"word{k}" for k in range(120)]
     rows = []
@@ -117,7 +117,7 @@ def test_large_group_of_near_copies(spark, leaf, dealt_from):
     chain = [f"link{k}" for k in range(200)]
     rows += [(1000 + k, " ".join(chain[4 * k:4 * k + 100])) for k in range(20)]
     rows += [(2000 + k, " ".join(f"lone{k}x{i}" for i in range(30))) for k in range(20)] + [(3000, rows[5][1])]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs_of(spark, rows), leaf=leaf, dealt_from=dealt_from).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs_of(spark, rows), leaf=leaf).collect()}
     assert got == {d: x for (d, _), x in zip(rows, brute_near(rows), strict=True)}
 
 
@@ -139,6 +139,34 @@ def test_pairs_inside_a_crowd(spark):
     assert {r.doc_id: r.component_id for r in got} == {d: want[d] for d, _ in rows}
 
 
+@pytest.mark.parametrize("outsider", ["larger id", "similar to none"])
+def test_work_on_near_copies_and_an_outsider_is_in_proportion(spark, monkeypatch, outsider):
+    """n near copies (95 shared shingles, 5 of their own) and one document that shares their passage only."""
+    made = {}
+    plain_keep = Tables.keep
+
+    def keep(self, df, name):
+        out = plain_keep(self, df, name)
+        if name.endswith(("pairs", "members", "level")):
+            made[n] = made.get(n, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(Tables, "keep", keep)
+    passage = [f"pass{k}" for k in range(95)]
+    other = [f"out{k}" for k in range(40)] if outsider == "larger id" else [f"out{k}" for k in range(200)]
+    for n in (1000, 4000):
+        rows = [(k, " ".join([*passage, *(f"own{k}x{i}" for i in range(4))])) for k in range(n)] + [(10**6, " ".join(passage + other))]
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+        assert got == {**dict.fromkeys(range(n), 0), 10**6: 10**6}
+    assert made[4000] < 5 * made[1000]
+
+
+def test_trees_follow_from_depth():
+    for deep in (1, 3, 6, 10):
+        n = near_dedup.trees_for(0.99, 75, deep)
+        assert 1 - (1 - 0.75**deep) ** n >= 0.99 > 1 - (1 - 0.75**deep) ** (n - 1)
+
+
 def test_near_of_odd_rows(spark):
     rows = edge_rows()
     got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
