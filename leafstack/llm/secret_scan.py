@@ -86,7 +86,10 @@ def identifier_dictionary(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BY
     """A zstandard dictionary trained on the words that stand in most documents and on names made of words of code."""
     import zstandard
     counts = docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counts.orderBy(F.col("n").desc(), "word").limit(dictionary_bytes // 5).collect()     # a word takes five bytes or more
+    # sorted ranges, of which only the first are read: a global sort with a limit would send the driver as many words from every task
+    order = [F.col("n").desc(), F.col("word")]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = counts.repartitionByRange(parts, *order).sortWithinPartitions(*order).limit(dictionary_bytes // 5).collect()     # a word takes five bytes or more
     words, size = [], 0
     for row in best:
         size += len(row.word) + 1
