@@ -10,14 +10,15 @@ After the first branching each document is compared with the smallest of each no
 confirmed links form components. A node of one component is finished: near copies of one text, however
 many, go no further. Only mixed nodes are compared, pairs of different components alone, and only large
 mixed nodes branch on, where at every level each document first meets the smallest of its node and the
-components are joined anew. So a crowd costs rows by its size and depth, not by its pairs.
+components are joined anew. A node that is one component but for a few documents is finished too: those
+few go to each chunk of it. So a crowd costs rows by its size and depth, not by its pairs.
 
 A pair at 75 % is together in one tree with 0.75^branchings. 16 trees miss it with 2e-10 if nodes are
 small after one branching, with 1e-4 after two. Where a crowd (many documents that share a long passage
 without being copies) goes deeper, its documents are given as many more trees as bring a pair of them to
 `recall` at the depth that was measured; that number follows from the depth alone and has no cap.
-Candidates are pairs whose 64 minwise tokens agree in half or more (a pair of 75 %: 4.6 standard
-deviations above); all are confirmed on the full sets, made anew from the texts of just those documents.
+Candidates are pairs whose 192 minwise tokens agree in 66 % or more (a pair of 75 %: 2.9 standard
+deviations above, so 1 in 500 at the very limit is lost); all are confirmed on the full sets, made anew from the texts of just those documents.
 
 Defined cases: null, empty or blank texts have an empty set, size 0, and are linked with nothing, also
 not with each other; fewer than five words are one shingle; a null doc_id counts as the largest and comes
@@ -26,26 +27,33 @@ back as null; rows that repeat a doc_id are documents of their own sets; other c
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafstack.llm.common import BROADCAST_ROWS, LAST_ID, Tables, ordered_id, stored, worker_keeps
 from leafstack.llm.components import components
 
 SHINGLE, TOKENS, TREES, LEAF = 5, 64, 16, 512
+#: Minwise tokens whose lowest bytes are compared; the first TOKENS of them choose paths.
+COMPARED = 192
+#: Trees of which each document first meets the smallest of its node, so that copies are one component early.
+FIRST_TREES = 2
 #: Probability with which a pair at the limit shall meet; share of a crowd whose depth counts for it.
-RECALL, MATTERS = 0.99, 0.02
+RECALL, MATTERS = 0.99, 0.05
 #: Branchings after which a node is compared exhaustively whatever its size: 64 tokens are used up long before (a pair of 75 % is still together with 1e-5).
 DEPTH = 40
 #: Share of equal minwise tokens from which a pair is confirmed on the full sets.
-CLOSE_ENOUGH = 0.5
+CLOSE_ENOUGH = 0.66
+#: Share from which two documents are tried before all others, so that copies are one component when the rest is compared.
+LIKELY = 0.78
 WORDS_KEPT = 300_000
-_ODD = (np.random.default_rng(5).integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+_ODD = (np.random.default_rng(5).integers(0, 2**63, COMPARED, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 _PLACE = (np.random.default_rng(6).integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
 
@@ -86,17 +94,18 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def minwise(found: np.ndarray) -> np.ndarray:
-    """TOKENS minwise tokens of a set, 32 bits each."""
-    best = np.full(TOKENS, 2**64 - 1, dtype=np.uint64)
-    for at in range(0, len(found), 2048):
-        best = np.minimum(best, (found[at:at + 2048, None] * _ODD).min(axis=0))
+    """COMPARED minwise tokens of a set, 32 bits each."""
+    best = np.full(COMPARED, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(found), 512):
+        best = np.minimum(best, (found[at:at + 512, None] * _ODD).min(axis=0))
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, text_hash, n_shingles, fp, tokens) of each row; fp and tokens are null for an empty set.
+    """(doc_id, doc, text_hash, n_shingles, fp, tokens, short) of each row; the last three are null for an empty set.
 
-    doc orders ids; doc and text_hash together tell rows apart that share a doc_id.
+    doc orders ids; doc and text_hash together tell rows apart that share a doc_id. short holds the tokens'
+    lowest bytes, for comparing.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -106,12 +115,13 @@ def set_rows(docs: DataFrame) -> DataFrame:
                 sets = [shingles(t.as_py()) for t in part.column(3)]
                 fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 tokens = [minwise(s).view(np.int32) if len(s) else None for s in sets]
+                short = [None if t is None else t.astype(np.uint8).tobytes() for t in tokens]
                 yield pa.record_batch([*part.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()),
-                                       pa.array(tokens, pa.list_(pa.int32()))],
-                                      ["doc_id", "doc", "text_hash", "n_shingles", "fp", "tokens"])
+                                       pa.array([None if t is None else t[:TOKENS] for t in tokens], pa.list_(pa.int32())), pa.array(short, pa.binary())],
+                                      ["doc_id", "doc", "text_hash", "n_shingles", "fp", "tokens", "short"])
 
     return _told_apart(docs).mapInArrow(
-        run, "doc_id long, doc long, text_hash long, n_shingles long, fp binary, tokens array<int>")
+        run, "doc_id long, doc long, text_hash long, n_shingles long, fp binary, tokens array<int>, short binary")
 
 
 def _told_apart(docs: DataFrame) -> DataFrame:
@@ -154,10 +164,15 @@ def trees_for(recall: float, percent: int, branchings: int) -> int:
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose minwise tokens agree well enough."""
-    one, two = (nodes.select(F.col("fp").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
-    both = pairs.join(one, "a").join(two, "b")
-    same = F.size(F.filter(F.zip_with("a_tokens", "b_tokens", lambda x, y: x == y), lambda z: z))
-    return both.where(same >= CLOSE_ENOUGH * TOKENS).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COMPARED) for c in batch.columns[2:])
+            near = pa.array((one == two).sum(axis=1) >= CLOSE_ENOUGH * COMPARED)
+            yield pa.record_batch([c.filter(near) for c in batch.columns[:2]], ["a", "b"])
+
+    one, two = (nodes.select(F.col("fp").alias(x), F.col("short").alias(f"{x}_short")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "a_short", "b_short")
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,24 +189,35 @@ def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
     return members.join(own, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, fp, label, tokens) sorted by path: the close pairs (a, b) of different labels in each node."""
+def _compared(batches: Iterator[pa.RecordBatch], leaders: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (path, chunk, fp, label, short) sorted by path and chunk: the close pairs (a, b) of different labels in each.
+
+    With `leaders`, each row only with the first leader it is LIKELY a copy of; a row like none becomes a leader.
+    """
     def pairs(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        tokens = np.array([t for _, _, t in rows], dtype=np.int32)
+        tokens = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, COMPARED)
         code = {label: k for k, label in enumerate({r[1] for r in rows})}
         labels = np.array([code[r[1]] for r in rows])
-        for k in range(len(rows) - 1):
-            others = np.flatnonzero(labels[k + 1:] != labels[k]) + k + 1
-            for j in others[(tokens[others] == tokens[k]).sum(axis=1) >= CLOSE_ENOUGH * TOKENS]:
-                yield min(rows[k][0], rows[j][0]), max(rows[k][0], rows[j][0])
+        firsts = [0]
+        for k in range(1, len(rows)):
+            near = (tokens[firsts if leaders else slice(k)] == tokens[k]).sum(axis=1)
+            if leaders:
+                like = np.flatnonzero(near >= LIKELY * COMPARED)
+                others = [firsts[like[0]]] if len(like) else []
+                firsts += [] if len(like) else [k]
+            else:
+                others = np.flatnonzero((near >= CLOSE_ENOUGH * COMPARED))
+            for j in others:
+                if labels[j] != labels[k]:
+                    yield min(rows[k][0], rows[j][0]), max(rows[k][0], rows[j][0])
 
     at, held, found = None, [], []
     for batch in _with_end(batches):
-        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None, None, None, None)]
-        for path, *row in rows:
-            if path != at:
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None,) * 5]
+        for path, chunk, *row in rows:
+            if (path, chunk) != at:
                 found += pairs(held) if len(held) > 1 else []
-                at, held = path, []
+                at, held = (path, chunk), []
             held.append(tuple(row))
         if found:
             a, b = zip(*found, strict=True)
@@ -204,16 +230,28 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _inside(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The close pairs (a, b) of different labels inside the nodes of members(path, fp, label): for small nodes."""
-    rows = members.join(nodes, "fp").select("path", "fp", "label", "tokens")
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(_compared, "a binary, b binary").distinct()
+def _inside(members: DataFrame, nodes: DataFrame, leaf: int, leaders: bool) -> DataFrame:
+    """The close pairs (a, b) of different labels inside finished nodes of members(path, fp, label, n, main).
+
+    A node over `leaf` is cut into chunks of its main component; the few others go to each.
+    """
+    chunks = F.ceil(F.col("n") / leaf)
+    chunk = F.when(F.col("label") == F.col("main"), F.array(F.pmod(F.xxhash64("fp"), chunks))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1))
+    rows = members.join(nodes.select("fp", "short"), "fp").select("path", F.explode(chunk).alias("chunk"), "fp", "label", "short")
+    return rows.repartition("path", "chunk").sortWithinPartitions("path", "chunk").mapInArrow(
+        functools.partial(_compared, leaders=leaders), "a binary, b binary").distinct()
 
 
 def _mixed_nodes(labelled: DataFrame, tables: Tables) -> DataFrame:
-    """The nodes (path) of labelled(path, label) that hold more than one component."""
-    return tables.keep(labelled.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                       .where("low <> high").select("path"), "mixed-nodes")
+    """Of the nodes of labelled(path, fp, label) that hold more than one component: path, n, centre (the smallest: fp, label), main (label of most), others."""
+    parts = labelled.groupBy("path", "label").agg(F.count("*").alias("size"), F.min("fp").alias("fp"))
+    nodes = parts.groupBy("path").agg(F.sum("size").alias("n"), F.min(F.struct("fp", "label")).alias("centre"), F.max(F.struct("size", "label")).alias("top"))
+    return tables.keep(nodes.where("top.size < n").select("path", "n", "centre", F.col("top.label").alias("main"), (F.col("n") - F.col("top.size")).alias("others")), "mixed-nodes")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Each member with its node's smallest, if their labels differ."""
+    return members.where("label <> centre.label").select(F.col("centre.fp").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def _merged(groups: DataFrame, links: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame | None]:
@@ -229,63 +267,87 @@ def _merged(groups: DataFrame, links: DataFrame, tables: Tables) -> tuple[DataFr
     return tables.keep(moved.unionByName(moves.join(groups, "node", "left_anti")), "groups"), moves
 
 
+def _finished(leaf: int) -> Column:
+    """Whether a node is compared exhaustively: it is small, or few of its documents are of other components than its main one."""
+    return (F.col("n") <= leaf) | (F.col("others") <= leaf)
+
+
 class Crowd:
     """The sets of large nodes that hold several components, branched on until their nodes are small or of one component."""
 
     def __init__(self, fps: DataFrame, nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, leaf: int, tables: Tables):
         self.nodes, self.groups, self.sets, self.percent, self.leaf, self.tables = nodes, groups, sets, percent, leaf, tables
-        self.rows = tables.keep(_labelled(fps.distinct().join(nodes, "fp"), groups), "crowd")
+        self.rows = tables.keep(_labelled(fps.distinct().join(nodes.select("fp", "tokens"), "fp"), groups), "crowd")
 
     def descend(self, at: DataFrame) -> tuple[list[int], DataFrame | None]:
         """Branch the nodes at(path, fp). Members of nodes that went on, level by level, and those of the first level here."""
         going, first = [], None
         while not at.isEmpty():
             level = self.tables.keep(at.join(self.rows, "fp").select("fp", "label", _branched(F.col("path"), F.col("tokens")).alias("path")), "crowd-branches")
-            sizes = self.tables.keep(level.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct("fp", "label")).alias("centre"), F.max("label").alias("high"),
-                                                               F.min("label").alias("low")).where("low <> high").drop("low", "high"), "crowd-nodes")
-            members = self.tables.keep(level.join(sizes, "path"), "crowd-level")
             last = len(going) >= DEPTH
-            self._compare(members, last)
-            at = members.where(F.lit(not last) & (F.col("n") > self.leaf)).select("path", "fp")
+            members = self.tables.keep(level.join(_mixed_nodes(level, self.tables), "path"), "crowd-level")
+            if self._compare(members, last, leaders=True):
+                level = level.drop("label").join(self.rows.select("fp", "label"), "fp")
+                members = self.tables.keep(level.join(_mixed_nodes(level, self.tables), "path"), "crowd-level")
+            self._compare(members, last, leaders=False)
+            at = members.where(F.lit(not last) & ~_finished(self.leaf)).select("path", "fp")
             first = first or at
             going.append(at.count())
         return going, first
 
-    def _compare(self, members: DataFrame, exhaustive: bool) -> None:
-        """Compare each set of a large node with the node's smallest, those of small nodes with each other, if their labels differ."""
-        large = F.lit(not exhaustive) & (F.col("n") > self.leaf)
-        stars = members.where(large & (F.col("label") != F.col("centre.label"))).select(F.col("centre.fp").alias("a"), F.col("fp").alias("b")).distinct()
-        pairs = self.tables.keep(_inside(members.where(~large), self.nodes).unionByName(_close(stars, self.nodes)), "crowd-pairs")
+    def _compare(self, members: DataFrame, exhaustive: bool, leaders: bool) -> bool:
+        """Compare each set of an unfinished node with the node's smallest, those of finished nodes with each other, if their labels differ.
+
+        With `leaders` only the likely copies; whether that joined components.
+        """
+        done = F.lit(exhaustive) | _finished(self.leaf)
+        pairs = _inside(members.where(done), self.nodes, self.leaf, leaders)
+        pairs = self.tables.keep(pairs if leaders else pairs.unionByName(_close(_stars(members.where(~done)), self.nodes)), "crowd-pairs")
         links = self.tables.keep(_confirmed(pairs, self.sets, self.percent), "crowd-links")
         if links.isEmpty():
-            return
+            return False
         self.groups, moves = _merged(self.groups, links, self.tables)
         if moves is not None:
             to = moves.select(F.col("node").alias("label"), F.col("label").alias("to"))
             self.rows = self.tables.keep(self.rows.join(to, "label", "left").select("fp", "tokens", F.coalesce("to", "label").alias("label")), "crowd")
+        return moves is not None
 
 
 def set_components(docs: DataFrame, rows: DataFrame, percent: int, trees: int, leaf: int, recall: float, tables: Tables) -> DataFrame:
     """(node, label) of the sets that are linked with another set; `rows` is set_rows, stored."""
-    nodes = tables.keep(rows.where("fp is not null").select("fp", "tokens").dropDuplicates(["fp"]), "sets")
+    nodes = tables.keep(rows.where("fp is not null").select("fp", "tokens", "short").dropDuplicates(["fp"]), "sets")
     level = nodes.select("fp", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"), "tokens")
-    level = level.select("fp", _branched(F.xxhash64("tree"), F.col("tokens")).alias("path"))
+    level = level.select("fp", "tree", _branched(F.xxhash64("tree"), F.col("tokens")).alias("path"))
     counted = tables.keep(level.groupBy("path").agg(F.count("*").alias("n"), F.min("fp").alias("centre")).where("n > 1"), "tree-nodes")
-    members = tables.keep(level.join(counted, "path").select("path", "fp", "n", "centre"), "tree-members")
-
-    # each set with the smallest of its nodes: copies become components before anything else is compared
-    first = tables.keep(_close(members.where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct(), nodes), "star-pairs")
-    sets = tables.keep(full_sets(docs, rows, _ends(first), tables), "star-sets")
-    groups = tables.taken(components(tables.keep(_confirmed(first, sets, percent), "star-links")))
-
-    # nodes of several components: small ones are compared exhaustively, large ones branch on
-    labelled = tables.keep(_labelled(members.select("path", "fp", "n"), groups), "labelled")
-    labelled = tables.keep(labelled.join(_mixed_nodes(labelled, tables), "path", "left_semi"), "mixed-members")
-    second = tables.keep(_inside(labelled.where(F.col("n") <= leaf), nodes).join(first, ["a", "b"], "left_anti"), "small-pairs")
-    large = labelled.where(F.col("n") > leaf).select("path", "fp")
-    wanted = _ends(second).unionByName(large.select("fp")).distinct().join(sets.select("fp"), "fp", "left_anti")
-    sets = sets.unionByName(tables.keep(full_sets(docs, rows, wanted, tables), "more-sets"))
-    groups, _ = _merged(groups, tables.keep(_confirmed(second, sets, percent), "small-links"), tables)
+    members = tables.keep(level.join(counted, "path").select("path", "tree", "fp", "n", "centre"), "tree-members")
+    sets = groups = None
+
+    def linked(pairs: DataFrame, name: str, also: DataFrame | None = None) -> None:
+        """Confirm pairs on the full sets, made anew where they are not there yet, and join components."""
+        nonlocal sets, groups
+        wanted = _ends(pairs) if also is None else _ends(pairs).unionByName(also).distinct()
+        new = wanted if sets is None else wanted.join(sets.select("fp"), "fp", "left_anti")
+        new = tables.keep(full_sets(docs, rows, new, tables), f"{name}-sets")
+        sets = new if sets is None else sets.unionByName(new)
+        links = tables.keep(_confirmed(pairs, sets, percent), f"{name}-links")
+        groups = tables.taken(components(links)) if groups is None else _merged(groups, links, tables)[0]
+
+    def mixed(members: DataFrame) -> DataFrame:
+        labelled = tables.keep(_labelled(members, groups), "labelled-members")
+        return tables.keep(labelled.join(_mixed_nodes(labelled, tables), "path"), "mixed-members")
+
+    # each set with the smallest of its nodes in two trees: most copies become components before anything else is compared
+    first = members.where(f"fp <> centre and tree <= {FIRST_TREES}").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct()
+    linked(tables.keep(_close(first, nodes), "first-pairs"), "first")
+    # then, in all trees, with the smallest of those nodes that still hold several components
+    left = mixed(members.select("path", "fp"))
+    linked(tables.keep(_close(_stars(left), nodes), "star-pairs"), "star")
+    # of nodes that hold several components even so, finished ones are compared exhaustively, likely copies first, and the others branch on
+    left = mixed(left.select("path", "fp"))
+    linked(tables.keep(_inside(left.where(_finished(leaf)), nodes, leaf, True), "leader-pairs"), "leader")
+    left = mixed(left.select("path", "fp"))
+    large = left.where(~_finished(leaf)).select("path", "fp")
+    linked(tables.keep(_inside(left.where(_finished(leaf)), nodes, leaf, False), "small-pairs"), "small", large.select("fp").distinct())
     if large.isEmpty():
         return groups
     crowd = Crowd(large.select("fp"), nodes, groups, sets, percent, leaf, tables)
