@@ -13,8 +13,8 @@ mixed nodes branch on, where at every level each document first meets the smalle
 components are joined anew. A node that is one component but for a few documents is finished too: those
 few go to each chunk of it. So a crowd costs rows by its size and depth, not by its pairs.
 
-A pair at 75 % is together in one tree with 0.75^branchings. 16 trees miss it with 2e-10 if nodes are
-small after one branching, with 1e-4 after two. Where a crowd (many documents that share a long passage
+A pair at 75 % is together in one tree with 0.75^branchings. 12 trees miss it with 6e-8 if nodes are
+small after one branching, with 5e-5 after two. Where a crowd (many documents that share a long passage
 without being copies) goes deeper, its documents are given as many more trees as bring a pair of them to
 `recall` at the depth that was measured; that number follows from the depth alone and has no cap.
 Candidates are pairs whose 192 minwise tokens agree in 66 % or more (a pair of 75 %: 2.9 standard
@@ -27,9 +27,8 @@ back as null; rows that repeat a doc_id are documents of their own sets; other c
 
 from __future__ import annotations
 
-import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,9 @@ from pyspark.sql import functions as F
 from leafstack.llm.common import BROADCAST_ROWS, LAST_ID, Tables, ordered_id, stored, worker_keeps
 from leafstack.llm.components import components
 
-SHINGLE, TOKENS, TREES, LEAF = 5, 64, 16, 512
+SHINGLE, TOKENS, TREES = 5, 64, 12
+#: Documents of a node compared exhaustively after the first branching, where most that meet have little in common, and after later ones.
+FIRST_LEAF, LEAF = 32, 512
 #: Minwise tokens whose lowest bytes are compared; the first TOKENS of them choose paths.
 COMPARED = 192
 #: Trees of which each document first meets the smallest of its node, so that copies are one component early.
@@ -50,8 +51,6 @@ RECALL, MATTERS = 0.99, 0.05
 DEPTH = 40
 #: Share of equal minwise tokens from which a pair is confirmed on the full sets.
 CLOSE_ENOUGH = 0.66
-#: Share from which two documents are tried before all others, so that copies are one component when the rest is compared.
-LIKELY = 0.78
 WORDS_KEPT = 300_000
 _ODD = (np.random.default_rng(5).integers(0, 2**63, COMPARED, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 _PLACE = (np.random.default_rng(6).integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
@@ -189,32 +188,25 @@ def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
     return members.join(own, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
-def _compared(batches: Iterator[pa.RecordBatch], leaders: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (path, chunk, fp, label, short) sorted by path and chunk: the close pairs (a, b) of different labels in each.
-
-    With `leaders`, each row only with the first leader it is LIKELY a copy of; a row like none becomes a leader.
-    """
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, chunk, fp, label, short) sorted by path and chunk: the close pairs (a, b) of different labels in each."""
     def pairs(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         tokens = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, COMPARED)
         code = {label: k for k, label in enumerate({r[1] for r in rows})}
         labels = np.array([code[r[1]] for r in rows])
-        firsts = [0]
-        for k in range(1, len(rows)):
-            near = (tokens[firsts if leaders else slice(k)] == tokens[k]).sum(axis=1)
-            if leaders:
-                like = np.flatnonzero(near >= LIKELY * COMPARED)
-                others = [firsts[like[0]]] if len(like) else []
-                firsts += [] if len(like) else [k]
-            else:
-                others = np.flatnonzero((near >= CLOSE_ENOUGH * COMPARED))
-            for j in others:
-                if labels[j] != labels[k]:
-                    yield min(rows[k][0], rows[j][0]), max(rows[k][0], rows[j][0])
+        for k in range(len(rows) - 1):
+            others = np.flatnonzero(labels[k + 1:] != labels[k]) + k + 1
+            for j in others[(tokens[others] == tokens[k]).sum(axis=1) >= CLOSE_ENOUGH * COMPARED]:
+                yield min(rows[k][0], rows[j][0]), max(rows[k][0], rows[j][0])
+
+    return _by_chunk(batches, pairs)
+
 
+def _by_chunk(batches: Iterator[pa.RecordBatch], pairs: Callable[[list[tuple]], Iterator[tuple[bytes, bytes]]]) -> Iterator[pa.RecordBatch]:
+    """What `pairs` makes of each run of rows with equal path and chunk, the first two columns."""
     at, held, found = None, [], []
     for batch in _with_end(batches):
-        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None,) * 5]
-        for path, chunk, *row in rows:
+        for path, chunk, *row in zip(*(_values(c) for c in batch.columns), strict=True) if batch is not None else [(None, None)]:
             if (path, chunk) != at:
                 found += pairs(held) if len(held) > 1 else []
                 at, held = (path, chunk), []
@@ -225,21 +217,54 @@ def _compared(batches: Iterator[pa.RecordBatch], leaders: bool) -> Iterator[pa.R
             found = []
 
 
+def _values(column: pa.Array) -> list:
+    """Python values, but arrays of numbers as numpy's."""
+    return [x.values.to_numpy() for x in column] if pa.types.is_list(column.type) else column.to_pylist()
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
 
 
-def _inside(members: DataFrame, nodes: DataFrame, leaf: int, leaders: bool) -> DataFrame:
-    """The close pairs (a, b) of different labels inside finished nodes of members(path, fp, label, n, main).
+def _in_chunks(members: DataFrame, facts: DataFrame, leaf: int) -> DataFrame:
+    """Members of finished nodes with what `facts` (fp) hold, dealt by (path, chunk) and sorted by it.
 
     A node over `leaf` is cut into chunks of its main component; the few others go to each.
     """
     chunks = F.ceil(F.col("n") / leaf)
     chunk = F.when(F.col("label") == F.col("main"), F.array(F.pmod(F.xxhash64("fp"), chunks))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1))
-    rows = members.join(nodes.select("fp", "short"), "fp").select("path", F.explode(chunk).alias("chunk"), "fp", "label", "short")
-    return rows.repartition("path", "chunk").sortWithinPartitions("path", "chunk").mapInArrow(
-        functools.partial(_compared, leaders=leaders), "a binary, b binary").distinct()
+    rows = members.join(facts, "fp").select("path", F.explode(chunk).alias("chunk"), "fp", "label", *facts.drop("fp").columns)
+    return rows.repartition("path", "chunk").sortWithinPartitions("path", "chunk")
+
+
+def _inside(members: DataFrame, nodes: DataFrame, leaf: int) -> DataFrame:
+    """The close pairs (a, b) of different labels inside finished nodes of members(path, fp, label, n, main)."""
+    return _in_chunks(members, nodes.select("fp", "short"), leaf).mapInArrow(_compared, "a binary, b binary").distinct()
+
+
+def _linked_inside(members: DataFrame, sets: DataFrame, nodes: DataFrame, leaf: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components inside finished nodes: close pairs are confirmed on the full sets where they meet.
+
+    Pairs that a chunk's earlier links have joined are not tried, so a chunk gives at most one link a row.
+    """
+    def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        tokens = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, COMPARED)
+        code = {label: k for k, label in enumerate({r[1] for r in rows})}
+        labels = np.array([code[r[1]] for r in rows])
+        for k in range(1, len(rows)):
+            agree = (tokens[:k] == tokens[k]).sum(axis=1)
+            open_ = (agree >= CLOSE_ENOUGH * COMPARED) & (labels[:k] != labels[k])
+            while open_.any():
+                j = int(np.where(open_, agree, -1).argmax())
+                open_[j] = False
+                shared = len(np.intersect1d(rows[j][3], rows[k][3], assume_unique=True))
+                if 100 * shared >= percent * (len(rows[j][3]) + len(rows[k][3]) - shared):
+                    yield min(rows[k][0], rows[j][0]), max(rows[k][0], rows[j][0])
+                    labels[labels == labels[j]] = labels[k]
+                    open_ &= labels[:k] != labels[k]
+
+    return _in_chunks(members, nodes.select("fp", "short").join(sets, "fp"), leaf).mapInArrow(lambda batches: _by_chunk(batches, links), "a binary, b binary").distinct()
 
 
 def _mixed_nodes(labelled: DataFrame, tables: Tables) -> DataFrame:
@@ -286,32 +311,24 @@ class Crowd:
             level = self.tables.keep(at.join(self.rows, "fp").select("fp", "label", _branched(F.col("path"), F.col("tokens")).alias("path")), "crowd-branches")
             last = len(going) >= DEPTH
             members = self.tables.keep(level.join(_mixed_nodes(level, self.tables), "path"), "crowd-level")
-            if self._compare(members, last, leaders=True):
-                level = level.drop("label").join(self.rows.select("fp", "label"), "fp")
-                members = self.tables.keep(level.join(_mixed_nodes(level, self.tables), "path"), "crowd-level")
-            self._compare(members, last, leaders=False)
+            self._compare(members, last)
             at = members.where(F.lit(not last) & ~_finished(self.leaf)).select("path", "fp")
             first = first or at
             going.append(at.count())
         return going, first
 
-    def _compare(self, members: DataFrame, exhaustive: bool, leaders: bool) -> bool:
-        """Compare each set of an unfinished node with the node's smallest, those of finished nodes with each other, if their labels differ.
-
-        With `leaders` only the likely copies; whether that joined components.
-        """
+    def _compare(self, members: DataFrame, exhaustive: bool) -> None:
+        """Compare each set of an unfinished node with the node's smallest, those of finished nodes with each other, if their labels differ."""
         done = F.lit(exhaustive) | _finished(self.leaf)
-        pairs = _inside(members.where(done), self.nodes, self.leaf, leaders)
-        pairs = self.tables.keep(pairs if leaders else pairs.unionByName(_close(_stars(members.where(~done)), self.nodes)), "crowd-pairs")
-        links = self.tables.keep(_confirmed(pairs, self.sets, self.percent), "crowd-links")
+        inside = _linked_inside(members.where(done), self.sets, self.nodes, self.leaf, self.percent)
+        stars = self.tables.keep(_close(_stars(members.where(~done)), self.nodes), "crowd-stars")
+        links = self.tables.keep(inside.unionByName(_confirmed(stars, self.sets, self.percent)).distinct(), "crowd-links")
         if links.isEmpty():
-            return False
+            return
         self.groups, moves = _merged(self.groups, links, self.tables)
         if moves is not None:
             to = moves.select(F.col("node").alias("label"), F.col("label").alias("to"))
             self.rows = self.tables.keep(self.rows.join(to, "label", "left").select("fp", "tokens", F.coalesce("to", "label").alias("label")), "crowd")
-        return moves is not None
-
 
 def set_components(docs: DataFrame, rows: DataFrame, percent: int, trees: int, leaf: int, recall: float, tables: Tables) -> DataFrame:
     """(node, label) of the sets that are linked with another set; `rows` is set_rows, stored."""
@@ -342,12 +359,11 @@ def set_components(docs: DataFrame, rows: DataFrame, percent: int, trees: int, l
     # then, in all trees, with the smallest of those nodes that still hold several components
     left = mixed(members.select("path", "fp"))
     linked(tables.keep(_close(_stars(left), nodes), "star-pairs"), "star")
-    # of nodes that hold several components even so, finished ones are compared exhaustively, likely copies first, and the others branch on
-    left = mixed(left.select("path", "fp"))
-    linked(tables.keep(_inside(left.where(_finished(leaf)), nodes, leaf, True), "leader-pairs"), "leader")
+    # of nodes that hold several components even so, finished ones are compared exhaustively and the others branch on
     left = mixed(left.select("path", "fp"))
-    large = left.where(~_finished(leaf)).select("path", "fp")
-    linked(tables.keep(_inside(left.where(_finished(leaf)), nodes, leaf, False), "small-pairs"), "small", large.select("fp").distinct())
+    done = _finished(min(FIRST_LEAF, leaf))
+    large = left.where(~done).select("path", "fp")
+    linked(tables.keep(_inside(left.where(done), nodes, leaf), "small-pairs"), "small", large.select("fp").distinct())
     if large.isEmpty():
         return groups
     crowd = Crowd(large.select("fp"), nodes, groups, sets, percent, leaf, tables)
