@@ -27,6 +27,7 @@ back as null; rows that repeat a doc_id are documents of their own sets; other c
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -188,16 +189,23 @@ def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
     return members.join(own, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], partners: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (path, chunk, fp, label, short) sorted by path and chunk: the close pairs (a, b) of different labels in each."""
     def pairs(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         tokens = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, COMPARED)
         code = {label: k for k, label in enumerate({r[1] for r in rows})}
         labels = np.array([code[r[1]] for r in rows])
+        has = np.zeros(len(rows), dtype=bool)
         for k in range(len(rows) - 1):
             others = np.flatnonzero(labels[k + 1:] != labels[k]) + k + 1
-            for j in others[(tokens[others] == tokens[k]).sum(axis=1) >= CLOSE_ENOUGH * COMPARED]:
+            others = others[(tokens[others] == tokens[k]).sum(axis=1) >= CLOSE_ENOUGH * COMPARED]
+            if partners:
+                has[others] = True
+                has[k] |= len(others) > 0
+                continue
+            for j in others:
                 yield min(rows[k][0], rows[j][0]), max(rows[k][0], rows[j][0])
+        yield from ((rows[k][0], rows[k][0]) for k in np.flatnonzero(has))
 
     return _by_chunk(batches, pairs)
 
@@ -238,9 +246,12 @@ def _in_chunks(members: DataFrame, facts: DataFrame, leaf: int) -> DataFrame:
     return rows.repartition("path", "chunk").sortWithinPartitions("path", "chunk")
 
 
-def _inside(members: DataFrame, nodes: DataFrame, leaf: int) -> DataFrame:
-    """The close pairs (a, b) of different labels inside finished nodes of members(path, fp, label, n, main)."""
-    return _in_chunks(members, nodes.select("fp", "short"), leaf).mapInArrow(_compared, "a binary, b binary").distinct()
+def _inside(members: DataFrame, nodes: DataFrame, leaf: int, partners: bool = False) -> DataFrame:
+    """The close pairs (a, b) of different labels inside finished nodes of members(path, fp, label, n, main).
+
+    With `partners` each document that has such a pair, with itself.
+    """
+    return _in_chunks(members, nodes.select("fp", "short"), leaf).mapInArrow(functools.partial(_compared, partners=partners), "a binary, b binary").distinct()
 
 
 def _linked_inside(members: DataFrame, sets: DataFrame, nodes: DataFrame, leaf: int, percent: int) -> DataFrame:
@@ -264,7 +275,10 @@ def _linked_inside(members: DataFrame, sets: DataFrame, nodes: DataFrame, leaf:
                     labels[labels == labels[j]] = labels[k]
                     open_ &= labels[:k] != labels[k]
 
-    return _in_chunks(members, nodes.select("fp", "short").join(sets, "fp"), leaf).mapInArrow(lambda batches: _by_chunk(batches, links), "a binary, b binary").distinct()
+    # full sets travel only for documents that have a close one of another component
+    close = _ends(_inside(members, nodes, leaf, partners=True))
+    return _in_chunks(members, nodes.select("fp", "short").join(close, "fp", "left_semi").join(sets, "fp"), leaf).mapInArrow(
+        lambda batches: _by_chunk(batches, links), "a binary, b binary").distinct()
 
 
 def _mixed_nodes(labelled: DataFrame, tables: Tables) -> DataFrame:
