@@ -2,9 +2,9 @@
 
 All rolling word pairs of a document are joined to the places of the same pairs in the templates. A hit
 at document word p and template word q votes for the diagonal p - q. A diagonal with a vote from each of
-a template's pairs is a place where its words stand consecutively. For other templates neighbouring
-diagonals (words put in or left out) merge into spans, and a span is verified by the share of the
-template's pairs found in it. Pairs are compared as words, not only as hashes. Only hits and one row per
+a template's pairs is a place where its words stand consecutively. For other templates votes are summed
+to runs per diagonal first, runs on neighbouring diagonals (words put in or left out) within a template's
+reach merge into spans, and a span is verified by the share of the template's pairs found in it. Pairs are compared as words, not only as hashes. Only hits and one row per
 document leave the scan; the templates are a parameter, sent to all tasks up to BROADCAST_PAIRS pairs.
 
 Defined cases: a null or empty text has no words and no labels; rows that repeat a doc_id, or have none,
@@ -87,19 +87,37 @@ def hits(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFram
 
 
 def spans(found: DataFrame, band: int = BAND, gap: int = GAP, coverage: float = COVERAGE) -> DataFrame:
-    """(row, label, base, first, last, share): exact places of base templates, verified spans of the others."""
+    """(row, label, base, first, last, share): exact places of base templates, verified spans of the others.
+
+    Votes are summed per diagonal first: hits of one diagonal no further apart than `gap` are one run. A run
+    starts a new span if none of the template's earlier runs ends within `gap` words before it on a
+    diagonal within `band`, whatever runs of other diagonals (a pair that stands twice in the template, a
+    stray hit) lie between; a span is verified by the template's pairs that its runs hold.
+    """
     voted = found.where("template is not null").withColumn("diagonal", F.col("p") - F.col("q"))
     whole = (voted.where("base").groupBy("row", "label", "template", "n_pairs", "diagonal").agg(F.count("*").alias("votes"))
              .where("votes = n_pairs").select("row", "label", F.lit(True).alias("base"), F.col("diagonal").cast("long").alias("first"),
                                               (F.col("diagonal") + F.col("n_pairs")).cast("long").alias("last"), F.lit(1.0).alias("share")))
-    along = Window.partitionBy("row", "template").orderBy("p", "q")
-    far = (F.col("p") - F.lag("p").over(along) > gap) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) > band)
-    cut = voted.where("not base").withColumn("starts", F.coalesce(far, F.lit(True)).cast("int"))
-    merged = (cut.withColumn("span", F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-              .groupBy("row", "label", "template", "n_pairs", "span")
-              .agg(F.countDistinct("q").alias("votes"), F.min("p").cast("long").alias("first"), (F.max("p") + 1).cast("long").alias("last")))
-    good = merged.withColumn("share", F.col("votes") / F.col("n_pairs")).where(F.col("share") >= coverage)
-    return whole.unionAll(good.select("row", "label", F.lit(False).alias("base"), "first", "last", "share"))
+    keys = ["row", "label", "template", "n_pairs"]
+    along = Window.partitionBy("row", "template", "diagonal").orderBy("p")
+    far = F.coalesce(F.col("p") - F.lag("p").over(along) > gap, F.lit(True)).cast("int")
+    runs = (voted.where("not base").withColumn("starts", far)
+            .withColumn("run", F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy(*keys, "diagonal", "run").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.count("*").alias("votes"), F.collect_list("q").alias("qs")))
+    # every run looks for the runs around it, in the bands of its diagonal and the next: a place is anchored on its strongest diagonal
+    cell = F.floor(F.col("diagonal") / (band + 1))
+    near = runs.select("row", "template", F.col("diagonal").alias("d2"), F.col("p0").alias("o0"), F.col("p1").alias("o1"), "qs",
+                       F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    own = runs.select(*keys, "diagonal", "run", "p0", "p1", "votes", cell.alias("cell"))
+    # what can belong to the place that the run is part of: from where the template would begin to where it would end
+    reach = (F.abs(F.col("diagonal") - F.col("d2")) <= band) & (F.col("o0") <= F.col("diagonal") + F.col("n_pairs") + gap) & (F.col("o1") >= F.col("diagonal") - gap)
+    met = own.join(near, ["row", "template", "cell"]).where(reach)
+    merged = met.groupBy(*keys, "diagonal", "run", "votes").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("pairs"), F.min("o0").cast("long").alias("first"), (F.max("o1") + 1).cast("long").alias("last"))
+    good = merged.withColumn("share", F.col("pairs") / F.col("n_pairs")).where(F.col("share") >= coverage)
+    # one row per place: of runs that verify the same place, the strongest
+    best = Window.partitionBy(*keys, "first", "last").orderBy(F.col("share").desc(), F.col("votes").desc(), "diagonal", "run")
+    return whole.unionAll(good.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("row", "label", F.lit(False).alias("base"), "first", "last", "share"))
 
 
 def license_report(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:

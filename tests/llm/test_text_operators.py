@@ -233,3 +233,14 @@ def test_pages_of_odd_rows(spark):
     assert by_count(map(tuple, html_text.extract_text(pages).collect())) == by_count(
         [(1, None, "", 0), (None, "u", "x, y.", 5), (2, "u", "", 0), (2, "u", "", 0)])
     assert html_text.extract_text(pages.limit(0)).collect() == []
+
+
+def test_license_with_repeated_pairs(spark):
+    """A template in which pairs stand twice: verbatim, with a word put in or left out, twice, and with stray hits; its parts alone are none."""
+    text = "the software is given as it is and the software may be used as it is by all who hold the software"
+    w = text.split()
+    rows = [(1, text), (2, f"before {text} after"), (3, " ".join([*w[:8], "really", *w[8:]])), (4, " ".join(w[:8] + w[9:])), (5, f"{text} {'x ' * 40}{text}"),
+            (6, f"the software stray {text} the software"), (7, " ".join(w[:10])), (8, "it is the software as it is"), (9, None)]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_report(docs_of(spark, rows), (*license_scan.TEMPLATES, license_scan.Template("rep", text))).collect()}
+    assert {d for d in got if got[d][0] == "rep"} == {1, 2, 3, 4, 5, 6}
+    assert all(got[d][1] == 1 for d in (1, 2, 5, 6)) and all(got[d] == ("", 0) for d in (7, 8, 9))
