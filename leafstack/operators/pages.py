@@ -26,15 +26,15 @@ def document_text(pages: DataFrame) -> DataFrame:
 
 
 def attribute_fields(pages: DataFrame, fields: DataFrame) -> DataFrame:
-    """First page of the document that contains each field value; of documents without any text, all
-    scalar fields on all pages.
+    """First page of the document that contains each field value; of documents without any text (null or
+    blank on every page), all scalar fields (a field without a type is one) on all pages.
 
     Values under 4 characters are not searched; a table field is searched by the values of
     its first row.  The fields of a document travel as one array beside its pages, so a
     page is scanned once and only hits become rows.
     """
     first_row = F.map_values(F.get(F.from_json("field_value", "array<map<string,string>>"), 0))
-    needles = F.when(F.col("field_type") == "table", F.coalesce(first_row, F.array().cast("array<string>"))).otherwise(
+    needles = F.when(F.col("field_type").eqNullSafe("table"), F.coalesce(first_row, F.array().cast("array<string>"))).otherwise(
         F.array("field_value"))
     cleaned = F.filter(F.transform(needles, lambda v: F.lower(F.trim(v))), lambda v: F.length(v) >= 4)
     wanted = fields.select("document_id", "field_name", cleaned.alias("needles")).filter(F.size("needles") > 0)
@@ -45,8 +45,9 @@ def attribute_fields(pages: DataFrame, fields: DataFrame) -> DataFrame:
                   F.filter("fs", lambda f: F.exists(f["needles"], lambda n: F.contains(F.col("low"), n))), "f")
     found = hits.groupBy("document_id", F.col("f.field_name").alias("field_name")).agg(
         F.min("page_num").alias("page_num"))
-    blind = pages.groupBy("document_id").agg(F.count("text").alias("n")).filter("n = 0").select("document_id")
-    scalar = fields.filter(F.col("field_type") != "table").select("document_id", "field_name").distinct()
+    filled = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) != ""
+    blind = pages.groupBy("document_id").agg(F.count_if(filled).alias("n")).filter("n = 0").select("document_id")
+    scalar = fields.filter(F.coalesce("field_type", F.lit("scalar")) != "table").select("document_id", "field_name").distinct()
     everywhere = pages.join(blind, "document_id", "left_semi").select("document_id", "page_num").join(scalar, "document_id")
     return found.unionByName(everywhere.select("document_id", "field_name", "page_num"))
 
