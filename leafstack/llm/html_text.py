@@ -8,7 +8,9 @@ share of the page's best ratio are content; short parts of the chosen containers
 and a heading at their head stay with them.
 Nodes under boilerplate tags never count, but a tag that holds article or main, or a form with most of the
 text, is none; a mark lowers ratios to LOWERED, and counts on no tag of these kinds nor on one with most of
-the text. Each page is worked on alone, in one pass.
+the text. Reader comments never count, whatever their share: what stands below a tag named so (unless it
+holds article or main) or after a heading that counts or asks for comments; on a page without any other
+text they are its text. Each page is worked on alone, in one pass.
 
 Defined cases: a null, empty or text-free page gives an empty text; unclosed and stray tags are
 tolerated as browsers do for paragraphs, list items and table cells; unknown character references stay;
@@ -42,6 +44,12 @@ _MARK = (r"(?:nav\w*|menu\w*|foot\w*|head(?:er)?|banner|side\w*|ad|ads|advert\w*
          r"comment\w*|repl(?:y|ies)|disqus|share|sharing|social|related|recommend\w*|breadcrumb\w*|subscri\w*|newsletter|popup|modal|login|"
          r"search\w*|pagination|pager|tags?|toolbar|widget\w*|copyright|legal|byline|meta|skip\w*|hidden)")
 MARKS = re.compile(rf"(?<!\S)(?:(?:site|page|global|main)[_-])?{_MARK}(?:[_-]{_MARK})*(?!\S)".replace(r"\w", "[^\\W_]"), re.I)
+#: Names of reader comments: a comment word alone, with a part of a list of comments, or with further words, but not the word for whether comments are open.
+COMMENTS = re.compile(r"(?<!\S)(?:(?:users?|readers?|visitors?|post|article|blog|page|entry|fb|facebook|wp|div|li|view)[_-])?"
+                      r"(?:comments?(?:area|list|body|text|box|block|section|thread|wrap|form)?|disqus|repl(?:y|ies)|respond|responses)"
+                      r"(?![_-](?:open|closed|enabled|disabled|allowed|on|off)(?!\S))(?:[_-]\S*|\d+)?(?!\S)", re.I)
+#: Headings over reader comments without names: how many there are, or the call for one.
+COMMENT_HEADING = re.compile(r"\d[\d.,]*\s+(?:reader\s+|user\s+)?(?:comments?|responses?|repl(?:y|ies)|thoughts?\s+on)\b|(?:leave|post|add|write)\s+(?:a|your)\s+(?:comment|reply)\b", re.I)
 #: What a mark leaves of a ratio, and the share of the page's text that is most of it.
 LOWERED, MOST = 0.2, 0.75
 CONTENT = frozenset({"article", "main"})
@@ -55,12 +63,13 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，；！？]")
 
 
 class Element:
-    """An open tag: whether it is outside the content, by its tag or hidden, or marked; and what text it holds."""
+    """An open tag: whether it is outside the content, by its tag or hidden, or marked, or reader comments; and what text it holds."""
 
-    __slots__ = ("tag", "outside", "hidden", "marked", "chars", "content")
+    __slots__ = ("tag", "outside", "hidden", "marked", "comment", "chars", "content")
 
-    def __init__(self, tag: str, outside: bool, hidden: bool, marked: bool) -> None:
-        self.tag, self.outside, self.hidden, self.marked, self.chars, self.content = tag, outside, hidden, marked, 0, tag in CONTENT
+    def __init__(self, tag: str, outside: bool, hidden: bool, marked: bool, comment: bool) -> None:
+        self.tag, self.outside, self.hidden, self.marked, self.comment, self.chars = tag, outside, hidden, marked, comment, 0
+        self.content = tag in CONTENT and not comment
 
 
 class Block(NamedTuple):
@@ -134,17 +143,37 @@ def text_blocks(page: str) -> list[Block]:
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3]))
         outside = tag in OUTSIDE and not (tag == "header" and any(e.tag in CONTENT for e in stack))
         if not m[3].endswith("/"):
-            stack.append(Element(tag, outside, bool(_HIDDEN.search(m[3])) and tag not in ("html", "body"), bool(MARKS.search(named))))
+            stack.append(Element(tag, outside, bool(_HIDDEN.search(m[3])) and tag not in ("html", "body"), bool(MARKS.search(named)),
+                                 tag not in ("html", "body") and bool(COMMENTS.search(named))))
     flush()
     total = sum(len(t) for chain, t in found if not any(e.hidden for e in chain))
 
     def most(e: Element) -> bool:
         return e.content or e.chars >= MOST * total
 
-    return [Block(tuple(e.tag for e in chain if e.tag in BLOCKS), text,
-                  any(e.hidden or e.outside and not (e.content or e.tag == "form" and most(e)) for e in chain),
-                  any(e.marked and e.tag not in ("html", "body") and not most(e) for e in chain),
-                  tuple(e for e in chain if e.tag in BLOCKS)) for chain, text in found]
+    blocks = [Block(tuple(e.tag for e in chain if e.tag in BLOCKS), text,
+                    any(e.hidden or e.outside and not (e.content or e.tag == "form" and most(e)) for e in chain),
+                    any(e.marked and e.tag not in ("html", "body") and not most(e) for e in chain),
+                    tuple(e for e in chain if e.tag in BLOCKS)) for chain, text in found]
+    said = _comments([chain for chain, _ in found], blocks)
+    # where nothing else is on the page, what is named like comments is its text
+    if all(s or b.outside or b.marked for s, b in zip(said, blocks, strict=True)):
+        return blocks
+    return [b._replace(outside=b.outside or s) for b, s in zip(blocks, said, strict=True)]
+
+
+def _comments(chains: list[tuple[Element, ...]], blocks: list[Block]) -> list[bool]:
+    """Which blocks are reader comments: below a tag so named, or after a heading that counts or asks for them, up to the next heading of its kind."""
+    found = []
+    under, level = None, ""
+    for chain, block in zip(chains, blocks, strict=True):
+        heading = block.path[-1] if block.path and block.path[-1] in HEADINGS else ""
+        if under is not None and (under not in chain or heading and heading <= level):
+            under = None
+        if under is None and heading and len(block.chain) > 1 and COMMENT_HEADING.match(block.text):
+            under, level = block.chain[-2], heading
+        found.append(under is not None or any(e.comment and not e.content for e in chain))
+    return found
 
 
 def _short_parts(blocks: list[Block], chosen: np.ndarray) -> list[int]:

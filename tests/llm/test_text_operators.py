@@ -216,6 +216,33 @@ def test_marks_do_not_take_the_article():
         assert html_text.main_text(f"<body>{head}{inner}{tail}{side}</body>") == "\n\n".join(text), head
 
 
+def test_reader_comments_are_left_out():
+    text = [f"Paragraph {k} of the article, with commas and words. " + "It goes on and on, as paragraphs do; it does not stop soon. " * 3 for k in range(4)]
+    text = [t.strip() for t in text]
+    inner = "".join(f"<p>{t}</p>" for t in text)
+    remark = "I have read all of this, and I must say, it is the best remark on the page; thanks a lot, truly. " * 4
+    many = lambda tag: "".join(f"<{tag}><p>{remark}{k}</p></{tag.split()[0]}>" for k in range(12))
+    pages = [
+        f'<article>{inner}<section class="comments-area">{many("div class=comment-body")}</section></article>',
+        f'<article>{inner}</article><ol class="comment-list">{many("li class=comment")}</ol>',
+        f'<article>{inner}</article><div id="responses"><h3>12 responses</h3>{many("div")}</div>',
+        f'<div class="post">{inner}</div><div id="responses">{many("div")}</div>',
+        f'<div class="post">{inner}</div><section><h3>12 Comments</h3>{many("div class=x")}</section>',
+        f'<main>{inner}<div class="reader-comments">{many("article class=comment")}</div></main>',
+        f'<main>{inner}</main><ol class="commentlist">{many("article class=comment-body")}</ol>',
+        f'<article class="post comments-open">{inner}<div id="comments">{many("div")}</div></article>',
+        f'<body class="single comments-open"><article>{inner}</article><div id="disqus_thread">{many("div")}</div>',
+        f'<div class="content">{inner}<div id="respond"><p>{remark}</p></div><div class="replies">{many("div class=reply")}</div></div>',
+    ]
+    for page in pages:
+        assert html_text.main_text(page) == "\n\n".join(text), page[:80]
+    short = "<main><p>A short piece, of one line.</p></main><div class=comments>" + many("div") + "</div>"
+    assert html_text.main_text(short) == "A short piece, of one line."
+    # names that only begin alike, and pages with nothing else, keep their text
+    for head in ("<div class=commentary>", "<div class=responsive>", "<div class=replica>", "<div class=comments-closed>", "<article class=comments-open>", "<div class=comments>"):
+        assert html_text.main_text(f"<body>{head}{inner}</body>") == "\n\n".join(text), head
+
+
 def test_short_parts_of_plain_containers_stay():
     text = [f"Paragraph {k} of the article, with commas and words. " + "It goes on and on, as paragraphs do; it does not stop soon. " * 6 for k in range(4)]
     p = [f"<p>{t}</p>" for t in text]
