@@ -176,8 +176,8 @@ def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 |a and b| >= percent |a or b|."""
-    one, two = (sets.select(F.col("fp").alias(x), F.col("found").alias(f"{x}_found")) for x in "ab")
+    """The pairs (a, b) whose full sets have 100 |a and b| >= percent |a or b|; only the sets of a pair's end are shuffled for it."""
+    one, two = (sets.select(F.col("fp").alias(x), F.col("found").alias(f"{x}_found")).join(pairs.select(x).distinct(), x, "left_semi") for x in "ab")
     both = pairs.join(one, "a").join(two, "b").select(
         "a", "b", F.size(F.array_intersect("a_found", "b_found")).alias("shared"), (F.size("a_found") + F.size("b_found")).alias("total"))
     return both.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
