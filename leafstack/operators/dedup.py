@@ -51,7 +51,7 @@ def block_masks(distance: int, keep: int, within: int = (1 << 64) - 1) -> list[i
     return [sum(c) for c in combinations(blocks, keep)]
 
 
-def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
+def block_keys(fps: DataFrame, masks: list[int]) -> DataFrame:
     """Every fingerprint once per mask: (class_id, mask_no, key, fp, eligible)."""
     table = F.from_json(F.lit(json.dumps([_signed(m) for m in masks])), "array<bigint>")
     return fps.select("class_id", "fp", "first_order", F.posexplode(table).alias("mask_no", "mask")).select(
@@ -78,7 +78,7 @@ def _nearest(queries: DataFrame, targets: DataFrame, distance: int, keep: int, h
     open, so a crowded bucket becomes many small ones and still no close pair is lost.
     """
     masks = block_masks(distance, keep)
-    q, t = _keyed(queries, masks), _keyed(targets, masks)
+    q, t = block_keys(queries, masks), block_keys(targets, masks)
     # keys of targets that a query has, written once: sizes, joins and the second level read them
     t = stored(t.join(q.select("class_id", "mask_no", "key").distinct(), ["class_id", "mask_no", "key"], "left_semi"), "target-keys")
     sizes = t.groupBy("class_id", "mask_no", "key").agg(F.count(F.lit(1)).alias("n"))

@@ -53,8 +53,11 @@ def stream_status_counts(spark, sf):
 
 @query("stream_document_status", "SELECT document_id, arg_max(state, (created_at, event_id)) AS state FROM doc_events GROUP BY 1", ("doc_events",))
 def stream_document_status(spark, sf):
-    out = drain(streams.stream_document_status(_event_stream(spark, sf)), "status", "update")
-    return out.groupBy("document_id").agg(F.max_by("state", "batch_id").alias("state"))
+    """Over three batches in no order."""
+    folder = scratch_folder(spark, "status")
+    e = views.events_of(in_batches(spark, sf, "events")).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    streams.stream_document_status(e, folder, scratch_folder(spark, "status-state")).awaitTermination()
+    return spark.read.parquet(f"{folder}/changes").groupBy("document_id").agg(F.max_by("state", "batch_id").alias("state"))
 
 
 @query("stream_review_sla", """
@@ -108,8 +111,10 @@ def stream_exact_dedup(spark, sf):
 SELECT variant_id, count(*) AS doc_count, min(pages_total) AS page_count_min, max(pages_total) AS page_count_max,
   CASE WHEN count(*) >= 50 THEN 'OPTIMISED' WHEN count(*) >= 10 THEN 'LEARNED_PROPOSED' WHEN count(*) >= 3 THEN 'LEARNING' ELSE 'ZERO_SHOT' END AS stage FROM registry GROUP BY 1""", ("registry",))
 def stream_variant_profile(spark, sf):
-    out = drain(streams.stream_variant_profile(_doc_stream(spark, sf)), "layouts", "update")
-    last = out.groupBy("variant_id").agg(F.max_by(F.struct("doc_count", "page_count_min", "page_count_max", "stage"), "batch_id").alias("l"))
+    """Over three batches in no order."""
+    folder = scratch_folder(spark, "layouts")
+    streams.stream_variant_profile(_docs_of(in_batches(spark, sf, "documents")), folder, scratch_folder(spark, "layouts-state")).awaitTermination()
+    last = spark.read.parquet(f"{folder}/changes").groupBy("variant_id").agg(F.max_by(F.struct("doc_count", "page_count_min", "page_count_max", "stage"), "batch_id").alias("l"))
     return last.select("variant_id", "l.*")
 
 
@@ -150,8 +155,9 @@ SELECT 'shp_' || o_orderkey AS shipment_id, 'po_' || o_orderkey AS po_document_i
 WHERE o_orderkey % 4 <> 1 OR o_orderkey * 5 + CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 0 END + 60 < (SELECT max(o_orderkey * 5 + CASE WHEN o_orderkey % 5 = 0 THEN 2 WHEN o_orderkey % 4 <> 1 THEN 1 ELSE 0 END) FROM orders) - 10""")
 def stream_match_ready(spark, sf):
     s = _trade_stream(spark, sf).select("shipment_id", "document_id", "class_id", "created_at")
-    out = drain(streams.stream_match_ready(s), "match-ready", "update")
-    return out.select("shipment_id", "po_document_id", "invoice_document_id", "has_ic", "status")
+    folder = scratch_folder(spark, "match-ready")
+    streams.stream_match_ready(s, folder, scratch_folder(spark, "match-ready-state")).awaitTermination()
+    return spark.read.parquet(f"{folder}/outcomes").select("shipment_id", "po_document_id", "invoice_document_id", "has_ic", "status")
 
 
 @query("stream_link", """
