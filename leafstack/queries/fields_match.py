@@ -278,21 +278,21 @@ def shipment_pairs(spark, sf):
 
 # ---- validation, proofreading, instructions -----------------------------------------------
 
-QUALITY_DOCS = ("dc_003", "dc_006")
+QUALITY_DOCS = ("dc_003", "dc_006", "dc_007", "dc_008")        # all classes of trade_docs
 
 
 def _quality_docs(spark, sf, with_variant=False):
-    d = views.trade_docs(spark, sf).filter(F.col("class_id").isin(*QUALITY_DOCS))
-    return d.select("document_id", "class_id", *(["variant_id", "created_at"] if with_variant else []))
+    return views.trade_docs(spark, sf).select("document_id", "class_id", *(["variant_id", "created_at"] if with_variant else []))
 
 
 O.view("wide", """
-SELECT d.document_id, d.class_id, d.k, d.variant_id, d.created_at, po_number, invoice_number, po_date, invoice_date, currency, total_order_value, total_amount, customer_po_ref, supplier_name
+SELECT d.document_id, d.class_id, d.k, d.variant_id, d.created_at, po_number, invoice_number, po_date, invoice_date, currency, total_order_value, total_amount, customer_po_ref, supplier_name,
+  consignee_name, purchase_order_no, ic_number
 FROM trade_docs d LEFT JOIN (SELECT document_id, max(value) FILTER (field_name = 'po_number') AS po_number, max(value) FILTER (field_name = 'invoice_number') AS invoice_number,
   max(value) FILTER (field_name = 'po_date') AS po_date, max(value) FILTER (field_name = 'invoice_date') AS invoice_date, max(value) FILTER (field_name = 'currency') AS currency,
   max(value) FILTER (field_name = 'total_order_value') AS total_order_value, max(value) FILTER (field_name = 'total_amount') AS total_amount,
-  max(value) FILTER (field_name = 'customer_po_ref') AS customer_po_ref, max(value) FILTER (field_name = 'supplier_name') AS supplier_name FROM eff GROUP BY 1) f USING (document_id)
-WHERE class_id IN ('dc_003', 'dc_006')""", "trade_docs", "eff")
+  max(value) FILTER (field_name = 'customer_po_ref') AS customer_po_ref, max(value) FILTER (field_name = 'supplier_name') AS supplier_name, max(value) FILTER (field_name = 'consignee_name') AS consignee_name,
+  max(value) FILTER (field_name = 'purchase_order_no') AS purchase_order_no, max(value) FILTER (field_name = 'ic_number') AS ic_number FROM eff GROUP BY 1) f USING (document_id)""", "trade_docs", "eff")
 
 
 def _missing(cols: list[str]) -> str:
@@ -301,7 +301,7 @@ def _missing(cols: list[str]) -> str:
 
 
 O.view("nigo", f"""
-SELECT document_id, class_id, CASE class_id WHEN 'dc_003' THEN {_missing(R.VALIDATION_REQUIRED['dc_003'])} ELSE {_missing(R.VALIDATION_REQUIRED['dc_006'])} END AS nigo,
+SELECT document_id, class_id, CASE class_id {' '.join(f"WHEN '{c}' THEN {_missing(R.VALIDATION_REQUIRED[c])}" for c in QUALITY_DOCS)} END AS nigo,
   CASE WHEN class_id = 'dc_006' AND total_amount IS NOT NULL THEN 1 ELSE 0 END AS warning_count FROM wide""", "wide")
 
 
@@ -432,17 +432,16 @@ def proof_flags(spark, sf):
     return f.groupBy("kind", "severity", "field_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("proofread_scores", """
+@query("proofread_scores", f"""
 SELECT document_id, class_id, missing, bad_formats, anomalies, errors, warnings, avg_confidence::DOUBLE AS avg_confidence,
   round(CAST(0.4 * (need - missing)::DOUBLE / need + 0.3 * avg_confidence::DOUBLE + 0.2 * (19 - bad_formats)::DOUBLE / 19 + 0.1 * (1.0 - least(anomalies * 0.05, 0.10) / 0.10)::DOUBLE AS DECIMAL(20,10)), 4)::DOUBLE AS score,
   (need - missing)::DOUBLE / need >= 0.6 AND avg_confidence >= 0.6 AND errors <= 1 AS passed
-FROM (SELECT d.document_id, d.class_id, CASE d.class_id WHEN 'dc_003' THEN 3 ELSE 4 END AS need, coalesce(missing, 0) AS missing, coalesce(bad_formats, 0) AS bad_formats,
-    coalesce(anomalies, 0) AS anomalies, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, c AS avg_confidence
+FROM (SELECT d.document_id, d.class_id, CASE d.class_id {' '.join(f"WHEN '{c}' THEN {len(R.PROOF_REQUIRED[c])}" for c in QUALITY_DOCS)} END AS need, coalesce(missing, 0) AS missing, coalesce(bad_formats, 0) AS bad_formats,
+    coalesce(anomalies, 0) AS anomalies, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(c, 0) AS avg_confidence
   FROM trade_docs d LEFT JOIN (SELECT document_id, round(CAST(avg(confidence) AS DECIMAL(18,8)), 4) AS c FROM fields GROUP BY 1) USING (document_id)
   LEFT JOIN (SELECT document_id, count(*) FILTER (kind = 'MISSING') AS missing, count(*) FILTER (kind = 'FORMAT') AS bad_formats,
     count(*) FILTER (kind IN ('SHORT', 'LONG', 'PLACEHOLDER')) AS anomalies, count(*) FILTER (severity = 'ERROR') AS errors,
-    count(*) FILTER (severity = 'WARNING') AS warnings FROM flags GROUP BY 1) USING (document_id)
-  WHERE d.class_id IN ('dc_003', 'dc_006'))""", ("flags", "trade_docs", "fields"))
+    count(*) FILTER (severity = 'WARNING') AS warnings FROM flags GROUP BY 1) USING (document_id))""", ("flags", "trade_docs", "fields"))
 def proofread_scores(spark, sf):
     return quality.proofread(_quality_docs(spark, sf), _spoiled_fields(spark, sf)).drop("required_rate")
 

@@ -53,7 +53,7 @@ KNOWN = [
 
 def _layout_docs(spark, sf):
     f = layouts.fingerprints(_layout_fields(spark, sf)).select("document_id", "field_names")
-    d = views.trade_docs(spark, sf).filter(F.col("class_id").isin("dc_003", "dc_006"))
+    d = views.trade_docs(spark, sf)
     labels = F.when(F.col("k") % 3 == 0, F.array(*map(F.lit, "abc"))).when(F.col("k") % 3 == 1, F.array(*map(F.lit, "abcd"))).otherwise(F.array(F.lit("z")))
     return d.join(f, "document_id").select(
         "document_id", "class_id", "k", "field_names", labels.alias("labels"), (F.col("k") % 5 + 1).cast("int").alias("pages_total"),
@@ -69,7 +69,7 @@ O.view("known", " UNION ALL ".join(
     f"SELECT '{v}' AS variant_id, '{c}' AS class_id, '{i}' AS v_issuer, {_list(f)} AS v_names, {_list(lb)} AS v_labels, {m or 'NULL'}::INT AS mode" for v, c, i, f, lb, m, a in KNOWN if a))
 O.view("layout_docs", """
 SELECT document_id, class_id, field_names, CASE k % 3 WHEN 0 THEN ['a','b','c'] WHEN 1 THEN ['a','b','c','d'] ELSE ['z'] END AS labels, k % 5 + 1 AS pages_total,
-  CASE WHEN k % 2 = 0 THEN 'acme' ELSE 'other' END AS issuer_slug FROM trade_docs JOIN prints USING (document_id) WHERE class_id IN ('dc_003', 'dc_006')""", "trade_docs", "prints")
+  CASE WHEN k % 2 = 0 THEN 'acme' ELSE 'other' END AS issuer_slug FROM trade_docs JOIN prints USING (document_id)""", "trade_docs", "prints")
 O.view("cands", """
 SELECT * FROM (SELECT d.*, k.variant_id, k.mode, len(d.labels) < 3 AS image_like,
   len(list_intersect(field_names, v_names))::DOUBLE / len(list_distinct(field_names || v_names)) AS field_j,
@@ -411,8 +411,7 @@ def link_incremental(spark, sf):
 
 @query("link_arrival_order")
 def link_arrival_order(spark, sf):
-    d = views.trade_docs(spark, sf).filter(F.col("class_id").isin("dc_003", "dc_006"))
-    return links.link_documents(d, views.link_keys(spark, sf))
+    return links.link_documents(views.trade_docs(spark, sf), views.link_keys(spark, sf))
 
 
 @query("reference_key", """
@@ -459,7 +458,7 @@ def shipment_documents(spark, sf):
 
 
 O.view("sampled", """
-SELECT document_id, coalesce(variant_id, '(none)') AS variant_id FROM trade_docs WHERE status = 'COMPLETED' AND class_id IN ('dc_006', 'dc_003') ORDER BY created_at DESC, document_id DESC LIMIT 200""", "trade_docs")
+SELECT document_id, coalesce(variant_id, '(none)') AS variant_id FROM trade_docs WHERE status = 'COMPLETED' ORDER BY created_at DESC, document_id DESC LIMIT 200""", "trade_docs")
 O.view("audit", """
 SELECT variant_id, doc_count, CAST(round(CAST(conf AS DECIMAL(18,8)), 3) AS DOUBLE) AS avg_confidence, CAST(round(CAST(hit AS DECIMAL(18,8)), 3) AS DOUBLE) AS field_hit_rate, CAST(round(CAST(corr AS DECIMAL(18,8)), 3) AS DOUBLE) AS correction_rate,
   0.0::DOUBLE AS needs_review_rate, coalesce(method, '—') AS primary_method, m AS schema_field_count, CAST(least(greatest(floor(round((conf * 0.4 + hit * 0.4 + (1 - corr) * 0.2) * 100, 5)), 0), 100) AS INT) AS health_score
@@ -472,7 +471,7 @@ LEFT JOIN (SELECT variant_id, arg_min(extraction_method, (-n, seen)) AS method F
 
 @query("quality_audit", "SELECT * FROM audit", ("audit",))
 def quality_audit(spark, sf):
-    d = views.trade_docs(spark, sf).filter(F.col("class_id").isin("dc_006", "dc_003"))
+    d = views.trade_docs(spark, sf)
     return audits.quality_audit(d, views.extracted_fields(spark, sf), views.variant_schema(spark, sf), last_n=200)
 
 

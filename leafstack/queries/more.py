@@ -32,9 +32,9 @@ def stage_labels(spark, sf):
 
 
 @query("correction_events", """
-SELECT document_id, 'NEEDS_REVIEW' AS state, 'CorrectionAgent' AS agent, 'Field ''' || field_name || ''' corrected by ann.' AS detail FROM fields WHERE k % 31 = 0""", ("fields",))
+SELECT document_id, 'NEEDS_REVIEW' AS state, 'CorrectionAgent' AS agent, 'Field ''' || field_name || ''' corrected by ann.' AS detail FROM fields""", ("fields",))
 def correction_events(spark, sf):
-    f = views.extracted_fields(spark, sf).filter(F.col("k") % 31 == 0).select(
+    f = views.extracted_fields(spark, sf).select(
         "document_id", "field_name", F.lit("ann").alias("corrected_by"), views.epoch_plus(F.lit(1)).alias("corrected_at"))
     return queues.correction_events(f).drop("created_at")
 

@@ -587,11 +587,11 @@ def class_slugs(spark, sf):
 @query("address_candidates", r"""
 SELECT page_id, name, CASE WHEN regexp_matches(name, '(?i)\b(ship to|address|consignee)\b') OR (contains(v, chr(10)) AND length(v) >= 20) THEN TRUE ELSE FALSE END AS is_address,
   upper(regexp_replace('ab ' || page_id || ' x', '\s+', '', 'g')) AS key
-FROM (SELECT doc_id AS page_id, CASE doc_id % 4 WHEN 0 THEN 'Ship To' WHEN 1 THEN 'buyer address' WHEN 2 THEN 'total' ELSE 'note' END AS name, substr(text, 1, 60) AS v FROM documents)""")
+FROM (SELECT doc_id AS page_id, CASE doc_id % 4 WHEN 0 THEN 'Ship To' WHEN 1 THEN 'buyer address' WHEN 2 THEN 'total' ELSE 'note' END AS name, text AS v FROM documents)""")
 def address_candidates(spark, sf):
     d = tables.read_table(spark, sf, "documents", "doc_id", "text")
     name = views.pick(F.col("doc_id") % 4, "Ship To", "buyer address", "total", "note")
-    v = F.substring("text", 1, 60)
+    v = F.col("text")
     return d.select(F.col("doc_id").alias("page_id"), name.alias("name"), V.is_address_field(name, v).alias("is_address"),
                     V.postcode_key(F.concat(F.lit("ab "), "doc_id", F.lit(" x"))).alias("key"))
 
