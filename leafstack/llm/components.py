@@ -11,8 +11,9 @@ from leafstack.llm.common import forget, stored
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, str]:
     """(node, label): the smallest node of each node's component; only nodes with an edge. And the table's path.
 
-    Each round takes the smallest label among neighbours and then the label of that label, until nothing
-    changes: about log2 of the longest chain. Rounds are written tables, the one before is deleted;
+    Each round takes the smallest label among neighbours and then the label of that label, until no node has
+    a neighbour with a smaller label (then all of a component are equal): about log2 of the longest chain.
+    Rounds are written tables, the one before is deleted;
     joins are against stored tables with one row per node, so a hub's edges can be split among tasks.
     """
     spark = edges.sparkSession
@@ -24,13 +25,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame,
         lower = labels.join(near, labels["node"] == near["u"]).select(
             "node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         lower, lower_path = stored(lower, "labels-near")
-        up = lower.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        jumped = lower.join(up, lower["label"] == up["at"]).select("node", "was", F.least("label", "next").alias("label"))
-        new, new_path = stored(jumped, "labels")
-        changed = new.where("label <> was").limit(1).count()
         forget(spark, path)
-        forget(spark, lower_path)
-        labels, path = new.select("node", "label"), new_path
-        if not changed:
+        if not lower.where("label <> was").limit(1).count():
             forget(spark, both_path)
-            return labels, path
+            return lower.select("node", "label"), lower_path
+        up = lower.select(F.col("node").alias("at"), F.col("label").alias("next"))
+        labels, path = stored(lower.join(up, lower["label"] == up["at"]).select("node", F.least("label", "next").alias("label")), "labels")
+        forget(spark, lower_path)

@@ -45,7 +45,7 @@ FIRST_LEAF, LEAF = 32, 512
 #: Minwise tokens whose lowest bytes are compared; the first TOKENS of them choose paths.
 COMPARED = 192
 #: Trees of which each document first meets the smallest of its node, so that copies are one component early.
-FIRST_TREES = 2
+FIRST_TREES = 4
 #: Probability with which a pair at the limit shall meet; share of a crowd whose depth counts for it.
 RECALL, MATTERS = 0.99, 0.05
 #: Branchings after which a node is compared exhaustively whatever its size: 64 tokens are used up long before (a pair of 75 % is still together with 1e-5).
@@ -298,7 +298,7 @@ def _merged(groups: DataFrame, links: DataFrame, tables: Tables) -> tuple[DataFr
     ends = links.join(groups.select(F.col("node").alias("a"), F.col("label").alias("u")), "a", "left").join(
         groups.select(F.col("node").alias("b"), F.col("label").alias("v")), "b", "left")
     edges = tables.keep(ends.select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b")).where("a <> b").distinct(), "label-edges")
-    if edges.isEmpty():
+    if not edges.limit(1).count():
         return groups, None
     moves = tables.taken(components(edges))
     to = moves.select(F.col("node").alias("label"), F.col("label").alias("to"))
@@ -320,15 +320,15 @@ class Crowd:
 
     def descend(self, at: DataFrame) -> tuple[list[int], DataFrame | None]:
         """Branch the nodes at(path, fp). Members of nodes that went on, level by level, and those of the first level here."""
-        going, first = [], None
-        while not at.isEmpty():
+        going, first, left = [], None, at.limit(1).count()
+        while left:
             level = self.tables.keep(at.join(self.rows, "fp").select("fp", "label", _branched(F.col("path"), F.col("tokens")).alias("path")), "crowd-branches")
             last = len(going) >= DEPTH
             members = self.tables.keep(level.join(_mixed_nodes(level, self.tables), "path"), "crowd-level")
             self._compare(members, last)
             at = members.where(F.lit(not last) & ~_finished(self.leaf)).select("path", "fp")
-            first = first or at
-            going.append(at.count())
+            first, left = first or at, at.count()
+            going.append(left)
         return going, first
 
     def _compare(self, members: DataFrame, exhaustive: bool) -> None:
@@ -337,8 +337,6 @@ class Crowd:
         inside = _linked_inside(members.where(done), self.sets, self.nodes, self.leaf, self.percent)
         stars = self.tables.keep(_close(_stars(members.where(~done)), self.nodes), "crowd-stars")
         links = self.tables.keep(inside.unionByName(_confirmed(stars, self.sets, self.percent)).distinct(), "crowd-links")
-        if links.isEmpty():
-            return
         self.groups, moves = _merged(self.groups, links, self.tables)
         if moves is not None:
             to = moves.select(F.col("node").alias("label"), F.col("label").alias("to"))
@@ -367,18 +365,15 @@ def set_components(docs: DataFrame, rows: DataFrame, percent: int, trees: int, l
         labelled = tables.keep(_labelled(members, groups), "labelled-members")
         return tables.keep(labelled.join(_mixed_nodes(labelled, tables), "path"), "mixed-members")
 
-    # each set with the smallest of its nodes in two trees: most copies become components before anything else is compared
+    # each set with the smallest of its nodes in some trees: most copies become components before anything else is compared
     first = members.where(f"fp <> centre and tree <= {FIRST_TREES}").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct()
     linked(tables.keep(_close(first, nodes), "first-pairs"), "first")
-    # then, in all trees, with the smallest of those nodes that still hold several components
-    left = mixed(members.select("path", "fp"))
-    linked(tables.keep(_close(_stars(left), nodes), "star-pairs"), "star")
     # of nodes that hold several components even so, finished ones are compared exhaustively and the others branch on
-    left = mixed(left.select("path", "fp"))
+    left = mixed(members.select("path", "fp"))
     done = _finished(min(FIRST_LEAF, leaf))
     large = left.where(~done).select("path", "fp")
     linked(tables.keep(_inside(left.where(done), nodes, leaf), "small-pairs"), "small", large.select("fp").distinct())
-    if large.isEmpty():
+    if not large.limit(1).count():
         return groups
     crowd = Crowd(large.select("fp"), nodes, groups, sets, percent, leaf, tables)
     going, again = crowd.descend(large)
