@@ -10,8 +10,10 @@ words, and the slots are consistent: each value of the item stands for one value
 it comes again. So a question whose numbers and names were exchanged is found, and a text that shares only
 its shape is not.
 
-Benchmark windows are sent to all tasks up to BROADCAST_WINDOWS rows, else joined by a shuffle; window
-hashes leave a document's row without its text; only candidates' texts are read again for the check.
+Up to BROADCAST_WINDOWS benchmark windows are sent to all tasks, and only windows that meet one leave
+them; more are joined by a shuffle. Hashes leave a document's row without its text; only candidates' texts
+are read again for the check, once for about ITEMS_TOGETHER of its items. Alignments work through slices
+of diagonals, so a long text of numbers needs no more memory than its words.
 
 Defined cases: null or empty texts and items match nothing; an item shorter than the window is one
 window; windows that are mostly placeholders, windows with names and items under SHORTEST words are also
@@ -21,15 +23,18 @@ item's bare words, a short item all of them, and an item of one word is in every
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import struct
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafstack.llm.common import BROADCAST_ROWS, stored, worker_keeps
@@ -41,6 +46,8 @@ LITERAL, SHORTEST = 4, 5
 RUN, SHORTEST_RUN, BAND = 40, 3, 8
 BROADCAST_WINDOWS = 500_000
 WORDS_KEPT = 400_000
+#: Bytes of texts whose windows are made in one go, items of a document checked in one row, cells of an alignment held at once.
+TOGETHER, ITEMS_TOGETHER, SLICE = 2_000_000, 200, 2_000_000
 #: Words on either side that tell whether a capital marks a name.
 NEAR = 4
 #: Spelled numbers and units that become placeholders (fixed values).
@@ -98,8 +105,16 @@ def _raw_words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def forms(words: list[bytes], names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, whether a placeholder, place among all words, hash of the bare word, whether a name) of the canonical words; without `names` those stay words."""
+def _counts(marked: np.ndarray) -> np.ndarray:
+    """How many are marked before each place, and in all."""
+    return np.concatenate(([0], np.cumsum(marked)))
+
+
+def forms(words: list[bytes], names: bool = True, starts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(hash, whether a placeholder, place among all words, hash of the bare word, whether a name) of the canonical words; without `names` those stay words.
+
+    `starts` are the places where texts begin, if words are those of several texts; no text looks into the next.
+    """
     got = np.frombuffer(b"".join(map(word_records().__getitem__, words)), dtype=_RECORD)
     bits = got["bits"]
     ended = np.empty(len(got), dtype=bool)
@@ -107,27 +122,50 @@ def forms(words: list[bytes], names: bool = True) -> tuple[np.ndarray, np.ndarra
     ended[1:] = bits[:-1] & 2 > 0
     capital = bits & 1 > 0
     # among capitals (a headline, shouting) a capital tells nothing
-    sums = np.concatenate(([0], np.cumsum(capital)))
-    at = np.arange(len(got))
-    lo, hi = np.maximum(at - NEAR, 0), np.minimum(at + NEAR + 1, len(got))
-    name = np.full(len(got), names) & capital & (bits & 4 == 0) & ~ended & (2 * (sums[hi] - sums[lo]) <= hi - lo)
+    sums = _counts(capital)
+    asked = capital & (bits & 4 == 0) if names else np.zeros(len(got), dtype=bool)
+    starts = np.zeros(1, dtype=np.int64) if starts is None else starts
+    ended[starts[starts < len(got)]] = True
+    asked = np.flatnonzero(asked & ~ended)
+    text = np.searchsorted(starts, asked, side="right")
+    lo = np.maximum(asked - NEAR, starts[text - 1])
+    hi = np.minimum(asked + NEAR + 1, np.append(starts, len(got))[text])
+    name = np.zeros(len(got), dtype=bool)
+    name[asked] = 2 * (sums[hi] - sums[lo]) <= hi - lo
     keep = np.flatnonzero(bits & 8 == 0)
     h = np.where(name, np.uint64(_hash(NAME)), got["h"])
     return h[keep], (name | (bits & 4 > 0))[keep], keep, got["raw"][keep], name[keep]
 
 
+def _finished_hash(out: np.ndarray) -> np.ndarray:
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(32))
+
+
+def _window_sums(h: np.ndarray, sizes: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hash of each window of that size), sizes ascending, from one running sum."""
+    out, done = np.zeros(len(h), dtype=np.uint64), 0
+    for size in sorted(sizes):
+        n = max(0, len(h) - size + 1)
+        out = out[:n]
+        for k in range(done, size):
+            out += h[k:k + n] * _PLACE[k]
+        done = size
+        yield size, _finished_hash(out)
+
+
+def _usable(slot: np.ndarray, size: int) -> np.ndarray:
+    """Whether each window has enough words that are not placeholders."""
+    sums = _counts(slot)
+    return size - (sums[size:] - sums[:-size]) >= min(LITERAL, (size + 1) // 2)
+
+
 def window_hashes(h: np.ndarray, slot: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """One hash per window; 0 where the window has too few words that are not placeholders."""
-    n = len(h) - window + 1
-    if n < 1:
+    if len(h) < window:
         return np.zeros(0, dtype=np.int64)
-    out = np.zeros(n, dtype=np.uint64)
-    slots = np.zeros(n, dtype=np.int64)
-    for k in range(window):
-        out += h[k:k + n] * _PLACE[k]
-        slots += slot[k:k + n]
-    out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    return np.where(window - slots >= min(LITERAL, (window + 1) // 2), out ^ (out >> np.uint64(32)), 0).view(np.int64)
+    (_, found), = _window_sums(h, [window])
+    return np.where(_usable(slot, window), found, np.uint64(0)).view(np.int64)
 
 
 def bare_windows(raw: np.ndarray, window: int) -> np.ndarray:
@@ -135,30 +173,67 @@ def bare_windows(raw: np.ndarray, window: int) -> np.ndarray:
     return window_hashes(raw, np.zeros(len(raw), dtype=bool), window)
 
 
-def _windows_of_text(made: tuple[np.ndarray, ...], size: int) -> np.ndarray:
-    """The distinct hashes of a document: canonical windows, and bare ones where those are few or hold a name."""
-    h, slot, _, raw, name = made
-    found = window_hashes(h, slot, size)
-    if slot.any() and len(found):
-        sums = np.concatenate(([0], np.cumsum(name)))
-        bare = (found == 0) | (sums[size:] > sums[:-size])
-        found = np.concatenate((found, bare_windows(raw, size)[bare]))
-    return np.unique(found[found != 0])
+class Wanted:
+    """Hashes to look for. A bit table over their low bits passes over most others, the sorted hashes decide."""
 
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.unique(hashes)
+        bits = max(16, int(16 * len(self.sorted)).bit_length())
+        self.mask = np.uint64(2**bits - 1)
+        self.table = np.zeros(2**bits, dtype=bool)
+        self.table[self.sorted.view(np.uint64) & self.mask] = True
 
-def document_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, text_hash, size, windows array<bigint>) for each row and window size."""
+    def places(self, found: np.ndarray) -> np.ndarray:
+        """Places of `found` (unsigned) whose hash is wanted."""
+        maybe = np.flatnonzero(self.table[found & self.mask])
+        return maybe[np.isin(found[maybe].view(np.int64), self.sorted)]
+
+
+def _windows_of_texts(texts: list[str | None], wanted: dict[int, Wanted | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, number of the text, hash) of the distinct wanted windows of texts: canonical ones, and bare ones where those are few or hold a name.
+
+    Texts go together, so that short ones cost no calls of their own. Without a `Wanted` all windows count.
+    """
+    words = [_raw_words(t) for t in texts]
+    ends = np.cumsum([len(w) for w in words])
+    h, slot, place, raw, name = forms(list(itertools.chain.from_iterable(words)), starts=np.concatenate(([0], ends[:-1])))
+    text = np.searchsorted(ends, place, side="right")
+    for (size, canon), (_, bare) in zip(_window_sums(h, wanted), _window_sums(raw, wanted), strict=True):
+        if not len(canon):
+            continue
+        inside = text[size - 1:] == text[:len(canon)]
+        usable = _usable(slot, size)
+        names = _counts(name)
+        also = ~usable | (names[size:] > names[:-size])
+        look = wanted[size]
+        at = [np.flatnonzero(inside & use) if look is None else (hit := look.places(found))[(inside & use)[hit]] for found, use in ((canon, usable), (bare, also))]
+        both = np.empty(len(at[0]) + len(at[1]), dtype=[("text", "<i8"), ("hash", "<u8")])
+        both["text"], both["hash"] = np.concatenate([text[x] for x in at]), np.concatenate((canon[at[0]], bare[at[1]]))
+        both = np.unique(both)
+        yield size, both["text"], both["hash"].view(np.int64)
+
+
+def document_windows(docs: DataFrame, wanted: dict[int, np.ndarray | None]) -> DataFrame:
+    """(doc_id, text_hash, size, w) of the distinct windows of each row that are wanted: by size the hashes, None for all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                made = [forms(_raw_words(t.as_py())) for t in part.column(2)]
-                for size in sizes:
-                    found = [_windows_of_text(m, size) for m in made]
-                    yield pa.record_batch([part.column(0), part.column(1), pa.array([size] * len(found), pa.int32()),
-                                           pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "size", "windows"])
+        look = {size: None if hashes is None else Wanted(hashes) for size, hashes in wanted.items()}
+        for part in _parts(batches):
+            for size, text, w in _windows_of_texts(part.column(2).to_pylist(), look):
+                yield pa.record_batch([part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), pa.array(np.full(len(w), size, dtype=np.int32)), pa.array(w)],
+                                      ["doc_id", "text_hash", "size", "w"])
 
-    return _told_apart(docs).mapInArrow(run, "doc_id long, text_hash long, size int, windows array<bigint>")
+    return _told_apart(docs).mapInArrow(run, "doc_id long, text_hash long, size int, w long")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts hold about TOGETHER bytes, at least one row; the third column is the text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def _told_apart(docs: DataFrame) -> DataFrame:
@@ -191,68 +266,93 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         run, "item_id long, size int, q int, n_windows int, hash long, bare boolean")
 
 
-def _runs(same: np.ndarray, first: int) -> list[tuple[int, int, int]]:
-    """(item place, document place, length) of runs in same[diagonal, item place] that make one alignment, the longest first chosen."""
-    edge = np.diff(np.pad(same, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    (d, q), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-    long = np.flatnonzero(end - q >= min(SHORTEST_RUN, same.shape[1]))
-    chosen: list[tuple[int, int, int]] = []
-    for k in long[np.argsort(q[long] - end[long], kind="stable")]:
-        at, n, off = int(q[k]), int(end[k] - q[k]), int(d[k]) + first
-        for q1, p1, n1 in chosen:
-            if q1 <= at and p1 <= at + off:
-                cut = max(q1 + n1 - at, p1 + n1 - at - off, 0)
-                at, n = at + cut, n - cut
-            elif q1 >= at and p1 >= at + off:
-                n = min(n, q1 - at, p1 - at - off)
-            else:
-                n = 0
-            if n < min(SHORTEST_RUN, same.shape[1]):
-                break
-        else:
-            chosen.append((at, at + off, n))
+class Words:
+    """A text's words, canonical with and without names, for alignments; made once however many items it meets."""
+
+    def __init__(self, text: str | None):
+        self.raw = _raw_words(text)
+        self.h, self.slot, self.place, self.bare, _ = forms(self.raw)
+        self.plain = forms(self.raw, False)[0]
+
+    def __len__(self) -> int:
+        return len(self.h)
+
+    def value(self, at: int) -> str:
+        return canonical(self.raw[self.place[at]].decode())[1]
+
+    @functools.cached_property
+    def windows(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return {}
+
+    def all_windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """All windows, with and without names; a place is judged by its words, so none is left out."""
+        if size not in self.windows:
+            self.windows[size] = bare_windows(self.h, size), bare_windows(self.plain, size)
+        return self.windows[size]
+
+
+def _chosen(q: np.ndarray, p: np.ndarray, n: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
+    """(item place, document place, length) of those runs of equal words that make one alignment, the longest first chosen."""
+    order, chosen = np.argsort(-n, kind="stable"), []
+    q, p, n = q[order], p[order], n[order]
+    while len(n):
+        at, to, long = int(q[0]), int(p[0]), int(n[0])
+        chosen.append((at, to, long))
+        q, p, n = q[1:], p[1:], n[1:]
+        # the others lose what stands over or across the chosen run
+        after, before = (q >= at) & (p >= to), (q <= at) & (p <= to)
+        cut = np.where(after, np.maximum(np.maximum(at + long - q, to + long - p), 0), 0)
+        n = np.where(after, n - cut, np.where(before, np.minimum(n, np.minimum(at - q, to - p)), 0))
+        left = n >= shortest
+        q, p, n = (q + cut)[left], (p + cut)[left], n[left]
     return sorted(chosen)
 
 
-def alignments(doc: str, item: str) -> Iterator[tuple[int, float, int, float, int, float]]:
+def _runs(doc: Words, item: Words, first: int, last: int) -> list[tuple[int, int, int]]:
+    """The alignment of the diagonals first to last, from slices of so many of them as make SLICE cells."""
+    shortest, k = min(SHORTEST_RUN, len(item)), np.arange(len(item))
+    found, step = [], max(1, SLICE // len(item))
+    for low in range(first, last + 1, step):
+        at = np.arange(low, min(low + step, last + 1))[:, None] + k
+        inside = (at >= 0) & (at < len(doc))
+        at = np.clip(at, 0, len(doc) - 1)
+        same = ((doc.h[at] == item.h) | (doc.plain[at] == item.plain)) & inside
+        edge = np.diff(np.pad(same, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (d, q), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        long = np.flatnonzero(end - q >= shortest)
+        found.append((q[long].astype(np.int32), (d[long] + q[long] + low).astype(np.int32), (end[long] - q[long]).astype(np.int32)))
+    return _chosen(*(np.concatenate(x) for x in zip(*found, strict=True)), shortest)
+
+
+def alignments(doc: Words, item: Words) -> Iterator[tuple[int, float, int, float, int, float]]:
     """(start word, share of equal words, longest run, share of consistent slots, slots, share of equal bare words) of each place where the item can stand in the document."""
-    dw, iw = _raw_words(doc), _raw_words(item)
-    dh, _, dk, dr, _ = forms(dw)
-    ih, is_, ik, ir, _ = forms(iw)
-    dp, ip = forms(dw, False)[0], forms(iw, False)[0]
-    size, offsets = min(SHORTEST, len(ih)), set()
-    for d, i in ((dh, ih), (dp, ip)):
-        # all windows count here: a place is judged by its words
-        mine, theirs = (window_hashes(x, np.zeros(len(x), dtype=bool), size) for x in (i, d))
-        places: dict[int, list[int]] = {}
+    if not len(doc) or not len(item):
+        return
+    size, here = min(SHORTEST, len(item)), np.zeros(len(doc) + len(item), dtype=bool)
+    for theirs, mine in zip(doc.all_windows(size), item.all_windows(size), strict=True):
+        met = np.flatnonzero(np.isin(theirs, mine))
         for q, w in enumerate(mine.tolist()):
-            places.setdefault(w, []).append(q)
-        for p in np.flatnonzero(np.isin(theirs, mine)).tolist():
-            offsets.update(p - q for q in places[int(theirs[p])])
-    offs = np.array(sorted(offsets), dtype=np.int64)
-    for part in np.split(offs, np.flatnonzero(np.diff(offs) > max(BAND, len(ih) // 4)) + 1) if len(offs) else ():
-        first, k = int(part[0]), np.arange(len(ih))
-        at = np.arange(first, int(part[-1]) + 1)[:, None] + k
-        inside = (at >= 0) & (at < len(dh))
-        at = np.clip(at, 0, len(dh) - 1)
-        runs = _runs(((dh[at] == ih) | (dp[at] == ip)) & inside, first)
+            here[met[theirs[met] == w] - q + len(item)] = True
+    offs = np.flatnonzero(here) - len(item)
+    for part in np.split(offs, np.flatnonzero(np.diff(offs) > max(BAND, len(item) // 4)) + 1) if len(offs) else ():
+        runs = _runs(doc, item, int(part[0]), int(part[-1]))
         if not runs:
             continue
-        pairs = [(canonical(iw[ik[q + j]].decode())[1], canonical(dw[dk[p + j]].decode())[1]) for q, p, n in runs for j in range(n) if is_[q + j]]
+        pairs = [(item.value(q + j), doc.value(p + j)) for q, p, n in runs for j in range(n) if item.slot[q + j]]
         best: Counter = Counter()
         for (value, _), n in Counter(pairs).items():
             best[value] = max(best[value], n)
-        yield (runs[0][1] - runs[0][0], sum(n for _, _, n in runs) / len(ih), max(n for _, _, n in runs),
+        yield (runs[0][1] - runs[0][0], sum(n for _, _, n in runs) / len(item), max(n for _, _, n in runs),
                sum(best.values()) / len(pairs) if pairs else 1.0, len(pairs),
-               sum(int((ir[q:q + n] == dr[p:p + n]).sum()) for q, p, n in runs) / len(ih))
+               sum(int((item.bare[q:q + n] == doc.bare[p:p + n]).sum()) for q, p, n in runs) / len(item))
 
 
-def slot_check(doc: str, item: str, bare: bool = False, coverage: float = COVERAGE, agreement: float = AGREEMENT) -> tuple[int, float, float, int, bool]:
+def slot_check(doc: Words, item: Words, bare: bool = False, coverage: float = COVERAGE, agreement: float = AGREEMENT) -> tuple[int, float, float, int, bool]:
     """(start word, share of equal words, share of consistent slots, slots, whether held to be a copy) of the best of `alignments`.
 
     With `bare` the words themselves must be there, of a short item all.
     """
-    need = 1.0 if len(forms(_raw_words(item))[0]) < SHORTEST else coverage
+    need = 1.0 if len(item) < SHORTEST else coverage
 
     def held(x) -> bool:
         return x[3] >= agreement and (x[1] >= coverage or x[2] >= RUN) and (not bare or x[5] >= need * (x[1] if x[2] >= RUN else 1))
@@ -266,31 +366,42 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     items, _ = stored(item_windows(benchmark, window), "item-windows")
     sizes = [r["size"] for r in items.select("size").distinct().collect()] or [window]      # at most `window` values
     one = items.select(F.col("size").alias("i_size"), "hash", "item_id", "q", "n_windows", "bare")
+    wanted = dict.fromkeys(sizes)
     if items.count() <= BROADCAST_WINDOWS:
+        # so few hashes go to the tasks, and only windows that meet one leave them
         one = F.broadcast(one)
-    each = document_windows(docs, sizes).select("doc_id", "text_hash", "size", F.explode("windows").alias("w"))
+        known = items.select("size", "hash").distinct().toPandas()
+        wanted = {size: known.loc[known["size"] == size, "hash"].to_numpy(dtype=np.int64) for size in sizes}
+    each = document_windows(docs, wanted)
     met = each.join(one, (each["w"] == one["hash"]) & (each["size"] == one["i_size"]))
     votes = met.select("doc_id", "text_hash", "item_id", "size", "n_windows", "q", "bare").distinct()
     share = votes.groupBy("doc_id", "text_hash", "item_id", "size").agg((F.count(F.when(~F.col("bare"), 1)) / F.greatest(F.first("n_windows"), F.lit(1))).alias("coverage"))
-    likely, _ = stored(share.groupBy("doc_id", "text_hash", "item_id").agg(F.max("coverage").alias("coverage")), "contamination-candidates")
-    ids = likely.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "item_id", "coverage")
-    if likely.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    texts = _told_apart(docs)
-    texts = texts.join(ids, texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select(
-        "doc_id", "text_hash", "text", "item_id", "coverage")
+    likely = share.groupBy("doc_id", "text_hash", "item_id").agg(F.max("coverage").alias("coverage"))
+    # a document's items go with its text in lists of about ITEMS_TOGETHER, so a preamble of k items does not copy the text k times
     asked = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("item_text"))
-    both = texts.join(asked, F.col("item_id").eqNullSafe(F.col("i"))).select("doc_id", "text_hash", "item_id", "coverage", "text", "item_text")
+    likely = likely.join(asked, F.col("item_id").eqNullSafe(F.col("i"))).drop("i")
+    own = Window.partitionBy("doc_id", "text_hash")
+    lot = F.pmod(F.xxhash64("item_id"), F.ceil(F.count("*").over(own) / ITEMS_TOGETHER))
+    lists = likely.withColumn("lot", lot).groupBy("doc_id", "text_hash", "lot").agg(F.collect_list(F.struct("item_id", "coverage", "item_text")).alias("asked"))
+    lists, _ = stored(lists.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "asked"), "contamination-candidates")
+    ids = lists.select("d", "t").distinct()
+    texts = _told_apart(docs)
+    here = texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    # the texts of candidates alone are shuffled to their lists
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, here, "left_semi")
+    both = texts.join(lists, texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select("doc_id", "text_hash", "text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # no coverage: only bare words have met
-            got = [slot_check(t.as_py(), i.as_py(), not c, coverage, agreement)
-                   for t, i, c in zip(batch.column(4), batch.column(5), batch.column(3).to_pylist(), strict=True)]
-            cols = list(zip(*got, strict=True)) or [()] * 5
-            kinds = (pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
-            yield pa.record_batch([*batch.columns[:4], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                                  ["doc_id", "text_hash", "item_id", "coverage", "start_word", "equal_words", "slot_agreement", "slots", "held"])
+            for k in range(batch.num_rows):
+                doc, rows = Words(batch.column(2)[k].as_py()), []
+                for x in batch.column(3)[k].as_py():
+                    # no coverage: only bare words have met
+                    rows.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), x["item_id"], x["coverage"],
+                                 *slot_check(doc, Words(x["item_text"]), not x["coverage"], coverage, agreement)))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                      ["doc_id", "text_hash", "item_id", "coverage", "start_word", "equal_words", "slot_agreement", "slots", "held"])
 
     checked = both.mapInArrow(run, "doc_id long, text_hash long, item_id long, coverage double, start_word int, equal_words double, slot_agreement double, slots long, held boolean")
     return checked.where("held").drop("held")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -253,3 +254,32 @@ def test_stages_keep_columns_and_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
     near = corpus_pipeline.near_copies(spark, docs, SF).select("doc_id", "text").collect()
     assert collections.Counter(r.doc_id for r in near)[2] == 0 and sum(r.text is None for r in near) == 1
+
+
+def test_a_preamble_of_many_items_and_a_long_text_of_numbers(spark):
+    """Every item of a shared preamble is checked for itself; a text of a million numbers needs little memory."""
+    preamble = "answer the question that follows with one of the four letters below"
+    letters = str.maketrans("0123456789", "bcdfghklmn")
+    bodies = [" ".join(f"w{k}x{j}".translate(letters) for j in range(20)) for k in range(1000)]
+    around = lambda x: f"some words stand before it {x} and others come after it"
+    items = spark.createDataFrame([(k, f"{preamble} {body}") for k, body in enumerate(bodies)], "item_id long, text string")
+    docs = docs_of(spark, [(1, around(f"{preamble} {bodies[3]}")), (2, around("nothing of the kind stands in this text at all"))]).drop("item_id")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs, items).collect()}
+    assert got == {(1, 3)}
+    doc = decontaminate.Words(" ".join(str(k % 1000) for k in range(300_000)))
+    item = decontaminate.Words("12 men have 5 apples and 7 pears for 3 km " * 3 + "1 2 3 4 5 6 7 8 9 10 " * 8)
+    tracemalloc.start()
+    assert not decontaminate.slot_check(doc, item)[4]
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_windows_of_texts_together_are_those_of_each(spark):
+    texts = [None, "", "one", "In May 5 men of Rome ran 7 km. HOW FAR WAS IT FROM HERE TO THERE", "a b c d e f g h i j", " \n", "... , !", "a b c d e f g h i j"] * 3
+    each = {(k, size, int(w)) for k, t in enumerate(texts) for size, _, found in decontaminate._windows_of_texts([t], {5: None, 8: None}) for w in found}
+    together = [(int(k), size, int(w)) for size, at, found in decontaminate._windows_of_texts(texts, {5: None, 8: None}) for k, w in zip(at, found, strict=True)]
+    assert each == set(together) and len(each) == len(together) and each
+    some = {size: np.array(sorted(w for _, s, w in each if s == size)[::3]) for size in (5, 8)}
+    look = {size: decontaminate.Wanted(w) for size, w in some.items()}
+    met = {(int(k), size, int(w)) for size, at, found in decontaminate._windows_of_texts(texts, look) for k, w in zip(at, found, strict=True)}
+    assert met == {(k, s, w) for k, s, w in each if w in set(some[s].tolist())}
