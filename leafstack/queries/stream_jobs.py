@@ -19,8 +19,9 @@ from leafstack.streaming import streams
 
 
 def read_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files: only as a pattern does a path stand for either."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -1,11 +1,14 @@
 """Streams over several batches, with late rows and a restart in between."""
 
+import os
 import random
 import re
+import shutil
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from leafstack.queries import QUERIES
 from leafstack.rules import DEDUP_STATES
 from leafstack.session import scratch_folder
 from leafstack.streaming import streams
@@ -23,6 +26,27 @@ def arrivals(spark, batches, schema):
     return folder, spark.readStream.schema(s).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
 
 
+def _documents(spark, files):
+    """A folder with a documents table, as one file or as several in a folder."""
+    folder = scratch_folder(spark, "tables").removeprefix("file:")
+    rows = [(i, " ".join(f"word{i % 7} the and {j % (i % 5 + 2)}" for j in range(30)) if i % 9 else None, "en", "src", 10) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(files, "doc_id").write.parquet(f"{folder}/written")
+    parts = [f for f in sorted(os.listdir(f"{folder}/written")) if f.endswith(".parquet")]
+    if files == 1:
+        shutil.copy(f"{folder}/written/{parts[0]}", f"{folder}/documents.parquet")
+    else:
+        shutil.copytree(f"{folder}/written", f"{folder}/documents.parquet")
+    return folder
+
+
+def test_streams_read_a_folder_of_files(spark):
+    one, many = _documents(spark, 1), _documents(spark, 3)
+    for name in ("stream_process", "stream_near_dup"):
+        got = [sorted(map(repr, QUERIES[name](spark, folder).collect())) for folder in (one, many)]
+        assert got[0] == got[1] and len(got[0]) > 10, name
+
+
 def test_exact_dedup_over_restarts(spark):
     schema = "document_id string, file_sha256 string, created_at timestamp"
     at = lambda d: BASE + timedelta(days=d)
