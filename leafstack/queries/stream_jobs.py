@@ -6,6 +6,8 @@ driver memory) and returns that table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,11 +94,15 @@ def _docs_of(d):
 
 
 def in_batches(spark: SparkSession, sf: str, name: str, batches: int = 3) -> DataFrame:
-    """A table as a stream of several micro-batches, one file each, dealt by a hash of its rows: late rows come with it."""
+    """A table as a stream of several micro-batches, dealt by a hash of its rows: late rows come with it.
+
+    A batch has as many files as the table has parts for each batch, so no task writes or reads a whole batch of a large table.
+    """
     folder = scratch_folder(spark, f"{name}-arrivals")
     table = spark.read.parquet(f"{sf}/{name}.parquet")
-    table.repartition(batches, F.xxhash64(*table.columns)).write.parquet(folder)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = math.ceil(table.rdd.getNumPartitions() / batches)
+    table.repartition(batches * files, F.xxhash64(*table.columns)).write.parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query("stream_exact_dedup", "SELECT file_sha256, 1 AS kept FROM registry GROUP BY 1", ("registry",))

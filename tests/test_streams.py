@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from leafstack.queries import QUERIES
+from leafstack.queries import QUERIES, stream_jobs
 from leafstack.rules import DEDUP_STATES
 from leafstack.session import scratch_folder
 from leafstack.streaming import streams
@@ -47,6 +47,24 @@ def test_streams_read_a_folder_of_files(spark):
         assert got[0] == got[1] and len(got[0]) > 10, name
 
 
+def test_a_batch_of_a_large_table_is_several_files(spark):
+    """Eight parts in three batches: three files a batch, and no file with a third of the rows."""
+    folder = scratch_folder(spark, "wide")
+    spark.range(9000).selectExpr("id AS doc_id", "repeat(CAST(id AS STRING), 300) AS text").repartition(8).write.option("compression", "none").parquet(f"{folder}/documents.parquet")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        stream = stream_jobs.in_batches(spark, folder, "documents")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    sizes = []
+    def each(batch, batch_id):
+        sizes.append([r["count"] for r in batch.groupBy(F.input_file_name()).count().collect()])
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", scratch_folder(spark, "wide-state")).trigger(availableNow=True).start().awaitTermination()
+    assert len(sizes) == 3 and sum(map(sum, sizes)) == 9000
+    assert max(map(max, sizes)) < 2000 and min(map(len, sizes)) > 1
+
+
 def test_exact_dedup_over_restarts(spark):
     schema = "document_id string, file_sha256 string, created_at timestamp"
     at = lambda d: BASE + timedelta(days=d)
