@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from leafstack.functions.names import learning_stage, stage_rank
 from leafstack.functions.values import build_hint, classify_value, pick_examples
 from leafstack.operators.common import newest_n, rounded, running_number
+from leafstack.operators.fieldset import by_document
+from leafstack.session import stored
 
 
 def first_distinct(rows: DataFrame, group: list[str], value: str, order: Column, n: int, out: str = "examples") -> DataFrame:
@@ -15,9 +17,13 @@ def first_distinct(rows: DataFrame, group: list[str], value: str, order: Column,
 
     Values are reduced to their first appearance before they are ranked.
     """
-    firsts = rows.filter(F.coalesce(value, F.lit("")) != "").groupBy(*group, value).agg(F.min(order).alias("o"))
+    return _ranked_values(rows.groupBy(*group, value).agg(F.min(order).alias("o")), group, value, n, out)
+
+
+def _ranked_values(firsts: DataFrame, group: list[str], value: str, n: int, out: str) -> DataFrame:
+    """The first n non-empty values by `o`; `firsts` has one row per value."""
     w = Window.partitionBy(*group).orderBy("o", value)
-    kept = firsts.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= n)
+    kept = firsts.filter(F.coalesce(value, F.lit("")) != "").withColumn("i", F.row_number().over(w)).filter(F.col("i") <= n)
     sorted_values = F.array_sort(F.collect_list(F.struct("i", value)))
     return kept.groupBy(*group).agg(F.transform(sorted_values, lambda s: s[value]).alias(out))
 
@@ -30,16 +36,21 @@ def field_stats(docs: DataFrame, fields: DataFrame, targets: DataFrame) -> DataF
     """
     seen = docs.groupBy("class_id").agg(F.count(F.lit(1)).alias("total_seen"))
     wanted = F.broadcast(targets.select("class_id", "field_name"))
-    last = fields.groupBy("document_id", "field_name").agg(
-        F.max(F.struct("field_id", "field_value", "confidence")).alias("l"))
+    # only names that some class wants are dealt out, by document, where they meet their document
+    named = fields.join(F.broadcast(targets.select("field_name").distinct()), "field_name", "left_semi")
+    last = by_document(named, "document_id", "field_name", F.struct("field_id", "field_value", "confidence").alias("v")).groupBy(
+        "document_id", "field_name").agg(F.max("v").alias("l"))
     rows = last.join(docs.select("document_id", "class_id", "created_at"), "document_id").join(
         wanted, ["class_id", "field_name"]).select(
         "class_id", "field_name", "document_id", "created_at",
         F.col("l.field_value").alias("field_value"), F.col("l.confidence").alias("confidence"))
-    found = rows.groupBy("class_id", "field_name").agg(
-        F.count(F.lit(1)).alias("found_count"), F.sum(F.col("confidence").cast("decimal(18,6)")).alias("confidence_sum"))
-    examples = first_distinct(rows, ["class_id", "field_name"], "field_value",
-                              F.struct("created_at", "document_id"), 6)
+    # one stored row per value serves counts and examples, so fields meet their documents once
+    group = ["class_id", "field_name"]
+    values = stored(rows.groupBy(*group, "field_value").agg(
+        F.min(F.struct("created_at", "document_id")).alias("o"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("confidence").cast("decimal(18,6)")).alias("c")), "field-values")
+    found = values.groupBy(*group).agg(F.sum("n").alias("found_count"), F.sum("c").alias("confidence_sum"))
+    examples = _ranked_values(values, group, "field_value", 6, "examples")
     return seen.join(wanted, "class_id").join(found, ["class_id", "field_name"], "left").join(
         examples, ["class_id", "field_name"], "left").select(
         "class_id", "field_name", "total_seen", F.coalesce("found_count", F.lit(0)).alias("found_count"),
