@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Any
 
@@ -17,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST_ID = 2**63 - 1
 #: Rows of two longs that may be sent to every task.
 BROADCAST_ROWS = 200_000
+#: Rows of the table that sizes a run (documents) for each file of its stored tables.
+FILE_ROWS = 20_000
 
 
 _KEPT: dict[Any, Any] = {}
@@ -38,16 +41,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, name: str, files: int | None = None) -> tuple[DataFrame, str]:
     """`df` written once to the shared folder and read back, and the folder.
 
     What several later jobs read is worked out once, and a lost executor costs no more than reading again.
+    At most `files` tasks write it; each may take several partitions.
     """
     path = scratch_folder(df.sparkSession, name)
+    df = df.coalesce(files) if files else df
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Files for stored tables that grow with `rows`: three for each core, or one for FILE_ROWS rows if these are more.
+
+    Making a file costs more than a few thousand rows in it, so a small table is not written by every shuffle partition.
+    """
+    return max(3 * spark.sparkContext.defaultParallelism, math.ceil(rows / FILE_ROWS))
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a stored table that no later step reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -55,13 +68,13 @@ def forget(spark: SparkSession, path: str) -> None:
 
 
 class Tables:
-    """Stored tables of one run of an operator, deleted together at its end."""
+    """Stored tables of one run of an operator, of at most `files` files if that is set, deleted together at its end."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.files = spark, [], None
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df, path = stored(df, name)
+        df, path = stored(df, name, self.files)
         self.paths.append(path)
         return df
 

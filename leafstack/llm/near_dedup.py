@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import BROADCAST_ROWS, LAST_ID, Tables, ordered_id, stored, worker_keeps
+from leafstack.llm.common import BROADCAST_ROWS, LAST_ID, Tables, files_for, ordered_id, stored, worker_keeps
 from leafstack.llm.components import components
 
 SHINGLE, TOKENS, TREES = 5, 64, 12
@@ -276,7 +276,7 @@ def _linked_inside(members: DataFrame, sets: DataFrame, nodes: DataFrame, leaf:
                     open_ &= labels[:k] != labels[k]
 
     # full sets travel only for documents that have a close one of another component
-    close = _ends(_inside(members, nodes, leaf, partners=True))
+    close = _inside(members, nodes, leaf, partners=True).select(F.col("a").alias("fp"))
     return _in_chunks(members, nodes.select("fp", "short").join(close, "fp", "left_semi").join(sets, "fp"), leaf).mapInArrow(
         lambda batches: _by_chunk(batches, links), "a binary, b binary").distinct()
 
@@ -300,12 +300,16 @@ def _merged(groups: DataFrame, links: DataFrame, tables: Tables) -> tuple[DataFr
     edges = tables.keep(ends.select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b")).where("a <> b").distinct(), "label-edges")
     if not edges.limit(1).count():
         return groups, None
-    moves = tables.taken(components(edges))
+    moves = tables.taken(components(edges, files=tables.files))
     to = moves.select(F.col("node").alias("label"), F.col("label").alias("to"))
     moved = groups.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     return tables.keep(moved.unionByName(moves.join(groups, "node", "left_anti")), "groups"), moves
 
 
+def _any(rows: DataFrame) -> bool:
+    return bool(rows.limit(1).count())
+
+
 def _finished(leaf: int) -> Column:
     """Whether a node is compared exhaustively: it is small, or few of its documents are of other components than its main one."""
     return (F.col("n") <= leaf) | (F.col("others") <= leaf)
@@ -334,9 +338,16 @@ class Crowd:
     def _compare(self, members: DataFrame, exhaustive: bool) -> None:
         """Compare each set of an unfinished node with the node's smallest, those of finished nodes with each other, if their labels differ."""
         done = F.lit(exhaustive) | _finished(self.leaf)
-        inside = _linked_inside(members.where(done), self.sets, self.nodes, self.leaf, self.percent)
-        stars = self.tables.keep(_close(_stars(members.where(~done)), self.nodes), "crowd-stars")
-        links = self.tables.keep(inside.unionByName(_confirmed(stars, self.sets, self.percent)).distinct(), "crowd-links")
+        found = []
+        if _any(members.where(done)):
+            found.append(_linked_inside(members.where(done), self.sets, self.nodes, self.leaf, self.percent))
+        if _any(members.where(~done)):
+            stars = self.tables.keep(_close(_stars(members.where(~done)), self.nodes), "crowd-stars")
+            if _any(stars):
+                found.append(_confirmed(stars, self.sets, self.percent))
+        if not found:
+            return
+        links = self.tables.keep(functools.reduce(DataFrame.unionByName, found).distinct(), "crowd-links")
         self.groups, moves = _merged(self.groups, links, self.tables)
         if moves is not None:
             to = moves.select(F.col("node").alias("label"), F.col("label").alias("to"))
@@ -359,7 +370,7 @@ def set_components(docs: DataFrame, rows: DataFrame, percent: int, trees: int, l
         new = tables.keep(full_sets(docs, rows, new, tables), f"{name}-sets")
         sets = new if sets is None else sets.unionByName(new)
         links = tables.keep(_confirmed(pairs, sets, percent), f"{name}-links")
-        groups = tables.taken(components(links)) if groups is None else _merged(groups, links, tables)[0]
+        groups = tables.taken(components(links, files=tables.files)) if groups is None else _merged(groups, links, tables)[0]
 
     def mixed(members: DataFrame) -> DataFrame:
         labelled = tables.keep(_labelled(members, groups), "labelled-members")
@@ -398,6 +409,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, leaf
     docs = docs.select("doc_id", "text")
     tables = Tables(docs.sparkSession)
     rows = tables.keep(set_rows(docs), "set-rows")
+    tables.files = files_for(docs.sparkSession, rows.count())
     labels = set_components(docs, rows, percent, trees, leaf, recall, tables)
     grouped = rows.join(labels, rows["fp"] == labels["node"], "left").select(
         "doc_id", "doc", "text_hash", "n_shingles", F.coalesce("label", "fp").alias("group"))
@@ -405,6 +417,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, leaf
     own = F.struct("doc", "text_hash")
     joined = grouped.join(first, "group", "left").withColumn("first", F.coalesce("first", own))
     done, _ = stored(joined.select("doc_id", "n_shingles", F.when(F.col("first.doc") != LAST_ID, F.col("first.doc")).alias("component_id"),
-                                   (F.col("first") == own).alias("kept"), "text_hash"), "near-duplicates")
+                                   (F.col("first") == own).alias("kept"), "text_hash"), "near-duplicates", tables.files)
     tables.drop()
     return done

@@ -283,3 +283,12 @@ def test_windows_of_texts_together_are_those_of_each(spark):
     look = {size: decontaminate.Wanted(w) for size, w in some.items()}
     met = {(int(k), size, int(w)) for size, at, found in decontaminate._windows_of_texts(texts, look) for k, w in zip(at, found, strict=True)}
     assert met == {(k, s, w) for k, s, w in each if w in set(some[s].tolist())}
+
+
+def test_small_stored_tables_are_few_files(spark):
+    tables = Tables(spark)
+    tables.files = 2
+    kept = tables.keep(spark.range(100).repartition(16), "many-parts")
+    assert len(kept.inputFiles()) <= 2
+    assert kept.count() == 100
+    tables.drop()
