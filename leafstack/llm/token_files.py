@@ -2,9 +2,9 @@
 
 Ids are replaced by their rank in the corpus (0 for the most frequent), so that the 256 most frequent
 take one byte each. A rank takes as many bytes as it needs, one to four; two bits per rank in a separate
-control stream say how many, four ranks to a control byte. A reader looks each control byte up in two
-tables, its total length and the places of its four ranks' bytes, and gathers all bytes of a block with
-one numpy index.
+control stream say how many, four ranks to a control byte. A reader looks each control byte up in three
+tables, its total length and the places and byte masks of its four ranks, and gathers all ranks of a block
+with one numpy index.
 
 The files are a Parquet folder of blocks, so that Spark's commit protocol leaves no half-written file
 behind when a task or an executor is lost. A block holds whole documents in ascending doc_id order:
@@ -56,28 +56,26 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 
 @functools.lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Per control byte: bytes of its four ranks, and for each of 16 output bytes the place among them, or -1."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per control byte: bytes of its four ranks, and for each of them where it starts and a mask of its bytes."""
     sizes = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
     starts = np.cumsum(sizes + 1, axis=1) - (sizes + 1)
-    k = np.arange(4)
-    places = np.where(k <= sizes[:, :, None], starts[:, :, None] + k, -1).reshape(256, 16)
-    return (sizes + 1).sum(axis=1), places
+    masks = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype="<u4")
+    return (sizes + 1).sum(axis=1), starts, masks[sizes]
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks of a block."""
     if not n:
         return np.zeros(0, dtype="<u4")
-    totals, places = _tables()
+    totals, starts, masks = _tables()
     codes = np.frombuffer(control, dtype=np.uint8)
-    ends = np.cumsum(totals[codes])
-    take = places[codes]
-    where = take + (ends - totals[codes])[:, None]
-    # four bytes of slack: the last control byte may speak of ranks beyond n
-    raw = np.frombuffer(data + b"\0\0\0\0", dtype=np.uint8)
-    got = np.where(take >= 0, raw[np.minimum(where, len(raw) - 1)], 0).astype(np.uint8)
-    return got.reshape(-1, 4).view("<u4").ravel()[:n]
+    sizes = totals[codes]
+    where = (starts[codes] + (np.cumsum(sizes) - sizes)[:, None]).ravel()[:n]
+    # four bytes from each place on, of which the mask leaves the rank's; the slack is for the last ones
+    raw = data + b"\0\0\0\0"
+    four = np.ndarray(len(raw) - 3, dtype="<u4", buffer=raw, strides=(1,))
+    return four[where] & masks[codes].ravel()[:n]
 
 
 # --- writing ----------------------------------------------------------------------------------------
@@ -93,7 +91,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                made = [ids.ids(t.as_py() or "") + end for t in part.column(1)]
+                made = [ids.ids(t or "") + end for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array([len(x) // width for x in made], pa.int64()),
                                        pa.array(made, pa.binary())], ["doc_id", "n_tokens", "ids"])
 

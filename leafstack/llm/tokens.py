@@ -52,7 +52,10 @@ class ChunkIds(dict):
 
     def _piece(self, piece: str) -> bytes:
         """A pre-token."""
-        as_letters = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece.isprintable():     # each stands for itself but the space
+            as_letters = piece.replace(" ", self.letters[0x20])
+        else:
+            as_letters = piece.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.model.tokenize(as_letters)]).tobytes()
 
     def _plain(self, piece: str) -> bytes:

@@ -285,6 +285,20 @@ def test_windows_of_texts_together_are_those_of_each(spark):
     assert met == {(k, s, w) for k, s, w in each if w in set(some[s].tolist())}
 
 
+def test_reading_ranks_needs_little_memory():
+    """A block's ranks are gathered four bytes at a time, not byte by byte through 16 places for each control byte."""
+    rng = np.random.default_rng(3)
+    ranks = (rng.integers(0, 2**32, 65_537, dtype=np.uint64) >> rng.choice([0, 8, 16, 24], 65_537).astype(np.uint64)).astype("<u4")
+    control, data = token_files.pack(ranks)
+    token_files.unpack(control, data, len(ranks))
+    tracemalloc.start()
+    got = token_files.unpack(control, data, len(ranks))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, ranks)
+    assert peak < 64 * len(ranks)
+
+
 def test_small_stored_tables_are_few_files(spark):
     tables = Tables(spark)
     tables.files = 2
