@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import worker_keeps
+from leafstack.llm.common import returning, worker_keeps
 
 #: Code points of text that are worked on together, and pieces that a worker remembers (two generations).
 BATCH_CHARS = 4_000_000
@@ -230,4 +230,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_text: bool = True) -> Da
                 yield pa.record_batch(cols, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_text
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(returning(run), schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,36 @@ FILE_ROWS = 20_000
 _KEPT: dict[Any, Any] = {}
 
 
+def worker_returns() -> None:
+    """Give memory that a Python worker has freed back to the system; the allocators would hold it for the worker's life."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # not the C library of GNU
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def worker_drops() -> None:
+    """Forget what the worker keeps for another step."""
+    if _KEPT:
+        _KEPT.clear()
+        worker_returns()
+
+
+def returning(run: Callable[[Iterator], Iterator], keeps: bool = True) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow, after which its worker gives back what it has freed; without `keeps`, what earlier steps kept goes first.
+
+    An executor's workers take turns, so what an idle one holds adds to the memory of the others.
+    """
+    def lean(batches: Iterator) -> Iterator:
+        if not keeps:
+            worker_drops()
+        try:
+            yield from run(batches)
+        finally:
+            worker_returns()
+
+    return lean
+
+
 def worker_keeps(key: Any, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps from batch to batch (words it has met, a loaded vocabulary).
 
@@ -32,7 +65,7 @@ def worker_keeps(key: Any, make: Callable[[], Any]) -> Any:
     workers one after the other, do not add up in memory.
     """
     if key not in _KEPT:
-        _KEPT.clear()
+        worker_drops()
         _KEPT[key] = make()
     return _KEPT[key]
 

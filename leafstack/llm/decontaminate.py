@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import BROADCAST_ROWS, stored, worker_keeps
+from leafstack.llm.common import BROADCAST_ROWS, returning, stored, worker_keeps
 
 WINDOW, COVERAGE, AGREEMENT = 8, 0.5, 0.9
 #: Words of a window that must not be placeholders, and the shortest item whose slots may differ.
@@ -222,7 +222,7 @@ def document_windows(docs: DataFrame, wanted: dict[int, np.ndarray | None]) -> D
                 yield pa.record_batch([part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), pa.array(np.full(len(w), size, dtype=np.int32)), pa.array(w)],
                                       ["doc_id", "text_hash", "size", "w"])
 
-    return _told_apart(docs).mapInArrow(run, "doc_id long, text_hash long, size int, w long")
+    return _told_apart(docs).mapInArrow(returning(run), "doc_id long, text_hash long, size int, w long")
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

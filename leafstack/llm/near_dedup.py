@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import BROADCAST_ROWS, LAST_ID, Tables, files_for, ordered_id, stored, worker_keeps
+from leafstack.llm.common import BROADCAST_ROWS, LAST_ID, Tables, files_for, ordered_id, returning, stored, worker_keeps
 from leafstack.llm.components import components
 
 SHINGLE, TOKENS, TREES = 5, 64, 12
@@ -121,7 +121,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
                                       ["doc_id", "doc", "text_hash", "n_shingles", "fp", "tokens", "short"])
 
     return _told_apart(docs).mapInArrow(
-        run, "doc_id long, doc long, text_hash long, n_shingles long, fp binary, tokens array<int>, short binary")
+        returning(run), "doc_id long, doc long, text_hash long, n_shingles long, fp binary, tokens array<int>, short binary")
 
 
 def _told_apart(docs: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, tables: Table
     one = tables.keep(one, "set-sources")
     few = one.count() <= BROADCAST_ROWS
     texts = _told_apart(docs).join(F.broadcast(one) if few else one, ["doc", "text_hash"]).select("fp", "text")
-    return texts.mapInArrow(run, "fp binary, found array<bigint>").dropDuplicates(["fp"])
+    return texts.mapInArrow(returning(run), "fp binary, found array<bigint>").dropDuplicates(["fp"])
 
 
 # --- the trees --------------------------------------------------------------------------------------

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.llm.common import stored
+from leafstack.llm.common import returning, stored
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_bangs"]
@@ -83,7 +83,7 @@ def count_features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
                          F.xxhash64("text").alias("text_hash"), "text")
-    return narrow.mapInArrow(run, "doc_id long, stratum string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return narrow.mapInArrow(returning(run, keeps=False), "doc_id long, stratum string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> Column:
