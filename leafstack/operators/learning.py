@@ -218,14 +218,19 @@ def confirmed_instances(docs: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def variant_schema_from_counts(docs: DataFrame, fields: DataFrame) -> DataFrame:
-    """Proposed schema of layouts without a confirmed one: fields by frequency, example from the newest document."""
+    """Proposed schema of layouts without a confirmed one: fields by frequency, example from the newest document.
+
+    Fields meet their documents once, for counts and examples: a row of a newest document is counted under
+    its value, all others of a name under none. The newest documents are stored, so Spark sees that they are few.
+    """
     named = docs.filter(F.col("variant_id").isNotNull()).select("document_id", "variant_id", "created_at")
-    rows = fields.select("document_id", "field_name", "field_value", "field_id").join(named, "document_id")
-    counts = rows.groupBy("variant_id", "field_name").agg(F.count(F.lit(1)).alias("documents"))
-    newest = newest_n(named, "variant_id", 1).select("document_id", "variant_id")
-    examples = newest.join(fields.select("document_id", "field_name", "field_value", "field_id"), "document_id").groupBy(
-        "variant_id", "field_name").agg(F.min_by(F.coalesce("field_value", F.lit("")), "field_id").alias("example"))
-    return counts.join(examples, ["variant_id", "field_name"], "left").withColumn("example", F.coalesce("example", F.lit("")))
+    newest = stored(newest_n(named, "variant_id", 1).select("document_id", "variant_id", F.lit(True).alias("newest")), "newest-documents")
+    marked = named.drop("created_at").join(newest, ["document_id", "variant_id"], "left")
+    rows = fields.select("document_id", "field_name", "field_value", "field_id").join(marked, "document_id")
+    shown = F.when(F.col("newest") & F.col("field_name").isNotNull(), F.struct("field_id", F.coalesce("field_value", F.lit("")).alias("value")))
+    counts = rows.groupBy("variant_id", "field_name", shown.alias("shown")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("variant_id", "field_name").agg(
+        F.sum("n").alias("documents"), F.coalesce(F.min_by("shown.value", "shown.field_id"), F.lit("")).alias("example"))
 
 
 def variant_field_confidence(docs: DataFrame, fields: DataFrame, schema: DataFrame) -> DataFrame:
