@@ -46,13 +46,19 @@ BLOCK = ("part int, block int, at long, n long, doc_ids binary, missing binary,
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of ranks below 2^32."""
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
-    sizes = ((ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    padded[:len(ranks)] = sizes
-    four = padded.reshape(-1, 4)
-    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    kept = np.arange(4, dtype=np.uint8) <= sizes[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[kept].tobytes()
+    most = int(ranks.max(initial=0))
+    sizes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        if most > limit:
+            sizes[:len(ranks)] += ranks > limit
+    four = sizes.view("<u4")
+    control = (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8)
+    # the columns of bytes that any rank needs
+    raw = ranks.astype("<u2").view(np.uint8).reshape(-1, 2) if most <= 0xFFFF else ranks.view(np.uint8).reshape(-1, 4)
+    kept = np.empty(raw.shape, dtype=bool)
+    for k in range(raw.shape[1]):
+        kept[:, k] = sizes[:len(ranks)] >= k
+    return control.tobytes(), raw[kept].tobytes()
 
 
 @functools.lru_cache(maxsize=1)
@@ -61,7 +67,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
     starts = np.cumsum(sizes + 1, axis=1) - (sizes + 1)
     masks = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype="<u4")
-    return (sizes + 1).sum(axis=1), starts, masks[sizes]
+    return (sizes + 1).sum(axis=1), starts.astype(np.uint8).view("<u4").ravel(), masks[sizes]
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -71,11 +77,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     totals, starts, masks = _tables()
     codes = np.frombuffer(control, dtype=np.uint8)
     sizes = totals[codes]
-    where = (starts[codes] + (np.cumsum(sizes) - sizes)[:, None]).ravel()[:n]
+    where = (starts[codes].view(np.uint8).reshape(-1, 4) + (np.cumsum(sizes) - sizes)[:, None]).ravel()[:n]
     # four bytes from each place on, of which the mask leaves the rank's; the slack is for the last ones
     raw = data + b"\0\0\0\0"
     four = np.ndarray(len(raw) - 3, dtype="<u4", buffer=raw, strides=(1,))
-    return four[where] & masks[codes].ravel()[:n]
+    return four.take(where) & masks.take(codes, axis=0).ravel()[:n]
 
 
 # --- writing ----------------------------------------------------------------------------------------
@@ -89,9 +95,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = chunk_ids(tokenizer, dtype)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                made = [ids.ids(t or "") + end for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                made = [x + end for x in ids.batch([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.record_batch([part.column(0), pa.array([len(x) // width for x in made], pa.int64()),
                                        pa.array(made, pa.binary())], ["doc_id", "n_tokens", "ids"])
 

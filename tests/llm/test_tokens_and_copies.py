@@ -306,3 +306,30 @@ def test_small_stored_tables_are_few_files(spark):
     assert len(kept.inputFiles()) <= 2
     assert kept.count() == 100
     tables.drop()
+
+
+def test_new_words_of_many_texts_go_to_the_library_together(library):
+    """One call of the model for the words of a group of texts, and none for words that were met before."""
+    from leafstack.llm.tokens import ChunkIds
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeéñüßXYZ") for _ in range(rng.randrange(1, 12)))
+    texts = ["".join(word() + rng.choice([" ", " ", ", ", ".\n", "\t", "'s ", " &&& ", "12 "]) for _ in range(50)) for _ in range(200)]
+    texts += ["", " ", "\n", " x", "\n\ny  z", "a \nb", "你好 世界 ok", "x <|endoftext|> y", "a\n b", texts[0] + "  " + texts[1]]
+    encoder, calls = ChunkIds(TOKENIZER, "<u2"), []
+
+    class Model:
+        def __init__(self, model):
+            self.model = model
+
+        def encode_batch_fast(self, *args, **named):
+            calls.append(args)
+            return self.model.encode_batch_fast(*args, **named)
+
+    encoder.model = Model(encoder.model)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.batch(texts)] == want
+    assert len(calls) < len(texts)
+    calls.clear()
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.batch(texts[::-1])] == want[::-1]
+    assert not calls
+    assert [np.frombuffer(encoder.ids(t), "<u2").tolist() for t in texts] == want
