@@ -22,6 +22,7 @@ from leafstack.operators.links import link_documents
 from leafstack.operators.outputs import event_fanout
 from leafstack.operators.quality import validate_maps
 from leafstack.rules import DEDUP_STATES, INSPECTION_CLASSES, INVOICE_CLASSES, PACKING_CLASSES, PO_CLASSES, ClassRule, Pattern
+from leafstack.session import Scratch, passing_shuffles
 from leafstack.streaming.keyed import KeyedRuns
 
 
@@ -177,14 +178,19 @@ def stream_link(docs: DataFrame, folder: str, checkpoint: str) -> StreamingQuery
         before = lambda name: _before(spark, f"{folder}/{name}", batch_id)
         keys = batch.select("document_id", F.explode("keys").alias("k")).select("document_id", "k.*")
         shipments, held = before("shipments"), before("shipment_keys")
-        linked = link_documents(batch.select("document_id", "created_at"), keys, shipments, held)
-        placed = linked.join(batch.select("document_id", "created_at"), "document_id")
+        kept = Scratch(spark)
+        linked = link_documents(batch.select("document_id", "created_at"), keys, shipments, held, kept)
+        # read three times below, worked out once
+        placed = kept.keep(linked.join(batch.select("document_id", "created_at"), "document_id"), "placed")
+        kept.drop("documents", "numbered", "guess")
         best = keys.groupBy("document_id").agg(F.min(F.struct("rank", "key")).alias("b"))
         founded = placed.filter(F.col("founder") == F.col("document_id")).join(best, "document_id", "left").select(
             "shipment_id", F.coalesce(F.col("b.key"), F.concat(F.lit("unkeyed:"), F.col("document_id"))).alias("reference_key"), "created_at")
         new_keys = placed.join(keys, "document_id").select("shipment_id", "key").distinct()
-        for name, table in (("links", placed.select("document_id", "shipment_id")), ("shipments", founded), ("shipment_keys", new_keys)):
-            table.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
+        with passing_shuffles(spark):
+            for name, table in (("links", placed.select("document_id", "shipment_id")), ("shipments", founded), ("shipment_keys", new_keys)):
+                table.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
+        kept.drop()
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
